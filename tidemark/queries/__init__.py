@@ -1,2 +1,2 @@
-from tidemark.queries import churn, profit  # noqa: F401
+from tidemark.queries import incidents, value  # noqa: F401
 from tidemark.queries.base import CATALOGUE
