@@ -1,2 +1,18 @@
-from tidemark.queries import incidents, value  # noqa: F401
+"""The query catalogue: one entry per operator, each with its SQL check."""
+
+from tidemark.queries import (  # noqa: F401
+    aggregates,
+    churn,
+    cleaning,
+    incidents,
+    joins,
+    profit,
+    quality,
+    scalars,
+    sources,
+    value,
+    windows,
+)
 from tidemark.queries.base import CATALOGUE
+
+__all__ = ["CATALOGUE"]
