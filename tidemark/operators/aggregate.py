@@ -65,16 +65,22 @@ class Measures:
 
 
 def with_total(grouped: DataFrame, value: str, name: str) -> DataFrame:
-    """Add the grand total of a grouped column (one-row broadcast)."""
-    total = grouped.agg(F.sum(value).alias(name))
-    return grouped.crossJoin(F.broadcast(total))
+    """Add the grand total of a grouped column (one-row broadcast).
+
+    The total is summed from the grouped rows. Its branch reads every grouped
+    column (through a fingerprint that is tested, then dropped); so no
+    aggregate is pruned from it and Spark reuses the exchange of the groups
+    instead of scanning the source again.
+    """
+    fingerprint = F.bit_xor(F.xxhash64(*grouped.columns))
+    total = grouped.agg(F.sum(value).alias(name), fingerprint.alias("_print"))
+    return grouped.crossJoin(F.broadcast(total.where(F.col("_print").isNotNull()).drop("_print")))
 
 
 def share_of_total(grouped: DataFrame, value: str, name: str, digits: int = 2) -> DataFrame:
     """Percent of the grand total for each group.
 
-    The total is summed from the grouped rows, so the source is scanned once
-    and the groups are never gathered in one partition.
+    The groups are never gathered in one partition.
     """
     share = round_to(safe_div(F.lit(100.0) * as_double(value), F.col("_total")), digits)
     return with_total(grouped, value, "_total").withColumn(name, share).drop("_total")

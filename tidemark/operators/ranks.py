@@ -30,12 +30,19 @@ def value_ranks(df: DataFrame, value: str, by: Sequence[str] = (),
     """
     by = list(by)
     extra = dict(extra or {})
+    # Plain IS NOT NULL tests: joins further up infer the same tests, and the
+    # branches stay identical, so that they share one exchange.
+    present = F.col(value).isNotNull()
+    if dict(df.dtypes)[value] in ("double", "float"):
+        present = present & ~F.isnan(value)
+    for c in by:
+        present = present & F.col(c).isNotNull()
     hist = (
-        df.dropna(subset=[*by, value])
+        df.where(present)
         .groupBy(*by, value)
         .agg(F.count(F.lit(1)).alias("n"), *[c.alias(k) for k, c in extra.items()])
     )
-    # Every branch below uses n, so all of them share one exchange of hist.
+    # Every branch below uses n: pruning it would give a branch its own exchange.
     size = hist.agg(F.count_if(F.col("n") > 0).alias("_distinct"))
     step = F.greatest(F.lit(1).cast("bigint"), F.ceil(F.col("_distinct") / F.lit(buckets)))
     splits = (

@@ -16,7 +16,7 @@ from tidemark.operators.aggregate import mean, rows, share_of_total
 from tidemark.operators.clean import canonicalize, dedup_rows, require
 from tidemark.operators.ranks import lerp, order_statistics
 from tidemark.operators.window import average_rank
-from tidemark.runtime import attach
+from tidemark.runtime import attach, materialize, stage
 
 # Segment names from best to worst composite rank.
 SEGMENT_NAMES = ["Champions", "Loyal Regulars", "At Risk", "Hibernating / Lost"]
@@ -32,6 +32,8 @@ COUNTRY_SPELLINGS = {
     "us": "United States",
     "ireland": "Ireland",
 }
+# Vectors per task while fitting.
+ROWS_PER_FIT_TASK = 100_000
 FEATURES = ["recency", "frequency", "monetary"]
 PRICE = "decimal(18,6)"
 
@@ -42,15 +44,17 @@ def clean_transactions(raw: DataFrame, countries, q: float = 0.995) -> DataFrame
     Prices are capped at the category's q-quantile, then missing prices take
     the median of the capped prices. Capping keeps the order of the prices, so
     that median follows from the two middle prices and the cap: one histogram
-    serves both steps.
+    serves both steps. The distinct rows are written once, since the histogram
+    and the result both read them.
     """
-    df = canonicalize(dedup_rows(raw), "country", countries, strip=True)
-    stats = order_statistics(df, "unit_price", ["category"], {"cap": q, "mid": 0.5})
+    rows_once = stage(dedup_rows(raw))
+    df = canonicalize(rows_once, "country", countries, strip=True)
+    stats = order_statistics(rows_once, "unit_price", ["category"], {"cap": q, "mid": 0.5})
     cap = lerp(F.col("cap_lo"), F.col("cap_hi"), F.col("cap_frac"))
     middle = lerp(F.least(as_double("mid_lo"), cap), F.least(as_double("mid_hi"), cap), F.col("mid_frac"))
     stats = stats.select("category", cap.cast(PRICE).alias("_cap"), middle.cast(PRICE).alias("_median"))
     price = F.coalesce(clamp(F.col("unit_price").cast(PRICE), hi=F.col("_cap")), F.col("_median"))
-    return attach(df, stats, "category", keys_from=raw).withColumn("unit_price", price).drop("_cap", "_median")
+    return attach(df, stats, "category", keys_from=rows_once).withColumn("unit_price", price).drop("_cap", "_median")
 
 
 def with_line_total(df: DataFrame) -> DataFrame:
@@ -112,9 +116,11 @@ def best_fits(vectors: DataFrame, ks: Sequence[int], n_init: int = 10, seed: int
               threads: int = 8) -> dict[int, KMeansModel]:
     """For each k the model of lowest inertia out of n_init starts.
 
-    The fits share one cached vector table and are submitted side by side.
+    The fits share one cached vector table, in no more partitions than its
+    size asks for, and are submitted side by side.
     """
-    table = vectors.select("features").persist(StorageLevel.MEMORY_AND_DISK)
+    parts = 1 + vectors.count() // ROWS_PER_FIT_TASK
+    table = vectors.select("features").coalesce(parts).persist(StorageLevel.MEMORY_AND_DISK)
 
     def fit(task: tuple[int, int]) -> tuple[int, KMeansModel]:
         k, start = task
@@ -135,8 +141,11 @@ def inertia_by_k(vectors: DataFrame, ks: Sequence[int] = range(2, 9), n_init: in
 
 
 def segment(rfm_table: DataFrame, k: int = 4, n_init: int = 10, seed: int = 42) -> DataFrame:
-    """RFM rows with their cluster."""
-    vectors = feature_table(log_scale(rfm_table))
+    """RFM rows with their cluster.
+
+    The customer table is computed once; scaling, fits and assignment read it.
+    """
+    vectors = feature_table(log_scale(materialize(rfm_table)))
     model = best_fits(vectors, [k], n_init, seed)[k].setPredictionCol("cluster")
     return model.transform(vectors).drop("features", *[f"z_{c}" for c in FEATURES])
 

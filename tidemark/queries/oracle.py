@@ -7,8 +7,8 @@ from __future__ import annotations
 
 
 def R(expr: str, digits: int = 2) -> str:
-    """Half-up rounding of a double, through 12 decimals."""
-    return f"CAST(ROUND(CAST(({expr}) AS DECIMAL(38,12)), {digits}) AS DOUBLE)"
+    """Half-up rounding of the shortest decimal text, through 12 decimals."""
+    return f"CAST(ROUND(CAST(CAST(({expr}) AS VARCHAR) AS DECIMAL(38,12)), {digits}) AS DOUBLE)"
 
 
 def D(expr: str) -> str:

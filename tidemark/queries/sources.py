@@ -21,6 +21,7 @@ from tidemark.sources.tables import (
     rejected_values,
     rename_map,
 )
+from tidemark.streaming.loads import append_available, read_stream
 
 SPEND = "month STRING, platform STRING, spend DECIMAL(18,4), clicks BIGINT, conversions BIGINT, " \
         "attributed_revenue DECIMAL(18,4)"
@@ -89,6 +90,18 @@ def _(t):
     return t.spark.read.parquet(path).groupBy("platform").agg(rows().alias("stored_rows")).withColumn("receipt", receipt)
 
 
+@query("src_5_append_load_incremental", "marketing", sql=f"""
+SELECT month, platform, {D('spend')} AS spend, clicks, conversions, {D('attributed_revenue')} AS attributed_revenue
+FROM marketing""")
+def _(t):
+    cols = ["month", "platform", "spend", "clicks", "conversions", "attributed_revenue"]
+    folder = export(t.marketing, cols, scratch_path(t.spark, "arrivals"))
+    target, memory = scratch_path(t.spark, "loaded"), scratch_path(t.spark, "loaded-files")
+    for _ in range(2):  # the second run finds nothing new
+        append_available(read_stream(t.spark, folder, SPEND), target, memory)
+    return t.spark.read.parquet(target)
+
+
 @query("src_6_registered_view", "lines", sql=f"""
 SELECT category, {N} AS order_lines, {R('SUM(net_revenue)')} AS net_revenue FROM lines GROUP BY category""")
 def _(t):

@@ -11,7 +11,7 @@ from tidemark.plans import rfm as rf
 from tidemark.plans import stats as st
 from tidemark.queries.base import query
 from tidemark.queries.oracle import D, I, MEAN, N, P, R
-from tidemark.runtime import scratch_path
+from tidemark.runtime import materialize, scratch_path
 from tidemark.sources.tables import export, read_table
 
 
@@ -78,7 +78,7 @@ def _(t):
 
 @query("sta_3_inertia_by_k")
 def _(t):
-    table = rf.feature_table(rf.log_scale(rf.rfm(t.sales)))
+    table = rf.feature_table(rf.log_scale(materialize(rf.rfm(t.sales))))
     points = [(k, float(v)) for k, v in rf.inertia_by_k(table).items()]
     return t.spark.createDataFrame(points, "k int, inertia double")
 

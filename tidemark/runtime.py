@@ -41,6 +41,18 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stage(df: DataFrame) -> DataFrame:
+    """Write the rows once as Parquet in the shared folder and read them back.
+
+    For rows that several branches of a query read: filters and columns asked
+    by one branch are pushed into its own scan of the written table, not into a
+    second run of everything before it.
+    """
+    path = scratch_path(df.sparkSession, "stage")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def key_count(rows: DataFrame, on: list[str]) -> int:
     """About how many different keys there are (reads the key columns only)."""
     keys = rows.dropna(subset=on).agg(F.approx_count_distinct(F.xxhash64(*on), 0.02))
