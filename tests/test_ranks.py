@@ -22,10 +22,10 @@ def skewed(spark):
     return rows, spark.createDataFrame(rows, "g string, v int")
 
 
-@pytest.mark.parametrize("buckets", [1, 7, 64, 512])
-def test_value_ranks_match_a_sort(skewed, buckets):
+@pytest.mark.parametrize("buckets,small", [(1, 0), (7, 0), (64, 0), (512, 0), (512, 10_000)])
+def test_value_ranks_match_a_sort(skewed, buckets, small):
     rows, df = skewed
-    got = {(r.g, r.v): (r.n, r.before, r.total) for r in ranks.value_ranks(df, "v", ["g"], buckets=buckets).collect()}
+    got = {(r.g, r.v): (r.n, r.before, r.total) for r in ranks.value_ranks(df, "v", ["g"], buckets=buckets, small=small).collect()}
     want = {}
     for g in {"hot", "a", "b", "c"}:
         values = [v for k, v in rows if k == g and v is not None]
@@ -37,15 +37,15 @@ def test_value_ranks_match_a_sort(skewed, buckets):
 def test_value_ranks_without_groups(skewed):
     rows, df = skewed
     values = [v for _, v in rows if v is not None]
-    got = {r.v: (r.n, r.before) for r in ranks.value_ranks(df, "v", buckets=16).collect()}
+    got = {r.v: (r.n, r.before) for r in ranks.value_ranks(df, "v", buckets=16, small=0).collect()}
     assert got == brute_before(values)
 
 
-@pytest.mark.parametrize("buckets", [3, 512])
-def test_quantiles_interpolate_like_numpy(skewed, buckets):
+@pytest.mark.parametrize("buckets,small", [(3, 0), (512, 0), (512, 10_000)])
+def test_quantiles_interpolate_like_numpy(skewed, buckets, small):
     rows, df = skewed
     qs = {"q1": 0.25, "q2": 0.5, "q995": 0.995, "top": 1.0, "low": 0.0}
-    for r in ranks.exact_quantiles(df, "v", ["g"], qs, buckets).collect():
+    for r in ranks.exact_quantiles(df, "v", ["g"], qs, buckets, small).collect():
         values = [v for k, v in rows if k == r.g and v is not None]
         assert r.n == len(values)
         for name, q in qs.items():
@@ -56,6 +56,7 @@ def test_percentile_offset_is_the_floor_position(frame):
     df = frame([(v,) for v in [10, 20, 30, 40, 50]], "v int")
     # floor(0.6 * 5) = 3: the fourth value, where a discrete percentile takes the third
     assert ranks.percentile_offset(df, "v", 0.6).collect()[0][0] == 40
+    assert ranks.percentile_offset(df, "v", 0.6, buckets=2, small=0).collect()[0][0] == 40
     assert ranks.percentile_offset(df, "v", 1.0).collect()[0][0] is None
     assert ranks.percentile_offset(df.limit(0), "v", 0.6).collect()[0][0] is None
 
@@ -65,11 +66,9 @@ def test_nan_is_missing(frame):
     assert ranks.exact_quantiles(df, "v", [], {"m": 0.5}).collect()[0].m == 2.0
 
 
-def test_histogram_is_built_once(spark, tmp_path):
-    path = str(tmp_path / "rows")
-    spark.range(5000).selectExpr("id % 3 as g", "cast(id * 7 % 1000 as double) as v").write.parquet(path)
-    out = ranks.exact_quantiles(spark.read.parquet(path), "v", ["g"], {"m": 0.5})
-    out.collect()
-    final = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
-    assert final.count("FileScan parquet") == 1
-    assert "ReusedExchange" in final
+def test_buckets_are_even(spark):
+    """No bucket holds much more than its share of the distinct values."""
+    hist = ranks.value_histogram(spark.range(20_000).selectExpr("cast(id * id as double) as v"), "v")
+    placed = ranks._bucketed(hist, "v", [], 20_000, 100)
+    sizes = [r["count"] for r in placed.groupBy("_bucket").count().collect()]
+    assert len(sizes) > 50 and max(sizes) < 20_000 / 100 * 12

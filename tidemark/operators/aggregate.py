@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import as_double, round_to, safe_div
-from tidemark.operators.ranks import exact_quantiles
+from tidemark.operators.ranks import quantiles_of, rank_histogram, value_histogram
+from tidemark.runtime import attach
 
 
 def _col(c: Column | str) -> Column:
@@ -64,17 +65,21 @@ class Measures:
         return df.groupBy(*by).agg(*cols) if by else df.agg(*cols)
 
 
-def with_total(grouped: DataFrame, value: str, name: str) -> DataFrame:
-    """Add the grand total of a grouped column (one-row broadcast).
+def one_row(grouped: DataFrame, *aggs: Column) -> DataFrame:
+    """Aggregate an already grouped frame to one row.
 
-    The total is summed from the grouped rows. Its branch reads every grouped
-    column (through a fingerprint that is tested, then dropped); so no
-    aggregate is pruned from it and Spark reuses the exchange of the groups
-    instead of scanning the source again.
+    The branch reads every grouped column (through a fingerprint that is
+    tested, then dropped); so no aggregate is pruned from it, and Spark reuses
+    the exchange of the groups instead of scanning the source again. It has no
+    row when there is no group.
     """
-    fingerprint = F.bit_xor(F.xxhash64(*grouped.columns))
-    total = grouped.agg(F.sum(value).alias(name), fingerprint.alias("_print"))
-    return grouped.crossJoin(F.broadcast(total.where(F.col("_print").isNotNull()).drop("_print")))
+    fingerprint = F.bit_xor(F.xxhash64(*grouped.columns)).alias("_print")
+    return grouped.agg(*aggs, fingerprint).where(F.col("_print").isNotNull()).drop("_print")
+
+
+def with_total(grouped: DataFrame, value: str, name: str) -> DataFrame:
+    """Add the grand total of a grouped column (one-row broadcast)."""
+    return grouped.crossJoin(F.broadcast(one_row(grouped, F.sum(value).alias(name))))
 
 
 def share_of_total(grouped: DataFrame, value: str, name: str, digits: int = 2) -> DataFrame:
@@ -101,7 +106,7 @@ def count_distinct_key(*parts: str) -> Column:
 def resample_month(df: DataFrame, date: str, value: str, name: str = "value") -> DataFrame:
     """Monthly sums with empty months filled by 0, first to last month."""
     monthly = df.groupBy(F.trunc(date, "MM").alias("month")).agg(F.sum(value).alias(name))
-    months = monthly.agg(F.min("month").alias("a"), F.max("month").alias("b")).select(
+    months = one_row(monthly, F.min("month").alias("a"), F.max("month").alias("b")).select(
         F.explode(F.expr("sequence(a, b, interval 1 month)")).alias("month"))
     return months.join(monthly, "month", "left").withColumn(name, F.coalesce(F.col(name), F.lit(0)))
 
@@ -111,16 +116,27 @@ def value_counts(df: DataFrame, col: str) -> DataFrame:
 
 
 def describe(df: DataFrame, col: str) -> DataFrame:
-    """count, mean, sample std, min, exact quartiles, max in one row."""
-    shape = df.agg(
-        F.count(col).alias("count"),
-        round_to(mean(col), 6).alias("mean"),
-        round_to(F.stddev_samp(as_double(col)), 6).alias("std"),
+    """count, mean, sample std, min, exact quartiles, max in one row.
+
+    Everything comes from the histogram of distinct values: one scan.
+    """
+    hist = value_histogram(df, col)
+    x, n = as_double(col), F.col("n")
+    shape = hist.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("count"),
+        safe_div(F.sum(F.col(col) * n), F.sum(n)).alias("_mean"),
         as_double(F.min(col)).alias("min"),
         as_double(F.max(col)).alias("max"),
     )
-    quartiles = exact_quantiles(df, col, [], {"p25": 0.25, "p50": 0.5, "p75": 0.75}).drop("n")
-    return shape.crossJoin(F.broadcast(quartiles))
+    spread = hist.crossJoin(F.broadcast(shape.select("_mean", F.col("count").alias("_count")))).agg(
+        F.sum(n * (x - F.col("_mean")) * (x - F.col("_mean"))).alias("_squares"))
+    std = F.sqrt(safe_div("_squares", F.col("count") - 1))
+    quartiles = quantiles_of(rank_histogram(hist, col), col, [], {"p25": 0.25, "p50": 0.5, "p75": 0.75}).drop("n")
+    return (
+        shape.crossJoin(F.broadcast(spread)).crossJoin(F.broadcast(quartiles))
+        .select("count", round_to("_mean", 6).alias("mean"), round_to(std, 6).alias("std"), "min", "p25", "p50", "p75",
+                "max")
+    )
 
 
 def histogram(df: DataFrame, col: str, bins: int = 40) -> DataFrame:
@@ -147,23 +163,24 @@ def histogram(df: DataFrame, col: str, bins: int = 40) -> DataFrame:
 def box_summary(df: DataFrame, value: str, by: str) -> DataFrame:
     """Quartiles, 1.5 IQR whiskers and outlier count per group.
 
-    Whiskers are the extreme data values inside the fences.
+    Whiskers are the extreme data values inside the fences. All of it comes
+    from the histogram of distinct values: one scan.
     """
-    from tidemark.runtime import attach
-
-    quart = exact_quantiles(df, value, [by], {"q1": 0.25, "median": 0.5, "q3": 0.75})
-    quart = quart.withColumn("_low", F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).withColumn(
-        "_high", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
+    hist = value_histogram(df, value, [by])
+    quart = quantiles_of(rank_histogram(hist, value, [by]), value, [by], {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    quart = quart.withColumnRenamed("n", "rows")
+    reach = 1.5 * (F.col("q3") - F.col("q1"))
     x = as_double(value)
-    inside = (x >= F.col("_low")) & (x <= F.col("_high"))
+    inside = (x >= F.col("q1") - reach) & (x <= F.col("q3") + reach)
     return (
-        attach(df.dropna(subset=[value]).select(by, value), quart, by, keys_from=df, how="inner")
-        .groupBy(by, "n", "q1", "median", "q3")
+        attach(hist, quart, by, how="inner")
+        .groupBy(by, F.col("rows"), "q1", "median", "q3")
         .agg(
             F.min(F.when(inside, x)).alias("whisker_low"),
             F.max(F.when(inside, x)).alias("whisker_high"),
-            F.count_if(~inside).alias("outliers"),
+            F.sum(F.when(inside, F.lit(0)).otherwise(F.col("n"))).alias("outliers"),
         )
+        .withColumnRenamed("rows", "n")
     )
 
 

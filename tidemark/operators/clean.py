@@ -68,7 +68,7 @@ def clamp_column(df: DataFrame, col: str, lo=None, hi=None) -> DataFrame:
 
 
 def impute_group(df: DataFrame, col: str, by: str, stat: str = "mean",
-                 cast: str = "decimal(18,6)", keys_from: DataFrame | None = None) -> DataFrame:
+                 cast: str = "decimal(18,6)") -> DataFrame:
     """Fill NULLs with the mean or exact median of the row's group."""
     if stat == "mean":
         stats = df.dropna(subset=[by]).groupBy(by).agg(mean(col).cast(cast).alias("_fill"))
@@ -77,15 +77,15 @@ def impute_group(df: DataFrame, col: str, by: str, stat: str = "mean",
     else:
         raise ValueError(f"unknown statistic {stat!r}")
     filled = F.coalesce(F.col(col).cast(cast), F.col("_fill"))
-    return attach(df, stats, by, keys_from=keys_from or df).withColumn(col, filled).drop("_fill")
+    return attach(df, stats, by).withColumn(col, filled).drop("_fill")
 
 
 def cap_quantile(df: DataFrame, col: str, by: str, q: float = 0.995,
-                 cast: str = "decimal(18,6)", keys_from: DataFrame | None = None) -> DataFrame:
+                 cast: str = "decimal(18,6)") -> DataFrame:
     """Clip each group at its own interpolated quantile; NULL stays NULL."""
     caps = exact_quantiles(df, col, [by], {"_cap": q}).select(by, F.col("_cap").cast(cast).alias("_cap"))
     capped = clamp(F.col(col).cast(cast), hi=F.col("_cap"))
-    return attach(df, caps, by, keys_from=keys_from or df).withColumn(col, capped).drop("_cap")
+    return attach(df, caps, by).withColumn(col, capped).drop("_cap")
 
 
 def drop_orphans(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:

@@ -1,66 +1,78 @@
 """Exact ranks and quantiles without a global sort.
 
 The rows are first reduced to a histogram of distinct values (with map-side
-combine, so ties and hot values collapse). The distinct values are then cut
-into some hundred value-ordered buckets at hash-sampled split points. The
-sample is a pure function of the data, so a recomputed stage places every value
-in the same bucket. Each bucket is ranked on its own and shifted by the rows in
-the buckets below it: no task ever holds a whole group.
+combine, so ties and hot values collapse). The histogram is computed once and
+kept in the shared folder; its size is then known.
+
+Up to SMALL distinct values one window per group ranks them. Beyond that the
+values are cut into some hundred value-ordered buckets at hash-sampled split
+points, each bucket is ranked on its own and shifted by the rows in the buckets
+below it: no task ever holds a whole group. The sample is a pure function of
+the data, so a recomputed stage places every value in the same bucket.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import as_double
+from tidemark.runtime import materialize
 
 BUCKETS = 512
+SMALL = 1_000_000
 # Binary search steps: room for 4,095 split points, eight times the expected number.
 _SEARCH_STEPS = [2048, 1024, 512, 256, 128, 64, 32, 16, 8, 4, 2, 1]
 
 
-def value_ranks(df: DataFrame, value: str, by: Sequence[str] = (),
-                extra: Mapping[str, Column] | None = None, buckets: int = BUCKETS) -> DataFrame:
-    """One row per distinct (by, value): n, extras, rows before it, group total.
+def value_histogram(df: DataFrame, value: str, by: Sequence[str] = (),
+                    extra: Mapping[str, Column] | None = None) -> DataFrame:
+    """One row per distinct (by, value) with its row count n, computed once.
 
-    Rows with a NULL value or a NULL group key take no part.
+    Rows with a NULL (or NaN) value or a NULL group key take no part.
     """
-    by = list(by)
-    extra = dict(extra or {})
-    # Plain IS NOT NULL tests: joins further up infer the same tests, and the
-    # branches stay identical, so that they share one exchange.
     present = F.col(value).isNotNull()
     if dict(df.dtypes)[value] in ("double", "float"):
         present = present & ~F.isnan(value)
     for c in by:
         present = present & F.col(c).isNotNull()
-    hist = (
-        df.where(present)
-        .groupBy(*by, value)
-        .agg(F.count(F.lit(1)).alias("n"), *[c.alias(k) for k, c in extra.items()])
-    )
-    # Every branch below uses n: pruning it would give a branch its own exchange.
-    size = hist.agg(F.count_if(F.col("n") > 0).alias("_distinct"))
-    step = F.greatest(F.lit(1).cast("bigint"), F.ceil(F.col("_distinct") / F.lit(buckets)))
-    splits = (
-        hist.crossJoin(F.broadcast(size))
-        .where((F.col("n") > 0) & (F.pmod(F.xxhash64(*by, value), step) == 0))
-        .groupBy(*by)
-        .agg(F.sort_array(F.collect_list(value)).alias("_splits"))
-    )
+    extras = [c.alias(k) for k, c in (extra or {}).items()]
+    return materialize(df.where(present).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"), *extras))
+
+
+def _bucketed(hist: DataFrame, value: str, by: list[str], distinct: int, buckets: int) -> DataFrame:
+    """The histogram with a value-ordered bucket number per group."""
+    step = max(1, math.ceil(distinct / buckets))
+    sampled = hist.where(F.pmod(F.xxhash64(*by, value), F.lit(step)) == 0)
+    splits = sampled.groupBy(*by).agg(F.sort_array(F.collect_list(value)).alias("_splits"))
     # About `buckets` split points in total, whatever the input size.
-    placed = hist.join(F.broadcast(splits), by, "left") if by else hist.crossJoin(F.broadcast(splits))
+    splits = F.broadcast(splits)
+    placed = hist.join(splits, by, "left") if by else hist.crossJoin(splits)
     bucket = F.aggregate(
         F.array(*[F.lit(s) for s in _SEARCH_STEPS]),
         F.lit(0),
         lambda at, s: F.when(F.get("_splits", at + s - 1) <= F.col(value), at + s).otherwise(at),
     )
-    placed = placed.withColumn("_bucket", bucket).drop("_splits")
+    return placed.withColumn("_bucket", bucket).drop("_splits")
 
-    below = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+
+def rank_histogram(hist: DataFrame, value: str, by: Sequence[str] = (), buckets: int = BUCKETS,
+                   small: int = SMALL) -> DataFrame:
+    """Add `before` (rows with a lower value in the group) and `total`."""
+    by = list(by)
+    distinct = hist.count()
+    up_to = Window.unboundedPreceding
+    if distinct <= small:
+        below = Window.partitionBy(*by).orderBy(value).rowsBetween(up_to, -1)
+        return hist.withColumns({
+            "before": F.coalesce(F.sum("n").over(below), F.lit(0)),
+            "total": F.sum("n").over(Window.partitionBy(*by)),
+        })
+    placed = _bucketed(hist, value, by, distinct, buckets)
+    below = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(up_to, -1)
     offsets = (
         placed.groupBy(*by, "_bucket")
         .agg(F.sum("n").alias("_rows"))
@@ -71,14 +83,22 @@ def value_ranks(df: DataFrame, value: str, by: Sequence[str] = (),
             F.sum("_rows").over(Window.partitionBy(*by)).alias("total"),
         )
     )
-    inside = Window.partitionBy(*by, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*by, "_bucket").orderBy(value).rowsBetween(up_to, -1)
     return (
         placed.withColumn("_inside", F.coalesce(F.sum("n").over(inside), F.lit(0)))
         .join(offsets, [*by, "_bucket"])
-        .select(*by, value, "n", *extra, (F.col("_offset") + F.col("_inside")).alias("before"), "total")
+        .withColumn("before", F.col("_offset") + F.col("_inside"))
+        .select(*hist.columns, "before", "total")
     )
 
 
+def value_ranks(df: DataFrame, value: str, by: Sequence[str] = (),
+                extra: Mapping[str, Column] | None = None, buckets: int = BUCKETS,
+                small: int = SMALL) -> DataFrame:
+    """One row per distinct (by, value): n, extras, rows before it, group total."""
+    return rank_histogram(value_histogram(df, value, by, extra), value, by, buckets, small)
+
+
 def _at(position: Column, value: str) -> Column:
     """Aggregate: the value standing at a 0-based position of its group."""
     holds = (F.col("before") <= position) & (position < F.col("before") + F.col("n"))
@@ -86,12 +106,15 @@ def _at(position: Column, value: str) -> Column:
 
 
 def order_statistics(df: DataFrame, value: str, by: Sequence[str], quantiles: Mapping[str, float],
-                     buckets: int = BUCKETS) -> DataFrame:
+                     buckets: int = BUCKETS, small: int = SMALL) -> DataFrame:
     """Per group the two neighbours of each quantile and the weight of the upper.
 
     Columns `<name>_lo`, `<name>_hi`, `<name>_frac` for every named quantile.
     """
-    ranked = value_ranks(df, value, by, buckets=buckets)
+    return _statistics(value_ranks(df, value, by, buckets=buckets, small=small), value, by, quantiles)
+
+
+def _statistics(ranked: DataFrame, value: str, by: Sequence[str], quantiles: Mapping[str, float]) -> DataFrame:
     aggs = []
     for name, q in quantiles.items():
         place = F.lit(float(q)) * (F.col("total") - 1)
@@ -108,15 +131,20 @@ def lerp(lo: Column, hi: Column, frac: Column) -> Column:
 
 
 def exact_quantiles(df: DataFrame, value: str, by: Sequence[str], quantiles: Mapping[str, float],
-                    buckets: int = BUCKETS) -> DataFrame:
+                    buckets: int = BUCKETS, small: int = SMALL) -> DataFrame:
     """Linear-interpolated quantiles per group, as doubles."""
-    stats = order_statistics(df, value, by, quantiles, buckets)
+    return quantiles_of(value_ranks(df, value, by, buckets=buckets, small=small), value, by, quantiles)
+
+
+def quantiles_of(ranked: DataFrame, value: str, by: Sequence[str], quantiles: Mapping[str, float]) -> DataFrame:
+    """Interpolated quantiles of an already ranked histogram."""
+    stats = _statistics(ranked, value, by, quantiles)
     cols = [lerp(F.col(f"{q}_lo"), F.col(f"{q}_hi"), F.col(f"{q}_frac")).alias(q) for q in quantiles]
     return stats.select(*by, "n", *cols)
 
 
 def percentile_offset(df: DataFrame, value: str, p: float, by: Sequence[str] = (),
-                      name: str = "value", buckets: int = BUCKETS) -> DataFrame:
+                      name: str = "value", buckets: int = BUCKETS, small: int = SMALL) -> DataFrame:
     """Value at 0-based position floor(p * n) in ascending order."""
-    ranked = value_ranks(df, value, by, buckets=buckets)
+    ranked = value_ranks(df, value, by, buckets=buckets, small=small)
     return ranked.groupBy(*by).agg(_at(F.floor(F.lit(float(p)) * F.col("total")), value).alias(name))

@@ -54,7 +54,7 @@ def clean_transactions(raw: DataFrame, countries, q: float = 0.995) -> DataFrame
     middle = lerp(F.least(as_double("mid_lo"), cap), F.least(as_double("mid_hi"), cap), F.col("mid_frac"))
     stats = stats.select("category", cap.cast(PRICE).alias("_cap"), middle.cast(PRICE).alias("_median"))
     price = F.coalesce(clamp(F.col("unit_price").cast(PRICE), hi=F.col("_cap")), F.col("_median"))
-    return attach(df, stats, "category", keys_from=rows_once).withColumn("unit_price", price).drop("_cap", "_median")
+    return attach(df, stats, "category").withColumn("unit_price", price).drop("_cap", "_median")
 
 
 def with_line_total(df: DataFrame) -> DataFrame:

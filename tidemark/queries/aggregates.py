@@ -236,7 +236,6 @@ FROM tx_raw x JOIN c ON c.category = x.category GROUP BY x.category""")
 def _(t):
     caps = exact_quantiles(t.transactions_raw, "unit_price", ["category"], {"cap": 0.995}).select(
         "category", F.col("cap").cast("decimal(18,6)").alias("cap"))
-    joined = attach(t.transactions_raw.select("category", "unit_price"), caps, "category",
-                    keys_from=t.part.select(F.col("p_type").alias("category")), how="inner")
+    joined = attach(t.transactions_raw.select("category", "unit_price"), caps, "category", how="inner")
     return joined.groupBy("category").agg(ag.count_where(F.col("unit_price") > F.col("cap")).alias("capped_rows"),
                                           round_to(F.max("cap"), 6).alias("cap"))

@@ -12,7 +12,7 @@ from tidemark.plans import marketing as mk
 from tidemark.plans import profit as pf
 from tidemark.queries.base import query
 from tidemark.queries.oracle import D, I, MEAN, N, P, Q, R
-from tidemark.runtime import attach
+from tidemark.runtime import attach, stage
 from tidemark.sources.dims import COMPANY_SIZE_ORDER, ordered_dim
 
 
@@ -30,7 +30,7 @@ SELECT o_orderkey, {R('o_totalprice - m.m', 4)} AS off_mean FROM orders o LEFT J
 def _(t):
     orders = t.orders.select("o_orderkey", "o_custkey", "o_totalprice")
     means = orders.groupBy("o_custkey").agg(mean(F.col("o_totalprice").cast("decimal(18,2)")).alias("m"))
-    joined = attach(orders, means, "o_custkey", keys_from=t.orders.select("o_custkey"))
+    joined = attach(orders, means, "o_custkey")
     return joined.select("o_orderkey", round_to(F.col("o_totalprice") - F.col("m"), 4).alias("off_mean"))
 
 
@@ -57,7 +57,7 @@ SELECT f.platform, {R(Q('f.a', 'f.s'))} AS full_period_roas, {R(Q('r.a', 'r.s'))
        {R(f"{Q('r.a', 'r.s')} - {Q('f.a', 'f.s')}")} AS roas_change
 FROM f JOIN r ON r.platform = f.platform""")
 def _(t):
-    return mk.recent_vs_full(t.marketing, 12)
+    return mk.recent_vs_full(stage(t.marketing), 12)
 
 
 @query("jon_5_semi_join_top_k", sql=f"""

@@ -9,6 +9,7 @@ from tidemark.plans import profit as pf
 from tidemark.plans.segments import reason_share, top_reason_per
 from tidemark.queries.base import query
 from tidemark.queries.oracle import CW, D, I, MEAN, N, P, Q, R
+from tidemark.runtime import stage
 
 RET = "is_returned = 'Yes'"
 MARGIN = P("SUM(net_revenue) - SUM(total_cost)", "SUM(net_revenue)", 1)
@@ -191,7 +192,7 @@ everything AS (SELECT platform, {ROAS} AS x FROM marketing GROUP BY platform)
 SELECT f.platform, {R('f.x')} AS full_period_roas, {R('r.x')} AS last_3mo_roas, {R('r.x - f.x')} AS roas_change
 FROM everything f JOIN recent r ON r.platform = f.platform""")
 def _(t):
-    return mk.recent_vs_full(t.marketing, 3)
+    return mk.recent_vs_full(stage(t.marketing), 3)
 
 
 @query("mkt_5_budget_target", "marketing", sql=f"""

@@ -28,6 +28,7 @@ from tidemark.plans.churn import NPS_EDGES, NPS_LABELS, usage_band
 from tidemark.plans.marketing import last_n_months
 from tidemark.queries.base import query
 from tidemark.queries.oracle import CW, D, I, N, P, Q, R
+from tidemark.runtime import stage
 from tidemark.sources.dims import COMPANY_SIZE_ORDER
 from tidemark.sources.roles import SNAPSHOT
 from tidemark.sources.schemas import CRASH_COLUMNS
@@ -244,6 +245,6 @@ def _(t):
 SELECT month, platform, {D('spend')} AS spend FROM marketing
 WHERE month >= (SELECT strftime(strptime(MAX(month) || '-01', '%Y-%m-%d') - INTERVAL 2 MONTH, '%Y-%m') FROM marketing)""")
 def _(t):
-    return last_n_months(t.marketing, 3).select("month", "platform", "spend")
+    return last_n_months(stage(t.marketing), 3).select("month", "platform", "spend")
 
 

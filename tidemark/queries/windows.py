@@ -84,7 +84,7 @@ FROM events""")
 def _(t):
     stats = exact_quantiles(t.events, "value", ["event_type"], {"group_median": 0.5}).select(
         "event_type", F.col("group_median").cast("decimal(18,6)").alias("group_median"))
-    return attach(t.events.select("event_id", "event_type"), stats, "event_type", keys_from=t.events).select(
+    return attach(t.events.select("event_id", "event_type"), stats, "event_type").select(
         "event_id", "group_median")
 
 

@@ -53,23 +53,16 @@ def stage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def key_count(rows: DataFrame, on: list[str]) -> int:
-    """About how many different keys there are (reads the key columns only)."""
-    keys = rows.dropna(subset=on).agg(F.approx_count_distinct(F.xxhash64(*on), 0.02))
-    return keys.head()[0]
-
-
-def attach(rows: DataFrame, stats: DataFrame, on: str | list[str], keys_from: DataFrame,
-           how: str = "left", max_rows: int = BROADCAST_ROWS) -> DataFrame:
+def attach(rows: DataFrame, stats: DataFrame, on: str | list[str], how: str = "left",
+           max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Join a per-group statistic back onto its rows.
 
-    `keys_from` is any cheap frame with the same group keys; its key count
-    bounds the rows of `stats`. Up to `max_rows` the statistic is broadcast, so
-    the rows are not shuffled by a skewed group key; beyond it the join
-    shuffles, and AQE splits the hot keys.
+    The statistic is computed first, once; with its row count known it is
+    broadcast up to `max_rows`, so that a skewed group key does not shuffle the
+    rows. Beyond that the join shuffles, and AQE splits the hot keys.
     """
-    on = [on] if isinstance(on, str) else list(on)
-    if key_count(keys_from, on) <= max_rows:
+    stats = materialize(stats)
+    if stats.count() <= max_rows:
         stats = F.broadcast(stats)
     return rows.join(stats, on, how)
 

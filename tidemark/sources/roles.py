@@ -11,7 +11,8 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions import month_key, pct, round_to, safe_div
+from tidemark.functions import month_key, month_start, pct, round_to, safe_div
+from tidemark.operators.aggregate import one_row
 
 SNAPSHOT = "2001-08-01"
 ACTIVE_SINCE = "2001-02-02"
@@ -156,7 +157,8 @@ class Tables:
             self.subs.select(flow.alias("f")).select("f.*").dropna(subset=["month"])
             .groupBy("month").agg(F.sum("new").alias("new"), F.sum("gone").alias("gone"), F.sum("mrr").alias("mrr"))
         )
-        months = self.subs.agg(F.trunc(F.min("signup_date"), "MM").alias("a")).select(
+        # the first month with any flow is a signup month
+        months = one_row(flows, month_start(F.min("month")).alias("a")).select(
             F.explode(F.expr(f"sequence(a, date'{SNAPSHOT}', interval 1 month)")).alias("m")
         ).select(month_key("m").alias("month"))
         spend = self.marketing.groupBy("month").agg(F.sum("spend").alias("spend"))
