@@ -42,6 +42,14 @@ def timed(spark, path: str, key: str) -> float:
     return time.perf_counter() - start
 
 
+def scale(path: str) -> float | str:
+    name = Path(path).name.removeprefix("sf")
+    try:
+        return float(name)
+    except ValueError:
+        return name
+
+
 def main() -> None:
     path = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -50,7 +58,7 @@ def main() -> None:
     took = {key: round(timed(spark, path, key), 3) for key in HEADLINES}
     spark.stop()
     print(json.dumps({"metric": "total_seconds", "value": round(sum(took.values()), 3), "unit": "sec",
-                      "queries": took, "sf": Path(path).name.removeprefix("sf")}))
+                      "queries": took, "sf": scale(path)}))
 
 
 if __name__ == "__main__":

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import as_double, round_to, safe_div
-from tidemark.operators.ranks import quantiles_of, rank_histogram, value_histogram
+from tidemark.operators.ranks import histogram_quantiles, value_histogram
 from tidemark.runtime import attach
 
 
@@ -131,7 +131,7 @@ def describe(df: DataFrame, col: str) -> DataFrame:
     spread = hist.crossJoin(F.broadcast(shape.select("_mean", F.col("count").alias("_count")))).agg(
         F.sum(n * (x - F.col("_mean")) * (x - F.col("_mean"))).alias("_squares"))
     std = F.sqrt(safe_div("_squares", F.col("count") - 1))
-    quartiles = quantiles_of(rank_histogram(hist, col), col, [], {"p25": 0.25, "p50": 0.5, "p75": 0.75}).drop("n")
+    quartiles = histogram_quantiles(hist, col, [], {"p25": 0.25, "p50": 0.5, "p75": 0.75}).drop("n")
     return (
         shape.crossJoin(F.broadcast(spread)).crossJoin(F.broadcast(quartiles))
         .select("count", round_to("_mean", 6).alias("mean"), round_to(std, 6).alias("std"), "min", "p25", "p50", "p75",
@@ -167,7 +167,7 @@ def box_summary(df: DataFrame, value: str, by: str) -> DataFrame:
     from the histogram of distinct values: one scan.
     """
     hist = value_histogram(df, value, [by])
-    quart = quantiles_of(rank_histogram(hist, value, [by]), value, [by], {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    quart = histogram_quantiles(hist, value, [by], {"q1": 0.25, "median": 0.5, "q3": 0.75})
     quart = quart.withColumnRenamed("n", "rows")
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     x = as_double(value)

@@ -7,8 +7,8 @@ kept in the shared folder; its size is then known.
 Up to SMALL distinct values one window per group ranks them. Beyond that the
 values are cut into some hundred value-ordered buckets at hash-sampled split
 points, each bucket is ranked on its own and shifted by the rows in the buckets
-below it: no task ever holds a whole group. The sample is a pure function of
-the data, so a recomputed stage places every value in the same bucket.
+below it: no task ever holds a whole group. A quantile ranks only the buckets
+its neighbours lie in.
 """
 
 from __future__ import annotations
@@ -16,16 +16,15 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import as_double
-from tidemark.runtime import materialize
+from tidemark.runtime import attach, materialize
 
 BUCKETS = 512
 SMALL = 1_000_000
-# Binary search steps: room for 4,095 split points, eight times the expected number.
-_SEARCH_STEPS = [2048, 1024, 512, 256, 128, 64, 32, 16, 8, 4, 2, 1]
 
 
 def value_histogram(df: DataFrame, value: str, by: Sequence[str] = (),
@@ -44,24 +43,29 @@ def value_histogram(df: DataFrame, value: str, by: Sequence[str] = (),
 
 
 def _bucketed(hist: DataFrame, value: str, by: list[str], distinct: int, buckets: int) -> DataFrame:
-    """The histogram with a value-ordered bucket number per group."""
+    """The histogram with a bucket number that rises with the value.
+
+    About `buckets` histogram rows, chosen by hash, give the split points;
+    only they come to the driver. The points serve all groups.
+    """
     step = max(1, math.ceil(distinct / buckets))
-    sampled = hist.where(F.pmod(F.xxhash64(*by, value), F.lit(step)) == 0)
-    splits = sampled.groupBy(*by).agg(F.sort_array(F.collect_list(value)).alias("_splits"))
-    # About `buckets` split points in total, whatever the input size.
-    splits = F.broadcast(splits)
-    placed = hist.join(splits, by, "left") if by else hist.crossJoin(splits)
-    bucket = F.aggregate(
-        F.array(*[F.lit(s) for s in _SEARCH_STEPS]),
-        F.lit(0),
-        lambda at, s: F.when(F.get("_splits", at + s - 1) <= F.col(value), at + s).otherwise(at),
-    )
-    return placed.withColumn("_bucket", bucket).drop("_splits")
+    x = as_double(value)
+    sampled = hist.where(F.pmod(F.xxhash64(*by, value), F.lit(step)) == 0).select(x.alias("x")).distinct()
+    points = sorted(r.x for r in sampled.collect() if math.isfinite(r.x))
+    if not points:
+        return hist.withColumn("_bucket", F.lit(0.0))
+    edges = [-math.inf, *points, math.inf]
+    cut = Bucketizer(splits=edges, inputCol="_x", outputCol="_bucket")
+    return cut.transform(hist.withColumn("_x", x)).drop("_x")
 
 
 def rank_histogram(hist: DataFrame, value: str, by: Sequence[str] = (), buckets: int = BUCKETS,
-                   small: int = SMALL) -> DataFrame:
-    """Add `before` (rows with a lower value in the group) and `total`."""
+                   small: int = SMALL, positions: Sequence[Column] | None = None) -> DataFrame:
+    """Add `before` (rows with a lower value in the group) and `total`.
+
+    With `positions` (0-based, as functions of the column `total`) only the
+    buckets that hold one of them need be ranked and returned.
+    """
     by = list(by)
     distinct = hist.count()
     up_to = Window.unboundedPreceding
@@ -76,18 +80,20 @@ def rank_histogram(hist: DataFrame, value: str, by: Sequence[str] = (), buckets:
     offsets = (
         placed.groupBy(*by, "_bucket")
         .agg(F.sum("n").alias("_rows"))
-        .select(
-            *by,
-            "_bucket",
-            F.coalesce(F.sum("_rows").over(below), F.lit(0)).alias("_offset"),
-            F.sum("_rows").over(Window.partitionBy(*by)).alias("total"),
-        )
+        .withColumns({
+            "_offset": F.coalesce(F.sum("_rows").over(below), F.lit(0)),
+            "total": F.sum("_rows").over(Window.partitionBy(*by)),
+        })
     )
+    if positions is not None:
+        wanted = F.lit(False)
+        for p in positions:
+            wanted = wanted | ((F.col("_offset") <= p) & (p < F.col("_offset") + F.col("_rows")))
+        offsets = offsets.where(wanted)
     inside = Window.partitionBy(*by, "_bucket").orderBy(value).rowsBetween(up_to, -1)
     return (
-        placed.withColumn("_inside", F.coalesce(F.sum("n").over(inside), F.lit(0)))
-        .join(offsets, [*by, "_bucket"])
-        .withColumn("before", F.col("_offset") + F.col("_inside"))
+        attach(placed, offsets, [*by, "_bucket"], how="inner")
+        .withColumn("before", F.col("_offset") + F.coalesce(F.sum("n").over(inside), F.lit(0)))
         .select(*hist.columns, "before", "total")
     )
 
@@ -105,19 +111,21 @@ def _at(position: Column, value: str) -> Column:
     return F.max(F.when(holds, F.col(value)))
 
 
-def order_statistics(df: DataFrame, value: str, by: Sequence[str], quantiles: Mapping[str, float],
-                     buckets: int = BUCKETS, small: int = SMALL) -> DataFrame:
-    """Per group the two neighbours of each quantile and the weight of the upper.
+def _place(q: float) -> Column:
+    return F.lit(float(q)) * (F.col("total") - 1)
 
-    Columns `<name>_lo`, `<name>_hi`, `<name>_frac` for every named quantile.
-    """
-    return _statistics(value_ranks(df, value, by, buckets=buckets, small=small), value, by, quantiles)
 
+def histogram_statistics(hist: DataFrame, value: str, by: Sequence[str], quantiles: Mapping[str, float],
+                         buckets: int = BUCKETS, small: int = SMALL) -> DataFrame:
+    """Per group the two neighbours of each quantile and the weight of the upper.
 
-def _statistics(ranked: DataFrame, value: str, by: Sequence[str], quantiles: Mapping[str, float]) -> DataFrame:
+    Columns n and `<name>_lo`, `<name>_hi`, `<name>_frac` for every quantile.
+    """
+    ends = [f(_place(q)) for q in quantiles.values() for f in (F.floor, F.ceil)]
+    ranked = rank_histogram(hist, value, by, buckets, small, positions=ends)
     aggs = []
     for name, q in quantiles.items():
-        place = F.lit(float(q)) * (F.col("total") - 1)
+        place = _place(q)
         aggs += [
             _at(F.floor(place), value).alias(f"{name}_lo"),
             _at(F.ceil(place), value).alias(f"{name}_hi"),
@@ -126,25 +134,30 @@ def _statistics(ranked: DataFrame, value: str, by: Sequence[str], quantiles: Map
     return ranked.groupBy(*by).agg(F.max("total").alias("n"), *aggs)
 
 
-def lerp(lo: Column, hi: Column, frac: Column) -> Column:
-    return as_double(lo) + (as_double(hi) - as_double(lo)) * frac
+def order_statistics(df: DataFrame, value: str, by: Sequence[str], quantiles: Mapping[str, float]) -> DataFrame:
+    return histogram_statistics(value_histogram(df, value, by), value, by, quantiles)
 
 
-def exact_quantiles(df: DataFrame, value: str, by: Sequence[str], quantiles: Mapping[str, float],
-                    buckets: int = BUCKETS, small: int = SMALL) -> DataFrame:
-    """Linear-interpolated quantiles per group, as doubles."""
-    return quantiles_of(value_ranks(df, value, by, buckets=buckets, small=small), value, by, quantiles)
+def lerp(lo: Column, hi: Column, frac: Column) -> Column:
+    return as_double(lo) + (as_double(hi) - as_double(lo)) * frac
 
 
-def quantiles_of(ranked: DataFrame, value: str, by: Sequence[str], quantiles: Mapping[str, float]) -> DataFrame:
-    """Interpolated quantiles of an already ranked histogram."""
-    stats = _statistics(ranked, value, by, quantiles)
+def histogram_quantiles(hist: DataFrame, value: str, by: Sequence[str], quantiles: Mapping[str, float],
+                        buckets: int = BUCKETS, small: int = SMALL) -> DataFrame:
+    """Linear-interpolated quantiles per group, as doubles, with the count n."""
+    stats = histogram_statistics(hist, value, by, quantiles, buckets, small)
     cols = [lerp(F.col(f"{q}_lo"), F.col(f"{q}_hi"), F.col(f"{q}_frac")).alias(q) for q in quantiles]
     return stats.select(*by, "n", *cols)
 
 
+def exact_quantiles(df: DataFrame, value: str, by: Sequence[str], quantiles: Mapping[str, float],
+                    buckets: int = BUCKETS, small: int = SMALL) -> DataFrame:
+    return histogram_quantiles(value_histogram(df, value, by), value, by, quantiles, buckets, small)
+
+
 def percentile_offset(df: DataFrame, value: str, p: float, by: Sequence[str] = (),
                       name: str = "value", buckets: int = BUCKETS, small: int = SMALL) -> DataFrame:
     """Value at 0-based position floor(p * n) in ascending order."""
-    ranked = value_ranks(df, value, by, buckets=buckets, small=small)
-    return ranked.groupBy(*by).agg(_at(F.floor(F.lit(float(p)) * F.col("total")), value).alias(name))
+    place = F.floor(F.lit(float(p)) * F.col("total"))
+    ranked = rank_histogram(value_histogram(df, value, by), value, by, buckets, small, positions=[place])
+    return ranked.groupBy(*by).agg(_at(place, value).alias(name))

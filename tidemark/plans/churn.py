@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import (
     as_double,
     band,
     flag,
+    month_index,
     month_key,
+    month_start,
     months_open,
     pct,
     round_to,
@@ -27,7 +29,7 @@ from tidemark.operators.aggregate import (
     weighted_mean,
 )
 from tidemark.operators.ranks import percentile_offset
-from tidemark.operators.window import previous, top_k, trailing_mean, with_change
+from tidemark.operators.window import period_shift, previous, top_k, trailing_mean, with_change
 
 # Bands and the at-risk rule.
 USAGE_EDGES = [20, 40, 60, 80]
@@ -149,11 +151,13 @@ def mom_anomaly(monthly: DataFrame, sigma: float = 1.5) -> DataFrame:
     return change.crossJoin(F.broadcast(stats)).withColumn("flag", verdict(far, "FLAGGED", "")).drop("_mean", "_sd")
 
 
-def nrr(monthly: DataFrame, subs: DataFrame, opening_balance: bool = False) -> DataFrame:
+def nrr(monthly: DataFrame, subs: DataFrame, opening_balance: bool = False,
+        calendar: bool = False) -> DataFrame:
     """Net revenue retention: (total - new) / total of the month before.
 
     With opening_balance the monthly total is read as an opening figure, so
-    the new revenue of the month before is taken off instead.
+    the new revenue of the month before is taken off instead. With calendar
+    the month before is the calendar month; by default it is the previous row.
     """
     new = mrr_flow(subs, "signup_month", "new_mrr")
     base = monthly.select("month", "total_mrr").join(new, "month", "left").withColumn(
@@ -161,8 +165,13 @@ def nrr(monthly: DataFrame, subs: DataFrame, opening_balance: bool = False) -> D
     if opening_balance:
         base = base.withColumn("new_mrr", F.coalesce(previous("new_mrr", "month"), F.lit(0)))
     kept = F.col("total_mrr") - F.col("new_mrr")
+    if calendar:
+        numbered = base.withColumn("_no", month_index(month_start("month")))
+        base = period_shift(numbered, "_no", "total_mrr", "prev_total_mrr")
+    else:
+        base = base.withColumn("prev_total_mrr", previous("total_mrr", "month"))
     return (
-        base.withColumn("prev_total_mrr", previous("total_mrr", "month"))
+        base
         .dropna(subset=["prev_total_mrr"])
         .select("month", "prev_total_mrr", "new_mrr", round_to(kept, 2).alias("retained_mrr_from_existing_base"),
                 pct(kept, "prev_total_mrr").alias("nrr_pct"))
@@ -264,7 +273,3 @@ def role_playing_mrr(calendar_months: DataFrame, subs: DataFrame) -> DataFrame:
             F.coalesce("new_mrr", F.lit(0)) - F.coalesce("churned_mrr", F.lit(0)), 2))
     )
 
-
-def cumulative(series: DataFrame, order: str, value: str, name: str) -> DataFrame:
-    frame = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return series.withColumn(name, F.sum(value).over(frame))

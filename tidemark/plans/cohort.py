@@ -48,10 +48,16 @@ def avg_retention_curve(cells: DataFrame) -> DataFrame:
 
 
 def channel_retention(sales: DataFrame) -> DataFrame:
-    """Buyers per channel and index over ALL customers of the channel."""
+    """Buyers per channel and index over ALL customers of the channel.
+
+    A customer has one row per channel and month, so buyers are a plain count;
+    the channel's customers are counted in their first month there. One pass.
+    """
     marked = cohort_assign(sales, extra=["channel"])
-    cells = marked.groupBy("channel", "cohort_index").agg(F.countDistinct("customer_id").alias("buyers"))
-    sizes = marked.groupBy("channel").agg(F.countDistinct("customer_id").alias("channel_customers"))
-    return cells.join(sizes, "channel").select(
+    debut = F.min("order_month").over(Window.partitionBy("customer_id", "channel"))
+    cells = marked.withColumn("_new", F.col("order_month") == debut).groupBy("channel", "cohort_index").agg(
+        rows().alias("buyers"), F.count_if("_new").alias("_joined"))
+    size = F.sum("_joined").over(Window.partitionBy("channel"))
+    return cells.withColumn("channel_customers", size).select(
         "channel", "cohort_index", "buyers", "channel_customers",
         pct("buyers", "channel_customers", 6).alias("retention_pct"))

@@ -133,6 +133,12 @@ def top_factor_per(df: DataFrame) -> DataFrame:
     return top_per_group(_place(grouped), ["borough"], "crashes")
 
 
+def driving_tests() -> dict[str, Column]:
+    """The two behaviours asked about, as named predicates."""
+    factor = F.col("contributing_factor_1")
+    return {"speeding": factor == SPEEDING, "aggressive_driving": factor == AGGRESSIVE}
+
+
 def flag_rates_by(df: DataFrame, tests: Mapping[str, Column], by: str = "borough") -> DataFrame:
     """Rows, and n and percent for each named predicate, per group."""
     grouped = df.groupBy(by).agg(rows().alias("total_crashes"), *conditional_measures(tests))
@@ -167,19 +173,20 @@ def role_totals(df: DataFrame) -> DataFrame:
     return df.agg(*aggs)
 
 
-def _by_role(df: DataFrame) -> DataFrame:
+def by_role(df: DataFrame) -> DataFrame:
+    """Injured and killed per road user: three rows from one totals row."""
     labels = {label: {"injured": f"{c}_injured", "killed": f"{c}_killed"} for label, c in ROLES.items()}
     return stack_rows(role_totals(df), labels, "road_user")
 
 
 def road_user_share(df: DataFrame) -> DataFrame:
     """Share of injured beside share of killed; totals are the role sums."""
-    roles = share_of_total(_by_role(df), "injured", "pct_of_all_injured", 1)
+    roles = share_of_total(by_role(df), "injured", "pct_of_all_injured", 1)
     return share_of_total(roles, "killed", "pct_of_all_killed", 1)
 
 
 def fatality_when_involved(df: DataFrame) -> DataFrame:
-    return _by_role(df).select(
+    return by_role(df).select(
         "road_user", pct("killed", F.col("killed") + F.col("injured")).alias("pct_fatal_when_involved"))
 
 
@@ -217,12 +224,18 @@ def _known() -> Column:
     return count_where(known_cause())
 
 
+def _speeding() -> Column:
+    return count_where(F.col("contributing_factor_1") == SPEEDING)
+
+
 INCIDENT_MEASURES = Measures(
     total_crashes=rows,
     total_injured=lambda: F.sum("persons_injured"),
     total_killed=lambda: F.sum("persons_killed"),
     fatalities_per_1000_crashes=lambda: round_to(
         safe_div(F.lit(1000.0) * F.sum("persons_killed"), rows()), 6),
+    speeding_crashes=_speeding,
+    pct_speeding=lambda: pct(_speeding(), rows(), 6),
     crashes_with_known_cause=_known,
     pct_unspecified_cause=lambda: pct(rows() - _known(), rows(), 6),
     fatal_crashes_per_1000=lambda: round_to(

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import as_double, clamp, round_to
-from tidemark.operators.aggregate import mean, rows, share_of_total
+from tidemark.operators.aggregate import mean, one_row, rows, share_of_total
 from tidemark.operators.clean import canonicalize, dedup_rows, require
 from tidemark.operators.ranks import lerp, order_statistics
 from tidemark.operators.window import average_rank
@@ -91,7 +91,7 @@ def rfm(sales: DataFrame, first_by: Sequence[str] = ("invoice_date", "invoice_no
     people = invoices.groupBy("customer_id").agg(
         F.max("_last").alias("_last"), rows().alias("frequency"), F.sum("_value").alias("monetary"),
         F.min("_first").alias("_first"))
-    snapshot = people.agg(F.date_add(F.max("_last"), 1).alias("_snapshot"))
+    snapshot = one_row(people, F.date_add(F.max("_last"), 1).alias("_snapshot"))
     return people.crossJoin(F.broadcast(snapshot)).select(
         "customer_id", F.datediff("_snapshot", "_last").alias("recency"), "frequency", "monetary",
         F.col("_first.channel").alias("channel"))

@@ -9,6 +9,7 @@ from tidemark.plans import churn as ch
 from tidemark.plans import segments as sg
 from tidemark.queries.base import query
 from tidemark.queries.oracle import CW, D, I, MEAN, N, P, Q, R
+from tidemark.runtime import stage
 from tidemark.sources.dims import COMPANY_SIZE_ORDER, calendar_of, months_of
 
 CH = I("SUM(is_churned)")
@@ -240,6 +241,19 @@ def _(t):
     return ch.nrr(t.monthly_revenue, t.subs_v, opening_balance=True).orderBy("month")
 
 
+@query("chn_17_nrr_calendar", "subs_v", "monthly", sql=f"""
+WITH {NEW_MRR}, j AS (
+  SELECT m.month, m.total_mrr, b.total_mrr AS p, COALESCE(n.new_mrr, 0) AS new_mrr
+  FROM monthly m LEFT JOIN n ON n.month = m.month
+  LEFT JOIN monthly b ON b.month = strftime(CAST(m.month || '-01' AS DATE) - INTERVAL 1 MONTH, '%Y-%m'))
+SELECT month, {D('p')} AS prev_total_mrr, {D('new_mrr')} AS new_mrr,
+       {R('total_mrr - new_mrr')} AS retained_mrr_from_existing_base, {P('total_mrr - new_mrr', 'p')} AS nrr_pct
+FROM j WHERE p IS NOT NULL""")
+def _(t):
+    # the series is read twice by the shift: one row per month, written once
+    return ch.nrr(stage(t.monthly_revenue), t.subs_v, calendar=True).orderBy("month")
+
+
 @query("chn_18_status_profile", "subs_v", sql=f"""
 SELECT CASE WHEN is_churned = 1 THEN 'Churned' ELSE 'Active' END AS status, {N} AS customers,
        {R(MEAN('feature_usage_pct'), 1)} AS avg_feature_usage_pct, {R(MEAN('nps_score'), 1)} AS avg_nps_score,

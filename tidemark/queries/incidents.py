@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators.aggregate import share_within
+from tidemark.operators.reshape import unpivot_counts
 from tidemark.plans import incidents as ic
 from tidemark.queries.base import query
 from tidemark.queries.oracle import CW, I, N, P, R
 from tidemark.sources.dims import ROAD_USER_COLUMNS, dim_road_user
-from tidemark.operators.reshape import unpivot_counts
 
 PLACE = "COALESCE(borough, 'UNKNOWN/UNASSIGNED')"
 KNOWN = "contributing_factor_1 <> 'Unspecified'"
@@ -197,6 +197,8 @@ def _kpi(by: str) -> str:
     return f"""
 SELECT {head}{N} AS total_crashes, {INJ} AS total_injured, {KIL} AS total_killed,
        {R('CAST(1000 AS DOUBLE) * CAST(SUM(persons_killed) AS DOUBLE) / COUNT(*)', 6)} AS fatalities_per_1000_crashes,
+       {CW("contributing_factor_1 = 'Unsafe Speed'")} AS speeding_crashes,
+       {P(CW("contributing_factor_1 = 'Unsafe Speed'"), N, 6)} AS pct_speeding,
        {CW(KNOWN)} AS crashes_with_known_cause, {P(f'COUNT(*) - {CW(KNOWN)}', N, 6)} AS pct_unspecified_cause,
        {R(f"CAST(1000 AS DOUBLE) * CAST({CW('persons_killed > 0')} AS DOUBLE) / COUNT(*)", 6)} AS fatal_crashes_per_1000,
        {P(CW('borough IS NULL'), N, 6)} AS pct_crashes_with_unassigned_borough
@@ -235,7 +237,7 @@ def _(t):
 @query("set_1_union_all_roles", "inc", sql=f"""
 WITH {ROLE_TOTALS} SELECT road_user, {I('i')} AS injured, {I('k')} AS killed FROM r""")
 def _(t):
-    return ic._by_role(t.incidents)
+    return ic.by_role(t.incidents)
 
 
 @query("agg_21_measure_all_filter", "inc", sql=f"""

@@ -58,7 +58,7 @@ def _z(c: str) -> str:
 
 @query("sta_1_log_scale", "rfm", sql=f"SELECT customer_id, {_z('recency')}, {_z('frequency')}, {_z('monetary')} FROM rfm")
 def _(t):
-    return rf.log_scale(rf.rfm(t.sales)).select(
+    return rf.log_scale(materialize(rf.rfm(t.sales))).select(
         "customer_id", *[F.round(f"z_{c}", 5).alias(f"z_{c}") for c in rf.FEATURES])
 
 
