@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 
@@ -124,7 +125,10 @@ def best_fits(vectors: DataFrame, ks: Sequence[int], n_init: int = 10, seed: int
 
     def fit(task: tuple[int, int]) -> tuple[int, KMeansModel]:
         k, start = task
-        return k, KMeans(k=k, seed=seed + start, maxIter=300, tol=1e-4).fit(table)
+        # Stop once the squared shifts of the k centres sum to less than 1e-4 of
+        # the (unit) variance; MLlib compares the shift of every single centre.
+        tol = math.sqrt(1e-4 / k)
+        return k, KMeans(k=k, seed=seed + start, maxIter=300, tol=tol).fit(table)
 
     try:
         table.count()
