@@ -33,6 +33,22 @@ def with_copies(df: DataFrame, test: Column) -> DataFrame:
     return df.withColumn("_copy", F.explode(copies)).drop("_copy")
 
 
+# Tables in this size range may come in fewer splits than there are cores.
+SPREAD_BYTES = (4 << 20, 256 << 20)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Share a small file-based table among the cores of the session.
+
+    A file with one row group is read by one task, whatever its splits. Larger
+    tables have splits enough and are left as they are.
+    """
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    few = SPREAD_BYTES[0] <= size <= SPREAD_BYTES[1] and df.rdd.getNumPartitions() < cores
+    return df.repartition(cores) if few else df
+
+
 class Tables:
     """The tables of one data directory and the role views over them."""
 
@@ -44,7 +60,9 @@ class Tables:
         return self.spark.read.parquet(f"{self.path}/{name}.parquet")
 
     def __getattr__(self, name: str) -> DataFrame:
-        if name in {"region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"}:
+        if name == "lineitem":
+            return spread(self.read(name))
+        if name in {"region", "nation", "customer", "supplier", "part", "orders", "events"}:
             return self.read(name)
         raise AttributeError(name)
 
