@@ -256,14 +256,43 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = full.groupBy("cls").agg(F.min("id").alias("least")).join(groups, "cls", "left")
     least = least.withColumn("component", F.coalesce("component", "cls"))
     roots = least.groupBy("component").agg(F.min("least").alias("root"))
-    labels = least.join(roots, "component").select("cls", "root")
+    labels = least.join(roots, "component").select("cls", "component", "root")
     out = features.select("id", "h", "n", "cls").join(labels, "cls", "left").select(
         F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"),
         F.when(F.col("cls").isNull(), F.col("id")).otherwise(F.col("root")).alias("component_id"),
-        F.col("h").alias("text_hash"))
-    kept: Column = F.when(F.col("component_id").isNull(), F.lit(None).cast("boolean")).otherwise(
-        F.col("doc_id").eqNullSafe(F.col("component_id")))
-    return out.select("doc_id", "n_shingles", "component_id", kept.alias("kept"), "text_hash")
+        F.hex("component").alias("group"), F.col("h").alias("text_hash"))
+    kept: Column = F.when(F.col("component_id").isNotNull(), F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return out.select("doc_id", "n_shingles", "component_id", kept.alias("kept"), "group", "text_hash")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows, with all columns, without all but one row of every group of near-duplicates.
+
+    The row of least id stays (null ids last, then by the text's hash); of rows
+    that repeat it one stays. Texts without words are in no group and stay.
+    """
+    labels = stage(near_duplicates(docs, id_col, text_col).where("group is not null"))
+    key = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "text_hash")
+    best = labels.groupBy("group").agg(F.min(key).alias("best"))
+    marked = labels.select("group", key.alias("own")).join(best, "group")
+    gone = small(stage(marked.where("own <> best").select("own.doc_id", "own.text_hash").distinct()))
+    again = small(stage(marked.where("own = best").groupBy("own.doc_id", "own.text_hash").count().where("count > 1")))
+    columns = [F.col(f"row.{_quoted(c)}").alias(c) for c in docs.columns]
+    rows = docs.select(F.col(id_col).alias("i"), F.xxhash64(text_col).alias("h"),
+                       F.struct(*(F.col(_quoted(c)) for c in docs.columns)).alias("row"))
+
+    def same(other: DataFrame) -> Column:
+        return F.col("i").eqNullSafe(other["doc_id"]) & (F.col("h") == other["text_hash"])
+
+    rows = rows.join(gone, same(gone), "left_anti")
+    once = rows.join(again, same(again), "left_anti")
+    if again.limit(1).count():
+        once = once.union(rows.join(again, same(again), "left_semi").dropDuplicates(["i", "h"]))
+    return once.select(*columns)
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
 def _pairs(pairs: DataFrame) -> DataFrame:
