@@ -22,15 +22,14 @@ from tidemark.functions.scalars import (
     per_mille,
     round_to,
     safe_div,
-    total_or_zero,
     verdict,
 )
-from tidemark.functions.text import canonical_text, trim_clean
+from tidemark.functions.text import canonical_text, strip_space, trim_clean
 
 __all__ = [
     "add_months_to_key", "as_double", "band", "canonical_text", "clamp", "flag",
     "hour_of_time", "iso_date", "label_null", "month_index", "month_key",
     "month_start", "months_between_index", "months_open", "null_if_sentinel",
-    "ordinal", "pct", "per_mille", "round_to", "safe_div", "total_or_zero",
+    "ordinal", "pct", "per_mille", "round_to", "safe_div", "strip_space",
     "trim_clean", "us_date", "verdict", "year_of_key",
 ]

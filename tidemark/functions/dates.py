@@ -25,8 +25,8 @@ def us_date(c: Column | str) -> Column:
 
 
 def hour_of_time(c: Column | str) -> Column:
-    """Hour of 'HH:MM' text."""
-    return F.substring(_col(c), 1, 2).try_cast("int")
+    """Hour of 'HH:MM' or 'H:MM' text: the digits its first two characters begin with."""
+    return F.regexp_extract(F.substring(_col(c), 1, 2), r"^\s*(\d+)", 1).try_cast("int")
 
 
 def month_key(c: Column | str) -> Column:

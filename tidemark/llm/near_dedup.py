@@ -22,6 +22,7 @@ from __future__ import annotations
 
 from collections import OrderedDict
 from collections.abc import Iterator
+from dataclasses import dataclass
 from hashlib import blake2b
 from math import comb
 
@@ -37,7 +38,8 @@ from tidemark.runtime import stage
 ROWS, BANDS, BATCH = 6, 40, 24
 HASHES = ROWS * BANDS
 MISS = 1e-5
-BLOCK = 512
+BLOCK = 512  # members of a block
+BLOCK_BYTES = 4 << 20  # and their texts
 LOW, HIGH = 4, 5  # at least 100 * shared >= 80 * union
 
 _random = np.random.default_rng(77)
@@ -139,41 +141,108 @@ def _prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).take(pa.array(stay))
 
 
-def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components within two blocks of a bucket that pass the bound.
+@dataclass
+class _Side:
+    """Members of one block of a bucket."""
+
+    cls: pa.Array
+    comp: np.ndarray
+    sig: np.ndarray
+    bands: np.ndarray
+    text: pa.Array | None
+
+    @staticmethod
+    def of(members: pa.StructArray) -> _Side:
+        bands = members.field("bands").flatten().to_numpy(zero_copy_only=False).reshape(-1, BANDS)
+        text = members.field("text") if members.type.get_field_index("text") >= 0 else None
+        return _Side(members.field("cls"), members.field("comp").to_numpy(zero_copy_only=False),
+                     _signs(members.field("sig")), bands, text)
+
+
+def _candidates(left: _Side, right: _Side, key: int, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of different components of two blocks that pass the bound.
 
     A pair that shares an earlier band as well is left to that bucket.
     """
+    step = max(1, (1 << 16) // max(1, len(right.comp)))
+    for at in range(0, len(left.comp), step):
+        apart = left.comp[at:at + step, None] != right.comp[None, :]
+        if same:
+            apart &= np.arange(at, at + len(apart))[:, None] < np.arange(len(right.comp))[None, :]
+        a, b = np.nonzero(apart)
+        a = a + at
+        stay = survivors(left.sig, right.sig, a, b)
+        a, b = a[stay], b[stay]
+        shared = left.bands[a] == right.bands[b]
+        first = left.bands[a, shared.argmax(axis=1)] == key
+        if first.any():
+            yield a[first], b[first]
+
+
+def _block_rows(batch: pa.RecordBatch) -> Iterator[tuple[int, int, bool, int, bool, _Side, _Side]]:
+    for row in range(batch.num_rows):
+        i, key, out, j = (batch.column(c)[row].as_py() for c in ("i", "key", "out", "j"))
+        yield i, key, out, j, out and i == j, *(_Side.of(batch.column(c)[row].values) for c in ("x", "y"))
+
+
+def _involved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Members of buckets that have a pair to verify."""
     for batch in batches:
-        found_a, found_b = [], []
-        for row in range(batch.num_rows):
-            left, right = (batch.column(c)[row].values for c in ("x", "y"))
-            key = batch.column("key")[row].as_py()
-            same = batch.column("same")[row].as_py()
-            sides = []
-            for side in (left, right):
-                bands = side.field("bands").flatten().to_numpy(zero_copy_only=False).reshape(-1, BANDS)
-                sides.append((side.field("cls"), side.field("comp").to_numpy(zero_copy_only=False),
-                              _signs(side.field("sig")), bands))
-            (cls_a, comp_a, sig_a, bands_a), (cls_b, comp_b, sig_b, bands_b) = sides
-            step = max(1, (1 << 16) // max(1, len(cls_b)))
-            for at in range(0, len(cls_a), step):
-                apart = comp_a[at:at + step, None] != comp_b[None, :]
-                if same:
-                    apart &= np.arange(at, min(at + step, len(cls_a)))[:, None] < np.arange(len(cls_b))[None, :]
-                a, b = np.nonzero(apart)
-                a = a + at
-                stay = survivors(sig_a, sig_b, a, b)
-                a, b = a[stay], b[stay]
-                if len(a):
-                    shared = bands_a[a] == bands_b[b]
-                    first = bands_a[a, shared.argmax(axis=1)] == key
-                    found_a.append(cls_a.take(pa.array(a[first])))
-                    found_b.append(cls_b.take(pa.array(b[first])))
-        if found_a:
+        keys, outs, found = [], [], []
+        for _, key, out, _, same, left, right in _block_rows(batch):
+            for a, b in _candidates(left, right, key, same):
+                for side, places, is_out in ((left, a, True), (right, b, out)):
+                    chosen = side.cls.take(pa.array(np.unique(places)))
+                    found.append(chosen)
+                    keys += [key] * len(chosen)
+                    outs += [is_out] * len(chosen)
+        if found:
             yield pa.RecordBatch.from_arrays(
-                [pa.concat_arrays(found_a).cast(pa.binary()), pa.concat_arrays(found_b).cast(pa.binary())],
-                names=["a", "b"])
+                [pa.array(keys, pa.int64()), pa.array(outs), pa.concat_arrays(found).cast(pa.binary())],
+                names=["key", "out", "cls"])
+
+
+def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Verified pairs of two blocks; none between components that a pair before has joined."""
+    for batch in batches:
+        found_a, found_b = [], []
+        for _, key, _, _, same, left, right in _block_rows(batch):
+            parent: dict[int, int] = {}
+            sets: dict[tuple[bool, int], set] = {}
+
+            def root(c: int, parent: dict[int, int] = parent) -> int:
+                while parent.get(c, c) != c:
+                    c = parent[c]
+                return c
+
+            def shingles(side: _Side, i: int, sets: dict = sets, left: _Side = left) -> set:
+                k = side is left, i
+                if k not in sets:
+                    sets[k] = shingle_set(side.text[i].as_py())
+                return sets[k]
+
+            for a, b in _candidates(left, right, key, same):
+                for i, j in zip(a.tolist(), b.tolist(), strict=True):
+                    ends = root(int(left.comp[i])), root(int(right.comp[j]))
+                    if ends[0] != ends[1] and similar(shingles(left, i), shingles(right, j)):
+                        parent[ends[0]] = ends[1]
+                        found_a.append(left.cls[i].as_py())
+                        found_b.append(right.cls[j].as_py())
+        yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.binary()), pa.array(found_b, pa.binary())], names=["a", "b"])
+
+
+def shingle_set(text: bytes) -> set[tuple[bytes, ...]]:
+    """Distinct word pairs of a text with words; of one word, that word."""
+    words = text.lower().split()  # of bytes: ASCII letters and ASCII white space
+    return set(zip(words, words[1:], strict=False)) if len(words) > 1 else {tuple(words)}
+
+
+def similar(left: set, right: set) -> bool:
+    """Whether the sets reach the threshold."""
+    if min(len(left), len(right)) * HIGH < max(len(left), len(right)) * LOW:
+        return False
+    shared = len(left & right)
+    return HIGH * shared >= LOW * (len(left) + len(right) - shared)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,24 +250,19 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kept: OrderedDict[bytes, set] = OrderedDict()
 
     def shingles(key: bytes, text: bytes) -> set:
-        if key in kept:
-            kept.move_to_end(key)
-            return kept[key]
-        words = text.lower().split()  # of bytes: ASCII letters and ASCII white space
-        kept[key] = set(zip(words, words[1:], strict=False)) if len(words) > 1 else {tuple(words)}
-        while len(kept) > 1 and sum(map(len, kept.values())) > 200_000:
-            kept.popitem(last=False)
+        if key not in kept:
+            kept[key] = shingle_set(text)
+            while len(kept) > 1 and sum(map(len, kept.values())) > 200_000:
+                kept.popitem(last=False)
+        kept.move_to_end(key)
         return kept[key]
 
     for batch in batches:
         stay = []
         columns = (batch.column(c) for c in ("a", "b", "text_a", "text_b"))
         for i, (a, b, text_a, text_b) in enumerate(zip(*columns, strict=True)):
-            left, right = shingles(a.as_py(), text_a.as_py()), shingles(b.as_py(), text_b.as_py())
-            if min(len(left), len(right)) * HIGH >= max(len(left), len(right)) * LOW:
-                shared = len(left & right)
-                if HIGH * shared >= LOW * (len(left) + len(right) - shared):
-                    stay.append(i)
+            if similar(shingles(a.as_py(), text_a.as_py()), shingles(b.as_py(), text_b.as_py())):
+                stay.append(i)
         yield batch.select(["a", "b"]).take(pa.array(stay, pa.int64()))
 
 
@@ -249,8 +313,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = stage(_verified(star, texts))
     joined = components(linked).select(F.col("node").alias("cls"), F.col("component").alias("comp"))
 
-    rest = _pairs(_rest(shared, classes, stage(joined))).join(star, ["a", "b"], "left_anti")
-    more = stage(_verified(rest, texts))
+    more = stage(_rest(shared, classes, stage(joined), texts))
     groups = components(linked.union(more)).select(F.col("node").alias("cls"), "component")
 
     least = full.groupBy("cls").agg(F.min("id").alias("least")).join(groups, "cls", "left")
@@ -312,24 +375,35 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return _sided(pairs, texts, "text").mapInArrow(_sets, _PAIR)
 
 
-def _rest(shared: DataFrame, classes: DataFrame, joined: DataFrame) -> DataFrame:
-    """Pairs of different components that share a bucket and pass the bound."""
+def _rest(shared: DataFrame, classes: DataFrame, joined: DataFrame, texts: DataFrame) -> DataFrame:
+    """Verified pairs of different components that share a bucket."""
     rows = (shared.select("key", "cls").join(joined, "cls", "left")
             .withColumn("comp", F.xxhash64(F.coalesce("comp", "cls"))))
     mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-    rows = stage(rows.join(mixed.select("key"), "key"))
+    rows = rows.join(mixed.select("key"), "key")
     # The largest component of a bucket; ties go to the greater value.
     size = rows.groupBy("key", "comp").agg(F.count("*").alias("n"))
-    most = size.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("m"), F.sum("n").alias("all"))
-    rows = rows.join(most, "key").select(
-        "key", "cls", "comp", (F.col("comp") != F.col("m.comp")).alias("out"),
-        F.when(F.col("comp") != F.col("m.comp"), F.col("all") - F.col("m.n")).otherwise(F.col("m.n")).alias("n"))
-    block = F.pmod(F.xxhash64("cls"), F.ceil(F.col("n") / BLOCK)).alias("block")
-    blocks = stage(rows.select("key", "cls", "comp", "out", block).join(classes.select("cls", "bands", "sig"), "cls")
-                   .groupBy("key", "out", "block")
-                   .agg(F.collect_list(F.struct("cls", "comp", "sig", "bands")).alias("side")))
+    most = size.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("m"))
+    rows = stage(rows.join(most, "key").select("key", "cls", "comp", (F.col("comp") != F.col("m.comp")).alias("out")))
+    signs = classes.select("cls", "bands", "sig")
+    members = rows.join(signs, "cls").withColumn("size", F.lit(1))
+    named = stage(_of_blocks(members, BLOCK, ["cls", "comp", "sig", "bands"])
+                  .mapInArrow(_involved, "key long, out boolean, cls binary").distinct())
+    members = (rows.join(named, ["key", "out", "cls"]).join(signs, "cls").join(texts, "cls")
+               .withColumn("size", F.greatest(F.octet_length("text"), F.lit(BLOCK_BYTES // BLOCK))))
+    return _of_blocks(members, BLOCK_BYTES, ["cls", "comp", "sig", "bands", "text"]).mapInArrow(_block_links, _PAIR)
+
+
+def _of_blocks(members: DataFrame, most: int, columns: list[str]) -> DataFrame:
+    """Pairs of blocks of a bucket: each block outside the largest component with all others.
+
+    Members are dealt by hash to as many blocks as their sizes ask for.
+    """
+    total = members.groupBy("key", "out").agg(F.sum("size").alias("total"))
+    block = F.pmod(F.xxhash64("cls"), F.ceil(F.col("total") / most)).alias("block")
+    blocks = (members.join(total, ["key", "out"]).select("key", "out", block, F.struct(*columns).alias("member"))
+              .groupBy("key", "out", "block").agg(F.collect_list("member").alias("side")))
+    blocks = stage(blocks)
     left = blocks.where("out").select("key", F.col("block").alias("i"), F.col("side").alias("x"))
     right = blocks.select("key", "out", F.col("block").alias("j"), F.col("side").alias("y"))
-    pairs = left.join(right, "key").where("not out or i <= j")
-    return pairs.select("key", (F.col("out") & (F.col("i") == F.col("j"))).alias("same"), "x", "y").mapInArrow(
-        _block_pairs, _PAIR)
+    return left.join(right, "key").where("not out or i <= j")

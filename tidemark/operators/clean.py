@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions import canonical_text, clamp, trim_clean
+from tidemark.functions import canonical_text, clamp, strip_space, trim_clean
 from tidemark.operators.aggregate import mean
 from tidemark.operators.ranks import exact_quantiles
 from tidemark.runtime import attach
@@ -50,7 +50,7 @@ def canonicalize(df: DataFrame, col: str, mapping: Mapping[str, str] | DataFrame
     into = into or col
     if not isinstance(mapping, DataFrame):
         return df.withColumn(into, canonical_text(col, dict(mapping), strip))
-    key = F.lower(F.trim(col) if strip else F.col(col))
+    key = F.lower(strip_space(col) if strip else F.col(col))
     return (
         df.withColumn("spelling", key)
         .join(mapping.select("spelling", "canonical"), "spelling", "left")

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
+from fractions import Fraction
+from functools import cache
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,31 +49,51 @@ def rank_sums(df: DataFrame, value: str, group: str, a: str, b: str) -> DataFram
     return sums.withColumn("u_statistic", u1).withColumn("z", z)
 
 
+@cache
+def _numerator(m: int) -> tuple[int, list[int]]:
+    """L and the polynomial N with 1 / ((1 - q) (1 - q) ... (1 - q^m)) = N / (1 - q^L)^(m + 1)."""
+    period = math.lcm(*range(1, m + 1))
+    poly = [1]
+    for part in [1, *range(1, m + 1)]:  # times (1 - q^L) / (1 - q^part)
+        poly = poly + [0] * period
+        for j in range(len(poly) - 1, period - 1, -1):
+            poly[j] -= poly[j - period]
+        for j in range(part, len(poly)):
+            poly[j] += poly[j - part]
+    return period, poly
+
+
+def _partitions_up_to(total: int, m: int) -> int:
+    """Partitions of all numbers up to `total` into parts of at most m."""
+    if total < 0:
+        return 0
+    period, poly = _numerator(m)
+    places = range(total % period, min(len(poly), total + 1), period)
+    return sum(poly[j] * math.comb((total - j) // period + m, m) for j in places if poly[j])
+
+
 def exact_tail(u: float, n1: int, n2: int) -> float:
-    """P(U >= u) without ties, from the generating function of U.
+    """P(U >= u) without ties, counted in exact integers.
 
-    The number of arrangements per U is the coefficient list of a Gaussian
-    binomial, built from the smaller sample.
+    Arrangements with U = s are partitions of s into at most m parts of at most n
+    each, m the smaller sample. The upper bound on the parts is taken off by
+    inclusion and exclusion over 2^m terms, each a closed form: the work does not
+    depend on n.
     """
-    small, large = sorted((int(n1), int(n2)))
-    size = small * large + 1
-    ways = np.zeros(size)
-    ways[0] = 1.0
-    for i in range(1, small + 1):
-        top, step = large + i, i
-        if top < size:
-            ways[top:] = ways[top:] - ways[:-top].copy()
-        for r in range(step):
-            ways[r::step] = np.cumsum(ways[r::step])
-        ways /= ways.sum() or 1.0
-    return float(ways[math.ceil(u):].sum() / ways.sum())
+    m, n = sorted((int(n1), int(n2)))
+    most = m * n - math.ceil(u)  # the distribution is symmetric
+    ways = 0
+    for chosen in range(1 << m):
+        shifts = [n + i + 1 for i in range(m) if chosen >> i & 1]
+        ways += (-1) ** len(shifts) * _partitions_up_to(most - sum(shifts), m)
+    return float(Fraction(ways, math.comb(m + n, m)))
 
 
 def two_sided_p(z: float, u: float, n1: float, n2: float, tie_term: float) -> float | None:
     """Normal approximation with continuity and tie correction, or exact."""
     if not n1 or not n2 or z is None or math.isnan(z):
         return None
-    if min(n1, n2) <= EXACT_MAX and tie_term == 0 and n1 * n2 <= 1e7:
+    if min(n1, n2) <= EXACT_MAX and tie_term == 0:
         return min(1.0, 2 * exact_tail(max(u, n1 * n2 - u), int(n1), int(n2)))
     return min(1.0, math.erfc(z / math.sqrt(2)))
 

@@ -15,18 +15,32 @@ def schema_of(name_or_ddl: str) -> T.StructType:
     return T.StructType.fromDDL(SCHEMAS.get(name_or_ddl, name_or_ddl))
 
 
-def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+# Quotes inside a field are doubled, blanks belong to the field, an empty field is NULL,
+# names in the header must be the declared ones, and a row that does not fit fails the read.
+CSV_READ = {"header": True, "enforceSchema": False, "nullValue": "", "escape": '"', "mode": "FAILFAST"}
+CSV_WRITE = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+REJECTED = "_rejected"
+
+
+def read_table(spark: SparkSession, path: str, schema: str, multi_line: bool = False) -> DataFrame:
     """CSV with a header row under a declared schema (a table name or DDL).
 
-    Nothing is inferred; the header is checked against the declared names.
+    Nothing is inferred. With `multi_line` quoted fields may hold line breaks; a
+    file is then read by one task.
     """
-    return (
-        spark.read.schema(schema_of(schema))
-        .option("header", True)
-        .option("enforceSchema", False)
-        .option("nullValue", "")
-        .csv(path)
-    )
+    return spark.read.schema(schema_of(schema)).options(**CSV_READ, multiLine=multi_line).csv(path)
+
+
+def rejected_rows(spark: SparkSession, path: str, schema: str, multi_line: bool = False) -> DataFrame:
+    """One row: rows of a CSV table that fit the schema, and rows that do not."""
+    declared = schema_of(schema)
+    kept = T.StructType([*declared.fields, T.StructField(REJECTED, T.StringType())])
+    options = CSV_READ | {"mode": "PERMISSIVE", "multiLine": multi_line, "columnNameOfCorruptRecord": REJECTED}
+    rows = spark.read.schema(kept).options(**options).csv(path)
+    # Whether a row fits shows only when all its columns are parsed.
+    parsed = F.struct(*[F.col(f"`{f.name}`") for f in declared.fields])
+    rejected = F.when(F.hash(parsed).isNotNull(), F.col(REJECTED).isNotNull())
+    return rows.agg(F.count_if(~rejected).alias("accepted"), F.count_if(rejected).alias("rejected"))
 
 
 def conform(df: DataFrame, schema: str) -> DataFrame:
@@ -66,6 +80,6 @@ def register_view(df: DataFrame, name: str) -> DataFrame:
 
 
 def export(df: DataFrame, cols: Sequence[str], path: str) -> str:
-    """Write the chosen columns as CSV files with a header, one per task."""
-    df.select(*cols).write.mode("errorifexists").option("header", True).csv(path)
+    """Write the chosen columns as CSV files with a header, one per task; fields keep their blanks."""
+    df.select(*cols).write.mode("errorifexists").options(**CSV_WRITE).csv(path)
     return path
