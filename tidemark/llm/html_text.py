@@ -47,6 +47,8 @@ MARKS = frozenset(
     "navigation menu menus breadcrumb breadcrumbs sidebar aside footer header masthead topbar toolbar pagination pager "
     "share sharing social related recommended recommendations newsletter subscribe subscription signup login search "
     "comment comments discussion disqus replies respond widget widgets skip".split())
+# Inside an article these hold its title.
+TITLES = frozenset(["header", "masthead"])
 # An open element of the key is closed by a start tag of the values.
 CLOSED_BY = {
     "p": BLOCKS - frozenset(["body", "html"]), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]),
@@ -62,6 +64,7 @@ _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"""|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|</?[a-zA-Z][^<]*\Z|</?\Z""", re.S)
 _MARKED = re.compile(r"""\b(class|id|role|aria-hidden|hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_ATTRIBUTE = re.compile(r"(?:^|\s)(?:class|id|role|aria-hidden|hidden)=")
 _SPACE = re.compile(r"\s+")
 _NAME = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -160,8 +163,9 @@ def _dropped(node: Node, inside: bool) -> bool:
             return True
     if node.tag in ("html", "body", "article", "main"):
         return False
-    names = _CAMEL.sub(" ", re.sub(r"(?:^|\s)(?:class|id|role|aria-hidden|hidden)=", " ", node.mark)).lower()
-    return not MARKS.isdisjoint(_NAME.findall(names))
+    names = _NAME.findall(_CAMEL.sub(" ", _ATTRIBUTE.sub(" ", node.mark)).lower())
+    names += [a + b for a, b in zip(names, names[1:], strict=False)]  # side-bar, sideBar
+    return any(n in MARKS and not (inside and n in TITLES) for n in names)
 
 
 def _text(parts: list[str]) -> str:

@@ -32,8 +32,8 @@ LETTERS = 62
 SIZE = LETTERS + 2
 ROWS = 64  # texts in a matrix product
 UNDETERMINED = "und"
-# Below this a text resembles no learned language. Clean texts of one word reach more.
-LEAST_SCORE = 0.2
+# Below this a text resembles no learned language.
+LEAST_SCORE = 0.05
 
 
 @dataclass(frozen=True)
@@ -79,6 +79,15 @@ def has_letter(text: str | None) -> bool:
     return text is not None and any(map(str.isalpha, text))
 
 
+def _learned(codes: np.ndarray) -> np.ndarray:
+    """Whether a sequence has a letter and only learned ones."""
+    kind = np.searchsorted([SIZE, SIZE + SIZE**2], codes, "right")
+    place = codes - np.array([0, SIZE, SIZE + SIZE**2])[kind]
+    classes = np.stack([place % SIZE, place // SIZE % SIZE, place // SIZE**2])
+    used = np.arange(3)[:, None] <= kind
+    return ~((classes == 1) & used).any(axis=0) & ((classes > 1) & used).any(axis=0)
+
+
 def _letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         counts: dict[int, int] = {}
@@ -152,6 +161,7 @@ def fit(docs: DataFrame, rows_per_language: int = 300, landmarks_per_language: i
     spectra = [np.array(r.codes, np.int64) for r in rows]
     marks = [i for i, r in enumerate(rows) if r["rank"] <= landmarks_per_language]
     codes = np.unique(np.concatenate([spectra[i] for i in marks]))
+    codes = codes[_learned(codes)]
 
     def unit(i: int) -> np.ndarray:
         return np.isin(codes, spectra[i]) / np.sqrt(len(spectra[i]))
@@ -172,7 +182,12 @@ def fit(docs: DataFrame, rows_per_language: int = 300, landmarks_per_language: i
 
 
 class Scorer:
-    """Predictions for a batch of texts."""
+    """Predictions for a batch of texts.
+
+    The score is the regression's value, cut to 0 to 1, times the share of the
+    text's sequences that the landmarks hold: a text in no learned language scores
+    near 0, whatever the regression makes of it.
+    """
 
     def __init__(self, model: Model):
         self.model, self.spectrum = model, Spectrum(model.letters)
@@ -182,23 +197,26 @@ class Scorer:
     def __call__(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
         names, scores = [UNDETERMINED] * len(texts), np.zeros(len(texts))
         waiting: list[int] = []
+        held: list[float] = []
 
         def flush() -> None:
             out = self.rows[:len(waiting)] @ self.weights + self.model.offset
-            scores[waiting] = out.max(axis=1).clip(0, 1)
+            scores[waiting] = out.max(axis=1).clip(0, 1) * held
             for k, best in zip(waiting, out.argmax(axis=1), strict=True):
                 names[k] = self.model.languages[best]
             waiting.clear()
+            held.clear()
 
         for i in range(len(texts)):
             text = texts[i].as_py()
             if not self.model.languages or not has_letter(text):
                 continue
             codes = self.spectrum.mark(text)
-            np.divide(self.spectrum.present[self.model.codes], np.sqrt(np.count_nonzero(self.spectrum.present)),
-                      out=self.rows[len(waiting)])
+            size, own = np.count_nonzero(self.spectrum.present), self.spectrum.present[self.model.codes]
+            np.divide(own, np.sqrt(size), out=self.rows[len(waiting)])
             self.spectrum.clear(codes)
             waiting.append(i)
+            held.append(np.count_nonzero(own) / size)
             if len(waiting) == ROWS:
                 flush()
         if waiting:
