@@ -18,7 +18,7 @@ the documents; documents are never shuffled.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -66,9 +66,14 @@ class Index:
         return bits
 
 
+def folded(texts: Iterable[str | None]) -> pa.Array:
+    """Case-folded texts in UTF-8, so that a passage in capitals is found; null is empty."""
+    return pa.array([(t or "").casefold().encode() for t in texts], pa.large_binary())
+
+
 def _word_list(words: Words, i: int) -> list[bytes]:
     part = words.of(i)
-    return [words.buffer[a:b].tobytes().lower() for a, b in zip(words.start[part], words.end[part], strict=True)]
+    return [words.buffer[a:b].tobytes() for a, b in zip(words.start[part], words.end[part], strict=True)]
 
 
 def _shingles(words: list[bytes]) -> set[tuple[bytes, ...]]:
@@ -77,7 +82,7 @@ def _shingles(words: list[bytes]) -> set[tuple[bytes, ...]]:
 
 def build_index(ids: list, texts: list[str | None]) -> Index:
     """Sketches of a block of items. Items of fewer than five words have no shingle and take no part."""
-    words = words_of(pa.array([(t or "").encode() for t in texts], pa.large_binary()), ALNUM)
+    words = words_of(folded(texts), ALNUM)
     index = Index([], [], [], [])
     classes: dict[int, list[int]] = {}
     for i in range(len(words)):
@@ -117,7 +122,7 @@ class Search:
 
     def __call__(self, texts: pa.Array) -> Iterator[tuple[int, int, int]]:
         """(row, item, shared shingles) of each containment of at least 0.8."""
-        words = words_of(texts, ALNUM)
+        words = words_of(folded(v.as_py() for v in texts), ALNUM)
         every = windows(words.hash, WIDTH)
         hit = np.flatnonzero(self.bits[every & np.uint64(_FILTER - 1)])
         owner = np.searchsorted(words.first, hit, "right") - 1
@@ -162,7 +167,7 @@ def _clean(index, text_col: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         search = Search(index.value)
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text_col)).cast(pa.large_binary())
+            texts = batch.column(batch.schema.get_field_index(text_col))
             clean = np.ones(batch.num_rows, bool)
             clean[[row for row, _, _ in search(texts)]] = False
             yield batch.filter(pa.array(clean))
@@ -188,13 +193,13 @@ def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
 
     Returns `doc_id`, `item_id`, `n_shared`, `n_item` (distinct shingles),
     `containment`. Words are runs of ASCII letters and digits and of anything
-    beyond ASCII, A-Z lower-cased, so punctuation and spacing don't matter. A null
+    beyond ASCII, case-folded, so case, punctuation and spacing don't matter. A null
     or empty text contains nothing; an item of fewer than five words is contained
     nowhere. Null ids are kept. Each row of documents and each row of items counts
     for itself, so repeated rows give repeated pairs. Empty tables give no pairs.
     Other columns are not read, whatever their names.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type, item_type = rows.schema["doc_id"].dataType.simpleString(), items.schema[item_col].dataType.simpleString()
     schema = f"doc_id {id_type}, item_id {item_type}, n_shared long, n_item long"
     arrow = {"string": pa.string(), "int": pa.int32()}.get(item_type, pa.int64())

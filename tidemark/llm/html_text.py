@@ -22,11 +22,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.graph import small
 from tidemark.runtime import stage
 
 MIN_PAGES = 3
 MIN_SHARE = 0.2
+# Template hashes of all hosts together, of 8 bytes each, up to which they are broadcast.
+BROADCAST_HASHES = 2_000_000
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript xmp iframe noembed noframes template svg math".split())
@@ -289,7 +290,9 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     """
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"),
                         host_of(F.col(url_col)).alias("host"))
-    known = small(stage(templates(pages, url_col, html_col)), 20_000)
+    known = stage(templates(pages, url_col, html_col))
+    if (known.agg(F.sum(F.size("template"))).first()[0] or 0) <= BROADCAST_HASHES:
+        known = F.broadcast(known)  # else the join shuffles, and AQE splits hot hosts
     kind = rows.schema["page_id"].dataType.simpleString()
     return rows.join(known, "host", "left").select("page_id", "url", "html", "host", "template").mapInArrow(
         _extract, f"page_id {kind}, url string, text string, n_chars long")

@@ -207,7 +207,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_label: int = 200, id_col: s
     A hash threshold taken from the label counts leaves about four times as many
     labels; these are ranked, and only chosen documents are read for features.
     """
-    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("quality")).where(
+    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("quality")).where(
         F.col("id").isNotNull() & F.col("quality").isin(0, 1)).distinct()
     counts = dict(known.groupBy("quality").count().collect())
     top = float(1 << 63)

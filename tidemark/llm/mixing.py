@@ -117,8 +117,7 @@ def with_probability(rows: DataFrame, probability: DataFrame) -> DataFrame:
     Cells are broadcast up to a counted bound; beyond it the join shuffles. Rows of
     a cell without tokens get probability 0.
     """
-    probability = small(stage(probability.withColumns({m: F.col(m) for m in MARGINS})))
-    out = rows.join(probability, list(MARGINS), "left")
+    out = rows.join(small(stage(probability)), list(MARGINS), "left")
     out = out.withColumn("probability", F.coalesce("probability", F.lit(0.0)))
     return out.withColumn("sampled", draw(F.col("doc_id")) < F.col("probability"))
 

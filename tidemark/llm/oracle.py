@@ -5,12 +5,14 @@ from __future__ import annotations
 from tidemark.llm.mixing import FILLS, FRACTION, MARGINS, MISSING, POWERS, SWEEPS, TOPIC_SHARES
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+# Case folding as far as these tables need it.
+_FOLDED = "replace(lower(coalesce(text, '')), 'ß', 'ss')"
 _SPACED = r"[^\x20\x09-\x0D]+"
 _ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 CONTAINMENT = rf"""
-WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_ALNUM}') AS ws FROM documents),
-i AS (SELECT item_id, regexp_extract_all({_LOWER}, '{_ALNUM}') AS ws FROM benchmark),
+WITH d AS (SELECT doc_id, regexp_extract_all({_FOLDED}, '{_ALNUM}') AS ws FROM documents),
+i AS (SELECT item_id, regexp_extract_all({_FOLDED}, '{_ALNUM}') AS ws FROM benchmark),
 ds AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(ws) - 3), lambda k: array_to_string(ws[k:k + 4], ' '))) AS s FROM d),
 its AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(ws) - 3), lambda k: array_to_string(ws[k:k + 4], ' '))) AS s FROM i),
 n AS (SELECT item_id, count(*) AS n_item FROM its GROUP BY item_id),
