@@ -56,7 +56,8 @@ def test_one_row_of_a_group_stays(stages):
     least = {}
     for (i, text), (n, _), g in zip(rows, sizes, root, strict=True):
         if n:
-            least[g] = min(least.get(g, (True, 0, "")), (i is None, i or 0, text))
+            row = (i is None, i or 0, text)
+            least[g] = min(least.get(g, row), row)
     kept = sorted((r.doc_id or 0, r.text) for r in out[2].collect())
     assert kept == sorted((i, text) for _, i, text in least.values())
 

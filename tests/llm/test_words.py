@@ -33,6 +33,12 @@ def test_words_match_patterns(monkeypatch, segment):
             assert len(set(seen.values())) == len(seen)
 
 
+def test_case_kept_or_not():
+    column = pa.array([b"Word word WORD"], pa.binary())
+    assert len(set(W.words_of(column, W.SPACED).hash)) == 1
+    assert len(set(W.words_of(column, W.EXACT).hash)) == 3
+
+
 def test_sliced_column_and_windows():
     column = pa.array([b"drop this", b"one Two three", b"two THREE one"], pa.binary()).slice(1)
     words = W.words_of(column)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.words import SPACED, Words, windows, words_of
+from tidemark.llm.words import EXACT, Words, windows, words_of
 from tidemark.runtime import stage
 
 FEATURES = ("one", "symbols", "bars", "bangs", "capitals", "digits", "repeats", "seen", "length", "word_length", "ended")
@@ -40,7 +40,7 @@ def _kind(characters: str) -> np.ndarray:
 _SYMBOL, _BAR, _BANG = _kind("#*$%&|<>"), _kind("|"), _kind("!")
 _UPPER, _DIGIT, _END = _kind("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), _kind("0123456789"), _kind(".?!:;")
 _POINT = (np.arange(256) & 0xC0) != 0x80  # first bytes of code points
-_WORD_POINT = (_POINT & (SPACED != 0)).astype(np.uint8)
+_WORD_POINT = (_POINT & (EXACT != 0)).astype(np.uint8)
 
 
 @dataclass(frozen=True)
@@ -194,7 +194,7 @@ def train(documents: list[np.ndarray], labels: list[int], rounds: int = 150, rid
 
 def _line_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        lines, _ = lines_of(words_of(batch.column("text"), SPACED))
+        lines, _ = lines_of(words_of(batch.column("text"), EXACT))
         rows = [lines.features[lines.first[i]:lines.first[i + 1]].ravel() for i in range(batch.num_rows)]
         yield pa.RecordBatch.from_arrays([batch.column("quality"), batch.column("h"),
                                           pa.array(rows, pa.list_(pa.float64()))], names=["quality", "h", "x"])
@@ -245,7 +245,7 @@ def _repeated(hashes: np.ndarray) -> int:
 def _judge(field: Field, share: float) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = words_of(batch.column("text"), SPACED)
+            words = words_of(batch.column("text"), EXACT)
             lines, seen = lines_of(words)
             label = decode(field, lines)
             owner = np.repeat(np.arange(batch.num_rows), np.diff(lines.first))

@@ -99,8 +99,8 @@ def mixing() -> str:
         full = f"w / n * (SELECT v FROM s{k - 1}) >= 1"
         out.append(f"s{k} AS MATERIALIZED (SELECT coalesce(({budget} - sum(CASE WHEN {full} THEN n ELSE 0 END)) "
                    f"/ nullif(sum(CASE WHEN {full} THEN 0 ELSE w END), 0), (SELECT v FROM s{k - 1})) AS v FROM raked)")
-    p = f"coalesce(least(CAST(1 AS DOUBLE), w / n * (SELECT v FROM s{FILLS})), CAST(0 AS DOUBLE))"
-    u = "CAST(CAST('0x' || substr(md5('0:' || doc_id), 1, 13) AS BIGINT) AS DOUBLE) / CAST(4503599627370496 AS DOUBLE)"
+    p = f"least(CAST(1 AS DOUBLE), coalesce(w / n * (SELECT v FROM s{FILLS}), CAST(0 AS DOUBLE)))"
+    u = "CAST(CAST('0x' || substr(md5('0' || coalesce(':' || doc_id, '')), 1, 13) AS BIGINT) AS DOUBLE) / CAST(4503599627370496 AS DOUBLE)"
     return "WITH " + ",\n".join(out) + f"""
 SELECT doc_id, d.source, d.lang, d.topic, n_tokens, round({p}, 6) AS probability, {u} < {p} AS sampled
 FROM d LEFT JOIN raked ON raked.source = d.source AND raked.lang = d.lang AND raked.topic = d.topic"""

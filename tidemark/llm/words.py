@@ -1,8 +1,8 @@
 """Words of whole texts and their 64-bit hashes, batch by batch, in numpy.
 
 Texts come as a binary Arrow column of UTF-8. A byte table gives every byte of a
-word a random value and every separator zero; upper-case ASCII letters share the
-value of their lower-case form, so hashes compare lower-cased words. A word's
+word a random value and every separator zero; in folding tables upper-case ASCII
+letters share the value of their lower-case form, so hashes compare lower-cased words. A word's
 hash is a polynomial over its bytes. Differences of one running sum give all
 words of a segment at once, and segments end at word ends, so memory follows the
 segment size and the longest single word, not the text.
@@ -26,14 +26,17 @@ def _lower(code: int) -> int:
     return code + 32 if 65 <= code <= 90 else code
 
 
-def byte_table(is_word: Callable[[int], bool]) -> np.ndarray:
-    """Values of the 256 bytes; `is_word` decides on the lower-cased byte."""
+def byte_table(is_word: Callable[[int], bool], fold: bool = True) -> np.ndarray:
+    """Values of the 256 bytes; `is_word` decides on the (lower-cased) byte."""
     values = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
-    return np.array([values[_lower(c)] if is_word(_lower(c)) else 0 for c in range(256)], np.uint64)
+    own = [_lower(c) if fold else c for c in range(256)]
+    return np.array([values[c] if is_word(c) else 0 for c in own], np.uint64)
 
 
 # [^\x20\x09-\x0D]+ : everything but ASCII white space.
 SPACED = byte_table(lambda c: not (c == 32 or 9 <= c <= 13))
+# The same words, their case kept.
+EXACT = byte_table(lambda c: not (c == 32 or 9 <= c <= 13), fold=False)
 # [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ after lower-casing A-Z: digits, letters, all beyond ASCII.
 ALNUM = byte_table(lambda c: 48 <= c <= 57 or 97 <= c <= 122 or c >= 128)
 
