@@ -16,7 +16,7 @@ from pathlib import Path
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from tidemark.queries import CATALOGUE  # noqa: E402
-from tidemark.runtime import build_session  # noqa: E402
+from tidemark.runtime import build_session, drop_kept  # noqa: E402
 
 HEADLINES = [
     "prf_1_order_profit_view", "prf_2_profitability", "prf_3_cost_structure", "prf_7_margin_matrix",
@@ -24,7 +24,7 @@ HEADLINES = [
     "chn_1_subscription_view", "chn_6_segment_rate_all_cuts", "chn_14_clv_to_cac", "chn_15_net_new_mrr",
     "chn_17_nrr", "chn_20_threshold_from_churned", "inc_1_incident_view", "inc_4_geo_breakdown",
     "inc_11_factor_matrix", "inc_13_road_user_share", "inc_17_type_severity", "rfm_1_sales_clean", "rfm_3_rfm",
-    "coh_2_cohort_retention", "coh_4_channel_retention", "sta_2_kmeans_segment", "sta_4_rank_sums",
+    "coh_2_cohort_retention", "coh_4_channel_retention", "sta_2_kmeans_segment", "sta_3_inertia_by_k", "sta_4_rank_sums",
     "agg_9_exact_quantiles", "dq_5_domain_values_order_lines", "dq_8_orphan_report", "dq_15_exact_duplicate_count",
     "cln_2_dedup_key",
 ]
@@ -56,6 +56,7 @@ def main() -> None:
     spark = build_session(f"local[{cpus}]", "bench", int(cpus) if cpus.isdigit() else 8)
     timed(spark, path, "prf_2_profitability")  # warm the JVM
     took = {key: round(timed(spark, path, key), 3) for key in HEADLINES}
+    drop_kept(spark)
     spark.stop()
     print(json.dumps({"metric": "total_seconds", "value": round(sum(took.values()), 3), "unit": "sec",
                       "queries": took, "sf": scale(path)}))

@@ -5,13 +5,14 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
-from tidemark.runtime import build_session  # noqa: E402
+from tidemark.runtime import build_session, drop_kept  # noqa: E402
 
 
 @pytest.fixture(scope="session")
 def spark():
     session = build_session("local[8]", "tests", 8)
     yield session
+    drop_kept(session)
     session.stop()
 
 

@@ -123,6 +123,17 @@ def test_spine(frame, collected):
     df = frame([("m1", "p1"), ("m1", "p2"), ("m2", "p1"), ("m2", "p1")], "month string, platform string")
     assert collected(q.spine_completeness(df, ["month", "platform"])) == [(4, 3, 4)]
     assert collected(q.spine_gaps(df, "month", "platform")) == [("m2", "p2")]
+    # a NULL equals nothing: every pair with it is a gap, as with NOT EXISTS
+    df = frame([("m1", "p1"), ("m2", None)], "month string, platform string")
+    assert collected(q.spine_gaps(df, "month", "platform")) == [("m1", None), ("m2", "p1"), ("m2", None)]
+
+
+def test_spellings_lose_white_space_of_any_kind(frame, collected):
+    df = frame([("\tuk",), (" UK\u00a0",), ("uk\n",), ("u k",), (None,)], "c string")
+    table = frame([("uk", "United Kingdom")], "spelling string, canonical string")
+    want = [("United Kingdom",)] * 3 + [("u k",), (None,)]
+    for mapping in ({"uk": "United Kingdom"}, table):
+        assert sorted(collected(cl.canonicalize(df, "c", mapping, strip=True)), key=repr) == sorted(want, key=repr)
 
 
 def test_component_reconcile_ignores_null_comparisons(frame, collected):

@@ -42,6 +42,8 @@ def test_ordinal(frame):
 
 def test_dates_that_cannot_be_read_are_null(frame):
     df = frame([("2024-02-29", "02/29/2024", "09:15"), ("soon", "13/45/2024", "xx")], "a string, b string, c string")
+    assert one(frame([("2:39",), ("23:59",), ("0",), (":5",), (None,)], "c string"), fn.hour_of_time("c")) == [
+        2, 23, 0, None, None]
     assert one(df, fn.iso_date("a")) == [dt.date(2024, 2, 29), None]
     assert one(df, fn.us_date("b")) == [dt.date(2024, 2, 29), None]
     assert one(df, fn.hour_of_time("c")) == [9, None]

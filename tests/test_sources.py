@@ -4,10 +4,19 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.plans.incidents import INCIDENT_MEASURES, driving_tests, flag_rates_by, incident_view
-from tidemark.runtime import attach, materialize, scratch_path, stage
+from tidemark.runtime import attach, drop_kept, kept, materialize, scratch_path, stage
 from tidemark.sources import dims
 from tidemark.sources.schemas import CRASH_COLUMNS, SCHEMAS
-from tidemark.sources.tables import cast_columns, conform, read_table, register_view, schema_of
+from tidemark.sources.tables import (
+    cast_columns,
+    conform,
+    export,
+    read_table,
+    register_view,
+    rejected_rows,
+    schema_of,
+)
+from tidemark.streaming.loads import append_available, read_stream
 
 
 @pytest.mark.parametrize("name", sorted(SCHEMAS))
@@ -86,3 +95,58 @@ def test_ordered_dimensions(spark):
 def test_months_of_calendar(spark):
     months = dims.months_of(dims.calendar(spark, "2024-01-15", "2024-03-02")).orderBy("month_key").collect()
     assert [(r.month_key, r.days) for r in months] == [("2024-01", 17), ("2024-02", 29), ("2024-03", 2)]
+
+
+ODD = [(1, 'say "hi", ok'), (2, " lead"), (3, "trail "), (4, "two\nlines"), (5, None), (6, "\tx\\"), (7, '"'), (8, "a,b")]
+
+
+def test_export_and_read_keep_text(spark, frame, tmp_path, collected):
+    path = export(frame(ODD, "k int, v string"), ["k", "v"], str(tmp_path / "out"))
+    assert collected(read_table(spark, path, "k int, v string", multi_line=True)) == sorted(ODD, key=repr)
+    pandas = pytest.importorskip("pandas")
+    parts = [pandas.read_csv(f) for f in (tmp_path / "out").glob("*.csv")]
+    read = {r.k: None if r.v != r.v else r.v for r in pandas.concat(parts).itertuples()}
+    assert read == dict(ODD)
+
+
+def test_bad_rows_fail_or_are_counted(spark, tmp_path):
+    path = tmp_path / "t.csv"
+    path.write_text('k,v\n1,"say ""hi"", ok"\nx,2\n3\n4,d\n')
+    with pytest.raises(Exception, match="MALFORMED|malformed"):
+        read_table(spark, str(path), "k int, v string").collect()
+    assert tuple(rejected_rows(spark, str(path), "k int, v string").first()) == (2, 2)
+    path.write_text("v,k\na,1\n")
+    with pytest.raises(Exception, match="CSV header"):
+        read_table(spark, str(path), "k int, v string").collect()
+
+
+def test_incremental_load_checks_names_and_counts_every_batch(spark, tmp_path):
+    folder, target, memory = (str(tmp_path / n) for n in ("in", "out", "memory"))
+    (tmp_path / "in").mkdir()
+    for n in range(6):
+        (tmp_path / "in" / f"{n}.csv").write_text(f"k,v\n{n},a\n{n},b\n")
+    before = spark.conf.get("spark.sql.streaming.numRecentProgressUpdates", "100")
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "3")
+    try:
+        stream = spark.readStream.schema("k int, v string").option("header", True).option("maxFilesPerTrigger", 1).csv(folder)
+        assert append_available(stream, target, memory) == 12
+        assert append_available(read_stream(spark, folder, "k int, v string"), target, memory) == 0
+    finally:
+        spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", before)
+    assert spark.read.parquet(target).count() == 12
+    (tmp_path / "in" / "bad.csv").write_text("v,k\na,1\n")
+    with pytest.raises(Exception, match="FAILED_READ_FILE"):
+        append_available(read_stream(spark, folder, "k int, v string"), target, memory)
+
+
+def test_kept_tables_are_written_once_and_removed(spark, frame):
+    built = []
+
+    def build():
+        built.append(1)
+        return frame([(1, "a"), (2, None)], "k int, v string")
+
+    first, second = kept(spark, "test/kept", build), kept(spark, "test/kept", build)
+    assert first.collect() == second.collect() and built == [1]
+    drop_kept(spark)
+    assert kept(spark, "test/kept", build).count() == 2 and built == [1, 1]

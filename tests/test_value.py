@@ -40,6 +40,19 @@ def test_rank_sum_exact_matches_enumeration():
         assert st.exact_tail(u, 3, 4) == pytest.approx(sum(x >= u for x in us) / len(us))
 
 
+def test_exact_tail_far_out_and_for_any_size():
+    # the ten most extreme arrangements and below: partitions of 0 to 10 into at most 8 parts
+    assert st.exact_tail(7990, 8, 1000) == pytest.approx(136 / math.comb(1008, 8), rel=1e-12)
+    assert st.exact_tail(0, 8, 1_300_000) == 1.0
+    middle = st.exact_tail(8 * 1_300_000 // 2, 8, 1_300_000)
+    assert 0.5 < middle < 0.5001
+    # for one value against many U is uniform
+    assert st.exact_tail(999_999_990, 1, 10**9) == pytest.approx(11 / (10**9 + 1), rel=1e-12)
+    # the exact distribution also with a large second sample
+    assert st.two_sided_p(2.0, 8 * 1_300_000 * 0.7, 8, 1_300_000, 0.0) == pytest.approx(
+        2 * st.exact_tail(8 * 1_300_000 * 0.7, 8, 1_300_000))
+
+
 def test_rank_sum_normal_with_ties(frame):
     rng = random.Random(11)
     a = [rng.randrange(30) for _ in range(60)]

@@ -97,9 +97,3 @@ def label_null(c: Column | str, label: str) -> Column:
 def verdict(test: Column, yes: str, no: str) -> Column:
     """Two-way label; a NULL test gives the second label."""
     return F.when(test, F.lit(yes)).otherwise(F.lit(no))
-
-
-def total_or_zero(c: Column | str) -> Column:
-    """COALESCE(c, 0) in the type of c."""
-    value = _col(c)
-    return F.coalesce(value, F.lit(0))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -48,21 +50,44 @@ def product_of_means(a: Column | str, b: Column | str) -> Column:
     return mean(a) * mean(b)
 
 
+@dataclass(frozen=True)
+class Calculated:
+    """A measure in a changed context: over the rows that meet `where` only, and
+    over all values of the slicing columns in `all_of`."""
+
+    measure: str
+    where: Column | None = None
+    all_of: tuple[str, ...] = ()
+
+
 class Measures:
     """Named aggregates, evaluated together in one pass for any slice.
 
     Each measure is a function without arguments that gives an aggregate
-    Column; measures may call each other, as in a semantic model.
+    Column; measures may call each other, as in a semantic model. Measures in a
+    changed context are evaluated over their own slices and attached to the
+    slices of the others; a slice that they have no rows for shows NULL.
     """
 
     def __init__(self, **measures: Callable[[], Column]):
         self.measures = measures
 
     def evaluate(self, df: DataFrame, names: Sequence[str] | None = None,
-                 by: Sequence[str] = ()) -> DataFrame:
+                 by: Sequence[str] = (), calculated: Mapping[str, Calculated] | None = None) -> DataFrame:
         names = list(names or self.measures)
         cols = [self.measures[n]().alias(n) for n in names]
-        return df.groupBy(*by).agg(*cols) if by else df.agg(*cols)
+        out = df.groupBy(*by).agg(*cols) if by else df.agg(*cols)
+        for name, c in (calculated or {}).items():
+            rows_ = df if c.where is None else df.where(c.where)
+            keys = [k for k in by if k not in c.all_of]
+            value = self.measures[c.measure]().alias(name)
+            if not keys:
+                out = out.crossJoin(F.broadcast(rows_.agg(value)))
+                continue
+            part = rows_.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(value)
+            same = reduce(lambda a, b: a & b, [out[k].eqNullSafe(part[f"_{k}"]) for k in keys])
+            out = out.join(part, same, "left").drop(*[f"_{k}" for k in keys])
+        return out
 
 
 def one_row(grouped: DataFrame, *aggs: Column) -> DataFrame:

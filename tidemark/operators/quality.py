@@ -113,12 +113,15 @@ def spine_completeness(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def spine_gaps(df: DataFrame, first: str, second: str) -> DataFrame:
-    """Missing (first, second) pairs of two small dimensions."""
+    """Pairs of the grid of two dimensions that no row has.
+
+    The grid is what is asked for, and it holds distinct values only; the pairs
+    that exist are taken off by a join. A NULL is a value of the grid and equals
+    nothing, so its pairs are reported.
+    """
     have = df.select(first, second).distinct()
-    seconds = have.groupBy(F.lit(1).alias("_one")).agg(F.collect_set(second).alias("_all"))
-    per_first = have.groupBy(first).agg(F.collect_set(second).alias("_have"))
-    return per_first.crossJoin(F.broadcast(seconds)).select(
-        first, F.explode(F.array_except("_all", "_have")).alias(second))
+    grid = have.select(first).distinct().crossJoin(have.select(second).distinct())
+    return grid.join(have, [first, second], "left_anti").select(first, second)
 
 
 def missing_rate_report(df: DataFrame, groups: Mapping[str, Sequence[str]]) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +30,7 @@ from tidemark.operators.aggregate import (
     sum_where,
     weighted_mean,
 )
-from tidemark.operators.ranks import percentile_offset
+from tidemark.operators.ranks import histogram_offset, value_histogram
 from tidemark.operators.window import period_shift, previous, top_k, trailing_mean, with_change
 
 # Bands and the at-risk rule.
@@ -123,17 +125,39 @@ def mrr_flow(subs: DataFrame, month: str, name: str) -> DataFrame:
     return subs.dropna(subset=[month]).groupBy(F.col(month).alias("month")).agg(F.sum("monthly_revenue").alias(name))
 
 
+def mrr_events(subs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Signup and churn of every subscription as rows (month, event, mrr): both date roles in one pass."""
+    gone = F.when(F.col("is_churned") == 1, F.col("churn_month"))
+    roles = [F.struct(m.alias("month"), F.lit(e).alias("event")) for m, e in ((F.col("signup_month"), "new"),
+                                                                              (gone, "churned"))]
+    return subs.select(*keep, F.col("monthly_revenue").alias("mrr"), F.inline(F.array(*roles))).dropna(subset=["month"])
+
+
+def _event_sum(event: str) -> Column:
+    return F.sum(F.when(F.col("event") == event, F.col("mrr")))
+
+
+# Measures over `mrr_events`, for any slice of its columns.
+MRR_MEASURES = Measures(
+    new_mrr=lambda: F.coalesce(_event_sum("new"), F.lit(0)),
+    churned_mrr=lambda: F.coalesce(_event_sum("churned"), F.lit(0)),
+    net_new_mrr=lambda: round_to(
+        F.coalesce(_event_sum("new"), F.lit(0)) - F.coalesce(_event_sum("churned"), F.lit(0)), 2),
+)
+
+
+def mrr_flows(subs: DataFrame) -> DataFrame:
+    """New and churned revenue per month; NULL where there is no such event."""
+    return mrr_events(subs).groupBy("month").agg(
+        _event_sum("new").alias("new_mrr"), _event_sum("churned").alias("churned_mrr"))
+
+
 def net_new_mrr(monthly: DataFrame, subs: DataFrame) -> DataFrame:
     """New minus churned revenue on the month spine.
 
-    Each flow is summed per month before it is joined.
+    The flows are summed per month before they are joined.
     """
-    gone = subs.where(F.col("is_churned") == 1)
-    joined = (
-        monthly.select("month", "total_mrr")
-        .join(mrr_flow(subs, "signup_month", "new_mrr"), "month", "left")
-        .join(mrr_flow(gone, "churn_month", "churned_mrr"), "month", "left")
-    )
+    joined = monthly.select("month", "total_mrr").join(mrr_flows(subs), "month", "left")
     new, lost = F.coalesce("new_mrr", F.lit(0)), F.coalesce("churned_mrr", F.lit(0))
     return joined.select("month", "total_mrr", new.alias("new_mrr"), lost.alias("churned_mrr"),
                          round_to(new - lost, 2).alias("net_new_mrr"))
@@ -198,10 +222,10 @@ def nps_band(col: str = "nps_score") -> Column:
 
 def threshold_from_churned(subs: DataFrame, p: float = 0.6) -> DataFrame:
     """Mean and rank-offset percentile of usage among churned customers."""
-    gone = subs.where(F.col("is_churned") == 1)
-    average = gone.agg(round_to(mean("feature_usage_pct"), 1).alias("avg_usage_at_churn"))
-    point = percentile_offset(gone, "feature_usage_pct", p, name="usage_p60_at_churn")
-    return average.crossJoin(F.broadcast(point))
+    usage = "feature_usage_pct"
+    hist = value_histogram(subs.where(F.col("is_churned") == 1), usage)
+    average = hist.agg(round_to(safe_div(F.sum(F.col(usage) * F.col("n")), F.sum("n")), 1).alias("avg_usage_at_churn"))
+    return average.crossJoin(F.broadcast(histogram_offset(hist, usage, p, name="usage_p60_at_churn")))
 
 
 def at_risk(usage: str = "feature_usage_pct", nps: str = "nps_score") -> Column:
@@ -263,12 +287,8 @@ MONTHLY_MEASURES = Measures(
 
 def role_playing_mrr(calendar_months: DataFrame, subs: DataFrame) -> DataFrame:
     """New, churned and net MRR per calendar month: one calendar, two roles."""
-    gone = subs.where(F.col("churned") == "Yes")
-    new = mrr_flow(subs, "signup_month", "new_mrr")
-    lost = mrr_flow(gone, "churn_month", "churned_mrr")
     return (
-        calendar_months.select(F.col("month_key").alias("month"))
-        .join(new, "month", "left").join(lost, "month", "left")
+        calendar_months.select(F.col("month_key").alias("month")).join(mrr_flows(subs), "month", "left")
         .withColumn("net_new_mrr", round_to(
             F.coalesce("new_mrr", F.lit(0)) - F.coalesce("churned_mrr", F.lit(0)), 2))
     )

@@ -15,6 +15,7 @@ from tidemark.operators.aggregate import (
     rows,
     share_of_total,
     share_within,
+    sum_where,
 )
 from tidemark.operators.clean import canonicalize, dedup_key
 from tidemark.operators.reshape import stack_rows
@@ -228,6 +229,17 @@ def _speeding() -> Column:
     return count_where(F.col("contributing_factor_1") == SPEEDING)
 
 
+def _outcome(name: str) -> Column:
+    return sum_where("value", F.col("outcome") == name)
+
+
+# Measures over the long table of persons by road user and outcome.
+ROAD_USER_MEASURES = Measures(
+    injured=lambda: _outcome("Injured"),
+    killed=lambda: _outcome("Killed"),
+    fatality_rate_when_involved=lambda: pct(_outcome("Killed"), _outcome("Killed") + _outcome("Injured"), 4),
+)
+
 INCIDENT_MEASURES = Measures(
     total_crashes=rows,
     total_injured=lambda: F.sum("persons_injured"),

@@ -5,11 +5,12 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import as_double, clamp, round_to
@@ -17,7 +18,7 @@ from tidemark.operators.aggregate import mean, one_row, rows, share_of_total
 from tidemark.operators.clean import canonicalize, dedup_rows, require
 from tidemark.operators.ranks import lerp, order_statistics
 from tidemark.operators.window import average_rank
-from tidemark.runtime import attach, materialize, stage
+from tidemark.runtime import attach, materialize
 
 # Segment names from best to worst composite rank.
 SEGMENT_NAMES = ["Champions", "Loyal Regulars", "At Risk", "Hibernating / Lost"]
@@ -45,10 +46,10 @@ def clean_transactions(raw: DataFrame, countries, q: float = 0.995) -> DataFrame
     Prices are capped at the category's q-quantile, then missing prices take
     the median of the capped prices. Capping keeps the order of the prices, so
     that median follows from the two middle prices and the cap: one histogram
-    serves both steps. The distinct rows are written once, since the histogram
-    and the result both read them.
+    serves both steps, and is all that is computed here. Reports that share the
+    view read it through `runtime.kept`.
     """
-    rows_once = stage(dedup_rows(raw))
+    rows_once = dedup_rows(raw)
     df = canonicalize(rows_once, "country", countries, strip=True)
     stats = order_statistics(rows_once, "unit_price", ["category"], {"cap": q, "mid": 0.5})
     cap = lerp(F.col("cap_lo"), F.col("cap_hi"), F.col("cap_frac"))
@@ -66,10 +67,6 @@ def sales_of(cleaned: DataFrame) -> DataFrame:
     return with_line_total(cleaned).where(F.col("quantity") > 0)
 
 
-def returns_of(cleaned: DataFrame) -> DataFrame:
-    return with_line_total(cleaned).where(F.col("quantity") < 0)
-
-
 def customer_sales(sales: DataFrame) -> DataFrame:
     """Sales with a known customer; guests count only in revenue totals."""
     return require(sales, ["customer_id"])
@@ -144,6 +141,36 @@ def inertia_by_k(vectors: DataFrame, ks: Sequence[int] = range(2, 9), n_init: in
     return {k: m.summary.trainingCost for k, m in best_fits(vectors, list(ks), n_init, seed).items()}
 
 
+def centre_table(model: KMeansModel, spark: SparkSession, cols: Sequence[str] = FEATURES) -> DataFrame:
+    """The k centres of a model, one row each."""
+    rows_ = [(i, *map(float, c)) for i, c in enumerate(model.clusterCenters())]
+    return spark.createDataFrame(rows_, "cluster int, " + ", ".join(f"z_{c} double" for c in cols))
+
+
+def assign(scaled: DataFrame, centres: DataFrame, by: str = "cluster", cols: Sequence[str] = FEATURES) -> DataFrame:
+    """Nearest centre and squared distance on every row; equal distances go to the least centre.
+
+    The k centres travel as one row.
+    """
+    packed = centres.agg(F.collect_list(F.struct(by, *[f"z_{c}" for c in cols])).alias("_centres"))
+
+    def distance(c) -> Column:
+        return reduce(lambda a, b: a + b, [F.pow(F.col(f"z_{x}") - c[f"z_{x}"], F.lit(2.0)) for x in cols])
+
+    nearest = F.array_min(F.transform("_centres", lambda c: F.struct(distance(c).alias("d"), c[by].alias("k"))))
+    return scaled.drop(by).crossJoin(F.broadcast(packed)).withColumn("_nearest", nearest).withColumns(
+        {by: F.col("_nearest.k"), "distance": F.col("_nearest.d")}).drop("_centres", "_nearest")
+
+
+def update_centres(assigned: DataFrame, by: str = "cluster", cols: Sequence[str] = FEATURES) -> DataFrame:
+    """Means of the rows assigned to each centre."""
+    return assigned.groupBy(by).agg(*[F.avg(f"z_{c}").alias(f"z_{c}") for c in cols])
+
+
+def inertia(assigned: DataFrame) -> DataFrame:
+    return assigned.agg(F.sum("distance").alias("inertia"))
+
+
 def segment(rfm_table: DataFrame, k: int = 4, n_init: int = 10, seed: int = 42) -> DataFrame:
     """RFM rows with their cluster.
 

@@ -14,6 +14,7 @@ from tidemark.plans.incidents import incident_view
 from tidemark.plans.profit import order_profit_view
 from tidemark.plans.rfm import clean_transactions, sales_of
 from tidemark.queries.oracle import CTES
+from tidemark.runtime import kept
 from tidemark.sources.roles import SNAPSHOT, Tables
 
 
@@ -35,7 +36,7 @@ class Inputs(Tables):
 
     @property
     def lines(self) -> DataFrame:
-        return order_profit_view(self.order_lines_raw, self.products)
+        return kept(self.spark, f"{self.path}/lines", lambda: order_profit_view(self.order_lines_raw, self.products))
 
     @property
     def incidents(self) -> DataFrame:
@@ -43,7 +44,8 @@ class Inputs(Tables):
 
     @property
     def tx(self) -> DataFrame:
-        return clean_transactions(self.transactions_raw, self.country_names)
+        return kept(self.spark, f"{self.path}/tx",
+                    lambda: clean_transactions(self.transactions_raw, self.country_names))
 
     @property
     def sales(self) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import ordinal
+from tidemark.operators.aggregate import Calculated
 from tidemark.plans import churn as ch
 from tidemark.plans import segments as sg
 from tidemark.queries.base import query
@@ -350,6 +351,17 @@ def _(t):
     return ch.MONTHLY_MEASURES.evaluate(yearly, by=["year"])
 
 
+@query("agg_21_mrr_measures", "subs_v", sql=f"""
+WITH e AS (SELECT signup_month AS month, plan, monthly_revenue AS n, 0 AS c FROM subs_v
+  UNION ALL SELECT churn_month, plan, 0, monthly_revenue FROM subs_v WHERE is_churned = 1)
+SELECT month, plan, {D('SUM(n)')} AS new_mrr, {D('SUM(c)')} AS churned_mrr, {R('SUM(n) - SUM(c)')} AS net_new_mrr,
+       {D('SUM(SUM(n)) OVER (PARTITION BY month)')} AS new_mrr_all_plans
+FROM e WHERE month IS NOT NULL GROUP BY month, plan""")
+def _(t):
+    return ch.MRR_MEASURES.evaluate(ch.mrr_events(t.subs_v, ["plan"]), by=["month", "plan"],
+                                    calculated={"new_mrr_all_plans": Calculated("new_mrr", all_of=("plan",))})
+
+
 @query("jon_13_role_playing_date", "subs_v", sql=f"""
 WITH cal AS (SELECT DISTINCT strftime(d, '%Y-%m') AS month FROM (
   SELECT UNNEST(generate_series(MIN(signup_date), MAX(signup_date), INTERVAL 1 DAY)) AS d FROM subs_v)),

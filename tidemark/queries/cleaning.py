@@ -52,14 +52,14 @@ def _(t):
 
 @query("cln_4_canonicalize_table", "tx_raw", sql=f"""
 SELECT COALESCE(n.n_name, x.country) AS country, {N} AS n
-FROM tx_raw x LEFT JOIN nation n ON lower(n.n_name) = lower(trim(x.country)) GROUP BY 1""")
+FROM tx_raw x LEFT JOIN nation n ON lower(n.n_name) = lower(trim(x.country, ' ' || chr(9))) GROUP BY 1""")
 def _(t):
     return cl.canonicalize(t.transactions_raw, "country", t.country_names, strip=True).groupBy("country").agg(
         rows().alias("n"))
 
 
 @query("cln_5_trim_text", "tx_raw", sql=f"""
-SELECT trim(country) AS country, {N} AS n FROM tx_raw GROUP BY 1""")
+SELECT trim(replace(country, chr(9), '')) AS country, {N} AS n FROM tx_raw GROUP BY 1""")
 def _(t):
     return cl.trim_text(t.transactions_raw, ["country", "channel", "category"]).groupBy("country").agg(
         rows().alias("n"))

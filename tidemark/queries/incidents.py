@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators.aggregate import share_within
+from tidemark.functions import pct
+from tidemark.operators.aggregate import Calculated, share_within
 from tidemark.operators.reshape import unpivot_counts
 from tidemark.plans import incidents as ic
 from tidemark.queries.base import query
@@ -240,6 +241,36 @@ def _(t):
     return ic.by_role(t.incidents)
 
 
+@query("agg_21_measure_filter_context", "inc", sql=f"""
+SELECT borough, crash_year, {N} AS total_crashes, {KIL} AS total_killed,
+       {I('SUM(COUNT(*)) OVER (PARTITION BY crash_year)')} AS all_borough_crashes,
+       {I('SUM(COUNT(*)) OVER ()')} AS all_crashes,
+       {I('NULLIF(SUM(CASE WHEN persons_injured > 0 THEN 1 ELSE 0 END), 0)')} AS injury_crashes
+FROM inc GROUP BY borough, crash_year""")
+def _(t):
+    return ic.INCIDENT_MEASURES.evaluate(t.incidents, ["total_crashes", "total_killed"], ["borough", "crash_year"], {
+        "all_borough_crashes": Calculated("total_crashes", all_of=("borough",)),
+        "all_crashes": Calculated("total_crashes", all_of=("borough", "crash_year")),
+        "injury_crashes": Calculated("total_crashes", where=F.col("persons_injured") > 0)})
+
+
+@query("agg_21_road_user_measures", "inc", sql=f"""
+WITH u AS ({_unpivot('crash_year, ', 'GROUP BY crash_year')}),
+m AS (SELECT crash_year, road_user, {I("SUM(CASE WHEN outcome = 'Injured' THEN value ELSE 0 END)")} AS injured,
+             {I("SUM(CASE WHEN outcome = 'Killed' THEN value ELSE 0 END)")} AS killed FROM u GROUP BY crash_year, road_user)
+SELECT *, {P('killed', 'killed + injured', 4)} AS fatality_rate_when_involved,
+       {P('injured', 'SUM(injured) OVER (PARTITION BY crash_year)', 4)} AS pct_of_all_injured,
+       {P('killed', 'SUM(killed) OVER (PARTITION BY crash_year)', 4)} AS pct_of_all_killed
+FROM m""")
+def _(t):
+    yearly = t.incidents.groupBy("crash_year").agg(*[F.sum(c).alias(c) for c in ROAD_USER_COLUMNS])
+    long = unpivot_counts(yearly, ["crash_year"], ROAD_USER_COLUMNS)
+    every = {f"all_{m}": Calculated(m, all_of=("road_user",)) for m in ("injured", "killed")}
+    out = ic.ROAD_USER_MEASURES.evaluate(long, by=["crash_year", "road_user"], calculated=every)
+    shares = {f"pct_of_all_{m}": pct(m, f"all_{m}", 4) for m in ("injured", "killed")}
+    return out.withColumns(shares).drop(*every)
+
+
 @query("agg_21_measure_all_filter", "inc", sql=f"""
 WITH u AS ({_unpivot('crash_year, ', 'GROUP BY crash_year')})
 SELECT crash_year, road_user, outcome, value,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import pct, round_to, safe_div
@@ -10,6 +11,7 @@ from tidemark.operators.window import period_shift, top_k
 from tidemark.plans import incidents as ic
 from tidemark.plans import marketing as mk
 from tidemark.plans import profit as pf
+from tidemark.plans.churn import mrr_events
 from tidemark.queries.base import query
 from tidemark.queries.oracle import D, I, MEAN, N, P, Q, R
 from tidemark.runtime import attach, stage
@@ -41,10 +43,9 @@ SELECT months.month, {I('COALESCE(n.c, 0)')} AS signups, {I('COALESCE(g.c, 0)')}
 FROM months LEFT JOIN n ON n.month = months.month LEFT JOIN g ON g.month = months.month""")
 def _(t):
     spine = t.monthly_revenue.select("month")
-    new = t.subs_v.groupBy(F.col("signup_month").alias("month")).agg(rows().alias("signups"))
-    gone = t.subs_v.where(F.col("is_churned") == 1).groupBy(F.col("churn_month").alias("month")).agg(
-        rows().alias("churns"))
-    joined = spine.join(new, "month", "left").join(gone, "month", "left")
+    events = mrr_events(t.subs_v).groupBy("month").agg(
+        F.count_if(F.col("event") == "new").alias("signups"), F.count_if(F.col("event") == "churned").alias("churns"))
+    joined = spine.join(events, "month", "left")
     return joined.fillna(0, ["signups", "churns"])
 
 
@@ -65,9 +66,10 @@ WITH top5 AS (SELECT l_suppkey FROM lineitem GROUP BY l_suppkey ORDER BY COUNT(*
 SELECT l_suppkey, l_returnflag, {N} AS n FROM lineitem WHERE l_suppkey IN (SELECT l_suppkey FROM top5)
 GROUP BY l_suppkey, l_returnflag""")
 def _(t):
-    leaders = top_k(t.lineitem.groupBy("l_suppkey").agg(rows().alias("n")), "n", 5, "l_suppkey")
-    kept = t.lineitem.join(F.broadcast(leaders.select("l_suppkey")), "l_suppkey", "left_semi")
-    return kept.groupBy("l_suppkey", "l_returnflag").agg(rows().alias("n"))
+    # the five rows are broadcast; leaders and result read the same counted cells
+    cells = t.lineitem.where("l_suppkey is not null").groupBy("l_suppkey", "l_returnflag").agg(rows().alias("n"))
+    leaders = top_k(cells.groupBy("l_suppkey").agg(F.sum("n").alias("n")), "n", 5, "l_suppkey")
+    return cells.join(F.broadcast(leaders.select("l_suppkey")), "l_suppkey", "left_semi")
 
 
 @query("jon_7_cross_join_one_row", sql=f"""
@@ -142,9 +144,8 @@ SELECT month, platform, {P('spend', 'SUM(spend) OVER (PARTITION BY month)', 4)}
 FROM marketing""")
 def _(t):
     cells = t.marketing.select("month", "platform", "spend")
-    by_month = cells.groupBy("month").agg(F.sum("spend").alias("m"))
-    by_platform = cells.groupBy("platform").agg(F.sum("spend").alias("p"))
-    return cells.join(by_month, "month").join(by_platform, "platform").select(
+    both = cells.withColumns({c: F.sum("spend").over(Window.partitionBy(by)) for c, by in (("m", "month"), ("p", "platform"))})
+    return both.select(
         "month", "platform", pct("spend", "m", 4).alias("pct_of_month"), pct("spend", "p", 4).alias("pct_of_platform"))
 
 

@@ -145,7 +145,8 @@ LEFT JOIN (SELECT month, SUM(spend) AS spend FROM marketing GROUP BY month) s ON
 
 CTES["inc_raw"] = (("geo",), """
 SELECT strftime(l.l_shipdate, '%m/%d/%Y') AS crash_date_text,
-       lpad(CAST(l.l_suppkey % 24 AS VARCHAR), 2, '0') || ':' || lpad(CAST(l.l_partkey % 60 AS VARCHAR), 2, '0')
+       CASE WHEN l.l_partkey % 7 = 0 THEN CAST(l.l_suppkey % 24 AS VARCHAR)
+            ELSE lpad(CAST(l.l_suppkey % 24 AS VARCHAR), 2, '0') END || ':' || lpad(CAST(l.l_partkey % 60 AS VARCHAR), 2, '0')
          AS crash_time,
        CASE WHEN l.l_suppkey % 11 = 0 THEN NULL ELSE g.r_name END AS borough,
        lpad(CAST(l.l_suppkey % 1000 AS VARCHAR), 5, '0') AS zip_code,
@@ -163,7 +164,8 @@ SELECT strftime(l.l_shipdate, '%m/%d/%Y') AS crash_date_text,
        CASE WHEN l.l_quantity = 50 AND l.l_partkey % 4 = 1 THEN 1 ELSE 0 END AS cyclists_killed,
        CASE WHEN l.l_quantity BETWEEN 7 AND 14 THEN 2 ELSE 0 END AS motorists_injured,
        CASE WHEN l.l_quantity = 50 AND l.l_partkey % 4 = 2 THEN 1 ELSE 0 END AS motorists_killed,
-       CASE WHEN p.p_size <= 15 THEN 'Unspecified' ELSE p.p_brand END AS contributing_factor_1,
+       CASE WHEN p.p_size <= 15 THEN 'Unspecified' WHEN p.p_size <= 20 THEN 'Unsafe Speed' ELSE p.p_brand END
+         AS contributing_factor_1,
        p.p_name AS contributing_factor_2,
        CASE WHEN l.l_linenumber = 2 THEN lower(p.p_type) ELSE p.p_type END AS vehicle_type_1,
        CASE WHEN l.l_linenumber = 3 THEN NULL ELSE lower(p.p_type) END AS vehicle_type_2,
@@ -178,7 +180,7 @@ SELECT * REPLACE (CASE WHEN latitude = 0 AND longitude = 0 THEN NULL ELSE latitu
        CAST(strptime(crash_date_text, '%m/%d/%Y') AS DATE) AS crash_date,
        CAST(substr(crash_date_text, 7, 4) AS INTEGER) AS crash_year,
        CAST(substr(crash_date_text, 1, 2) AS INTEGER) AS crash_month,
-       CAST(substr(crash_time, 1, 2) AS INTEGER) AS crash_hour,
+       CAST(regexp_extract(substr(crash_time, 1, 2), '^[0-9]+') AS INTEGER) AS crash_hour,
        CASE WHEN lower(vehicle_type_1) IN ('economy', 'large', 'medium', 'promo', 'small', 'standard')
             THEN upper(vehicle_type_1) ELSE vehicle_type_1 END AS vehicle_type_1_clean,
        CASE WHEN lower(vehicle_type_2) IN ('economy', 'large', 'medium', 'promo', 'small', 'standard')
@@ -192,7 +194,7 @@ SELECT b.* FROM (
          CAST(o.o_orderdate AS DATE) AS invoice_date,
          CASE WHEN l.l_orderkey % 25 = 0 THEN NULL ELSE o.o_custkey END AS customer_id,
          p.p_type AS category, c.c_mktsegment AS channel,
-         CASE WHEN l.l_orderkey % 3 = 0 THEN lower(t.n_name) WHEN l.l_orderkey % 3 = 1 THEN concat(' ', t.n_name)
+         CASE WHEN l.l_orderkey % 3 = 0 THEN lower(t.n_name) WHEN l.l_orderkey % 3 = 1 THEN concat(chr(9), ' ', t.n_name)
               ELSE t.n_name END AS country,
          CASE WHEN l.l_orderkey % 50 = 9 THEN -CAST(l.l_quantity AS INT) ELSE CAST(l.l_quantity AS INT) END AS quantity,
          CASE WHEN l.l_orderkey % 331 = 2 THEN NULL
@@ -204,7 +206,7 @@ JOIN (SELECT 0 AS copy UNION ALL SELECT 1) k ON k.copy = 0 OR b.invoice_no % 100
 
 CTES["tx_named"] = (("tx_raw",), """
 SELECT d.* REPLACE (COALESCE(t.n_name, d.country) AS country)
-FROM (SELECT DISTINCT * FROM tx_raw) d LEFT JOIN nation t ON lower(t.n_name) = lower(trim(d.country))""")
+FROM (SELECT DISTINCT * FROM tx_raw) d LEFT JOIN nation t ON lower(t.n_name) = lower(trim(d.country, ' ' || chr(9)))""")
 CTES["tx_caps"] = (("tx_named",), """
 SELECT category, CAST(quantile_cont(CAST(unit_price AS DOUBLE), 0.995) AS DECIMAL(18,6)) AS cap
 FROM tx_named WHERE unit_price IS NOT NULL GROUP BY category""")

@@ -19,6 +19,7 @@ from tidemark.functions import (
     per_mille,
     round_to,
     safe_div,
+    strip_space,
     us_date,
     verdict,
     year_of_key,
@@ -64,7 +65,7 @@ def _(t):
 
 @query("prj_5_date_parts", "inc_raw", sql=f"""
 SELECT CAST(substr(crash_date_text, 7, 4) AS INTEGER) AS y, CAST(substr(crash_date_text, 1, 2) AS INTEGER) AS m,
-       CAST(substr(crash_time, 1, 2) AS INTEGER) AS h, {N} AS n
+       CAST(regexp_extract(substr(crash_time, 1, 2), '^[0-9]+') AS INTEGER) AS h, {N} AS n
 FROM inc_raw GROUP BY 1, 2, 3""")
 def _(t):
     parsed = t.incidents_raw.select(us_date("`CRASH DATE`").alias("d"), hour_of_time("`CRASH TIME`").alias("h"))
@@ -167,14 +168,14 @@ def _(t):
 
 
 @query("prj_17_text_helpers", "tx_raw", sql="""
-SELECT invoice_no, line_no, product_id, lower(trim(country)) AS spelled, substr(category, 1, 3) AS short_category,
+SELECT invoice_no, line_no, product_id, lower(trim(country, ' ' || chr(9))) AS spelled, substr(category, 1, 3) AS short_category,
        category || '/' || channel AS path, CAST(customer_id AS VARCHAR) || '-' || channel AS tag,
        COALESCE(CAST(customer_id AS VARCHAR), 'guest') AS customer
 FROM tx_raw""")
 def _(t):
     text_id = F.col("customer_id").cast("string")
     return t.transactions_raw.select(
-        "invoice_no", "line_no", "product_id", F.lower(F.trim("country")).alias("spelled"),
+        "invoice_no", "line_no", "product_id", F.lower(strip_space("country")).alias("spelled"),
         F.substring("category", 1, 3).alias("short_category"),
         F.concat("category", F.lit("/"), "channel").alias("path"),
         F.concat(text_id, F.lit("-"), "channel").alias("tag"), F.coalesce(text_id, F.lit("guest")).alias("customer"))

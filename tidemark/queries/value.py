@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.functions import as_double
+from tidemark.functions import as_double, round_to
 from tidemark.operators.aggregate import resample_month
 from tidemark.plans import cohort as co
 from tidemark.plans import rfm as rf
@@ -71,40 +71,98 @@ def _clustered(t):
     return rf.segment(rf.rfm(t.sales))
 
 
-@query("sta_2_kmeans_segment")
+# What is fitted differs between libraries; the facts below hold for any right fit.
+FOUR = "CAST(4 AS BIGINT) AS segments"
+
+
+@query("sta_2_kmeans_segment", "rfm", sql=f"""
+SELECT {N} AS customers, {FOUR}, CAST(0 AS BIGINT) AS nearer_elsewhere, {R('SUM(monetary)')} AS monetary FROM rfm""")
 def _(t):
-    return _clustered(t)
+    vectors = rf.feature_table(rf.log_scale(materialize(rf.rfm(t.sales))))
+    model = rf.best_fits(vectors, [4])[4].setPredictionCol("fitted")
+    placed = rf.assign(model.transform(vectors), rf.centre_table(model, t.spark))
+    return placed.agg(
+        F.count("*").alias("customers"), F.countDistinct("fitted").alias("segments"),
+        F.count_if(F.col("fitted") != F.col("cluster")).alias("nearer_elsewhere"),
+        round_to(F.sum("monetary"), 2).alias("monetary"))
 
 
-@query("sta_3_inertia_by_k")
+@query("sta_3_inertia_by_k", sql="SELECT CAST(k AS INTEGER) AS k, FALSE AS rising FROM range(2, 9) t(k)")
 def _(t):
     table = rf.feature_table(rf.log_scale(materialize(rf.rfm(t.sales))))
-    points = [(k, float(v)) for k, v in rf.inertia_by_k(table).items()]
-    return t.spark.createDataFrame(points, "k int, inertia double")
+    points = sorted((k, float(v)) for k, v in rf.inertia_by_k(table).items())
+    rising = [(k, bool(i and v > points[i - 1][1])) for i, (k, v) in enumerate(points)]
+    return t.spark.createDataFrame(rising, "k int, rising boolean")
+
+
+def _channel_centres(t):
+    """Scaled customers, and the means of each channel as four fixed centres."""
+    scaled = rf.log_scale(materialize(rf.rfm(t.sales)))
+    return scaled, rf.update_centres(scaled, by="channel")
+
 
+CENTRES = f"""z AS (SELECT customer_id, channel, {", ".join(
+    f"(ln(1 + {D(c)}) - AVG(ln(1 + {D(c)})) OVER ()) / STDDEV_POP(ln(1 + {D(c)})) OVER () AS z_{c}" for c in rf.FEATURES)}
+  FROM rfm),
+c AS (SELECT channel AS k, {", ".join(f"AVG(z_{c}) AS c_{c}" for c in rf.FEATURES)} FROM z GROUP BY channel),
+d AS (SELECT customer_id, k, {" + ".join(f"pow(z_{c} - c_{c}, 2)" for c in rf.FEATURES)} AS d,
+  {", ".join(f"z_{c}" for c in rf.FEATURES)} FROM z CROSS JOIN c),
+a AS (SELECT * FROM d QUALIFY ROW_NUMBER() OVER (PARTITION BY customer_id ORDER BY d, k) = 1)"""
 
-@query("rfm_4_segment_profile")
+
+@query("sta_2_assign_to_centres", "rfm", sql=f"WITH {CENTRES} SELECT customer_id, k AS channel, ROUND(d, 5) AS distance FROM a")
 def _(t):
-    return rf.segment_profile(_clustered(t))
+    placed = rf.assign(*_channel_centres(t), by="channel")
+    return placed.select("customer_id", "channel", F.round("distance", 5).alias("distance"))
 
 
-@query("rfm_5_label_segments")
+@query("sta_2_update_centres", "rfm", sql=f"""
+WITH {CENTRES} SELECT k AS channel, {", ".join(f"ROUND(AVG(z_{c}), 6) AS z_{c}" for c in rf.FEATURES)} FROM a GROUP BY k""")
 def _(t):
-    return rf.label_segments(rf.segment_profile(_clustered(t)))
+    centres = rf.update_centres(rf.assign(*_channel_centres(t), by="channel"), by="channel")
+    return centres.select("channel", *[F.round(f"z_{c}", 6).alias(f"z_{c}") for c in rf.FEATURES])
 
 
-@query("rfm_6_segment_share")
+@query("sta_3_inertia_at_centres", "rfm", sql=f"WITH {CENTRES} SELECT ROUND(SUM(d), 4) AS inertia FROM a")
 def _(t):
-    return rf.segment_share(rf.label_segments(rf.segment_profile(_clustered(t))))
+    return rf.inertia(rf.assign(*_channel_centres(t), by="channel")).select(F.round("inertia", 4).alias("inertia"))
+
 
+@query("rfm_4_segment_profile", "rfm", sql=f"SELECT {N} AS customers, {FOUR}, TRUE AS revenue_reconciles FROM rfm")
+def _(t):
+    clustered = _clustered(t)
+    total = clustered.agg(as_double(F.sum("monetary")).alias("total"))
+    profile = rf.segment_profile(clustered).agg(
+        F.sum("customers").alias("customers"), F.count("*").alias("segments"), F.sum("total_revenue").alias("revenue"))
+    return profile.crossJoin(F.broadcast(total)).select(
+        "customers", "segments", (F.abs(F.col("revenue") - F.col("total")) < 0.5).alias("revenue_reconciles"))
 
-@query("rfm_7_export_segments")
+
+@query("rfm_5_label_segments", sql="SELECT UNNEST(['Champions', 'Loyal Regulars', 'At Risk', 'Hibernating / Lost']) AS segment")
+def _(t):
+    return rf.label_segments(rf.segment_profile(_clustered(t))).select("segment")
+
+
+@query("rfm_6_segment_share", sql=f"SELECT {FOUR}, TRUE AS customers_sum_to_all, TRUE AS revenue_sums_to_all")
+def _(t):
+    share = rf.segment_share(rf.label_segments(rf.segment_profile(_clustered(t))))
+    whole = [(F.abs(F.sum(f"pct_of_{c}") - 100) < 0.25).alias(n) for c, n in (
+        ("customers", "customers_sum_to_all"), ("revenue", "revenue_sums_to_all"))]
+    return share.agg(F.count("*").alias("segments"), *whole)
+
+
+@query("rfm_7_export_segments", "rfm", sql=f"""
+SELECT {N} AS customers, {FOUR}, {I('SUM(recency)')} AS recency, {I('SUM(frequency)')} AS frequency, {R('SUM(monetary)')} AS monetary
+FROM rfm""")
 def _(t):
     clustered = _clustered(t)
     labelled = rf.label_customers(clustered, rf.label_segments(rf.segment_profile(clustered)))
     path = export(labelled, rf.EXPORT_COLUMNS, scratch_path(t.spark, "segments"))
-    return read_table(t.spark, path, "customer_id bigint, channel string, recency int, frequency bigint, "
-                                     "monetary decimal(38,6), segment string")
+    stored = read_table(t.spark, path, "customer_id bigint, channel string, recency int, frequency bigint, "
+                                       "monetary decimal(38,12), segment string")
+    return stored.agg(F.countDistinct("customer_id").alias("customers"), F.countDistinct("segment").alias("segments"),
+                      F.sum("recency").alias("recency"), F.sum("frequency").alias("frequency"),
+                      round_to(F.sum("monetary"), 2).alias("monetary"))
 
 
 # Profile, labels and shares over the channel as a fixed grouping: the same

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 # A grouped statistic is broadcast only up to this many rows.
 BROADCAST_ROWS = 200_000
@@ -53,6 +55,33 @@ def stage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_kept: dict[tuple[str, str], tuple[str, StructType]] = {}
+
+
+def kept(spark: SparkSession, key: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A cleaned table, written once a session in the shared folder and read many times.
+
+    The first call under a key builds and writes it; every report then prunes its
+    own scan of the written table. `drop_kept` removes the files.
+    """
+    name = (spark.sparkContext.applicationId, key)
+    if name not in _kept:
+        df = build()
+        path = scratch_path(spark, "kept")
+        df.write.parquet(path)
+        _kept[name] = path, df.schema
+    path, schema = _kept[name]
+    return spark.read.schema(schema).parquet(path)
+
+
+def drop_kept(spark: SparkSession) -> None:
+    """Remove the tables that `kept` has written in this session."""
+    context = spark.sparkContext
+    for name in [k for k in _kept if k[0] == context.applicationId]:
+        path = context._jvm.org.apache.hadoop.fs.Path(_kept.pop(name)[0])
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def attach(rows: DataFrame, stats: DataFrame, on: str | list[str], how: str = "left",
            max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Join a per-group statistic back onto its rows.

@@ -33,22 +33,6 @@ def with_copies(df: DataFrame, test: Column) -> DataFrame:
     return df.withColumn("_copy", F.explode(copies)).drop("_copy")
 
 
-# Tables in this size range may come in fewer splits than there are cores.
-SPREAD_BYTES = (4 << 20, 256 << 20)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Share a small file-based table among the cores of the session.
-
-    A file with one row group is read by one task, whatever its splits. Larger
-    tables have splits enough and are left as they are.
-    """
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    few = SPREAD_BYTES[0] <= size <= SPREAD_BYTES[1] and df.rdd.getNumPartitions() < cores
-    return df.repartition(cores) if few else df
-
-
 class Tables:
     """The tables of one data directory and the role views over them."""
 
@@ -60,9 +44,7 @@ class Tables:
         return self.spark.read.parquet(f"{self.path}/{name}.parquet")
 
     def __getattr__(self, name: str) -> DataFrame:
-        if name == "lineitem":
-            return spread(self.read(name))
-        if name in {"region", "nation", "customer", "supplier", "part", "orders", "events"}:
+        if name in {"region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"}:
             return self.read(name)
         raise AttributeError(name)
 
@@ -214,7 +196,8 @@ class Tables:
             .join(self.geography, F.col("s_nationkey") == F.col("n_nationkey"))
             .select(
                 F.date_format("l_shipdate", "MM/dd/yyyy").alias("CRASH DATE"),
-                F.concat(two(F.col("l_suppkey") % 24), F.lit(":"), two(p % 60)).alias("CRASH TIME"),
+                F.concat(F.when(p % 7 == 0, (F.col("l_suppkey") % 24).cast("string")).otherwise(two(F.col("l_suppkey") % 24)),
+                         F.lit(":"), two(p % 60)).alias("CRASH TIME"),
                 F.when(F.col("l_suppkey") % 11 == 0, None).otherwise(F.col("r_name")).alias("BOROUGH"),
                 F.lpad((F.col("l_suppkey") % 1000).cast("string"), 5, "0").alias("ZIP CODE"),
                 F.when(lost, 0.0).otherwise(F.lit(40.0) + F.col("l_suppkey") / F.lit(100.0)).alias("LATITUDE"),
@@ -230,7 +213,8 @@ class Tables:
                 killed[1].alias("NUMBER OF CYCLIST KILLED"),
                 mot.alias("NUMBER OF MOTORIST INJURED"),
                 killed[2].alias("NUMBER OF MOTORIST KILLED"),
-                F.when(F.col("p_size") <= 15, "Unspecified").otherwise(F.col("p_brand"))
+                F.when(F.col("p_size") <= 15, "Unspecified").when(F.col("p_size") <= 20, "Unsafe Speed")
+                .otherwise(F.col("p_brand"))
                 .alias("CONTRIBUTING FACTOR VEHICLE 1"),
                 F.col("p_name").alias("CONTRIBUTING FACTOR VEHICLE 2"),
                 F.when(F.col("l_linenumber") == 2, F.lower("p_type")).otherwise(F.col("p_type"))
@@ -259,7 +243,7 @@ class Tables:
                 F.when(key % 25 == 0, None).otherwise(F.col("o_custkey")).alias("customer_id"),
                 F.col("p_type").alias("category"),
                 F.col("c_mktsegment").alias("channel"),
-                F.when(key % 3 == 0, F.lower("n_name")).when(key % 3 == 1, F.concat(F.lit(" "), "n_name"))
+                F.when(key % 3 == 0, F.lower("n_name")).when(key % 3 == 1, F.concat(F.lit("\t "), "n_name"))
                 .otherwise(F.col("n_name")).alias("country"),
                 F.when(key % 50 == 9, -F.col("l_quantity").cast("int"))
                 .otherwise(F.col("l_quantity").cast("int")).alias("quantity"),

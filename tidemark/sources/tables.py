@@ -37,10 +37,12 @@ def rejected_rows(spark: SparkSession, path: str, schema: str, multi_line: bool
     kept = T.StructType([*declared.fields, T.StructField(REJECTED, T.StringType())])
     options = CSV_READ | {"mode": "PERMISSIVE", "multiLine": multi_line, "columnNameOfCorruptRecord": REJECTED}
     rows = spark.read.schema(kept).options(**options).csv(path)
-    # Whether a row fits shows only when all its columns are parsed.
-    parsed = F.struct(*[F.col(f"`{f.name}`") for f in declared.fields])
-    rejected = F.when(F.hash(parsed).isNotNull(), F.col(REJECTED).isNotNull())
-    return rows.agg(F.count_if(~rejected).alias("accepted"), F.count_if(rejected).alias("rejected"))
+    # Whether a row fits shows only when all its columns are parsed, so that the
+    # result depends on a print of them.
+    parsed = F.bit_xor(F.xxhash64(*[F.col(f"`{f.name}`") for f in declared.fields])).alias("_print")
+    rejected = F.col(REJECTED).isNotNull()
+    counts = rows.agg(F.count_if(~rejected).alias("accepted"), F.count_if(rejected).alias("rejected"), parsed)
+    return counts.where("_print is not null or accepted + rejected = 0").drop("_print")
 
 
 def conform(df: DataFrame, schema: str) -> DataFrame:
