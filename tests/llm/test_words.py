@@ -33,6 +33,14 @@ def test_words_match_patterns(monkeypatch, segment):
             assert len(set(seen.values())) == len(seen)
 
 
+def test_slices_cover_all_rows():
+    batch = pa.RecordBatch.from_pydict({"t": pa.array([b"x" * n for n in (3, 0, 9, 50, 1, 1)] + [None], pa.binary())})
+    parts = list(W.in_slices(iter([batch, batch.slice(0, 0)]), "t", 12))
+    assert [p.num_rows for p in parts] == [3, 1, 3]
+    assert [v for p in parts for v in p.column("t").to_pylist()] == batch.column("t").to_pylist()
+    assert [len(W.words_of(p.column("t"))) for p in parts] == [3, 1, 3]
+
+
 def test_case_kept_or_not():
     column = pa.array([b"Word word WORD"], pa.binary())
     assert len(set(W.words_of(column, W.SPACED).hash)) == 1

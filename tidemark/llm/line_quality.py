@@ -22,10 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.words import EXACT, Words, windows, words_of
+from tidemark.llm.words import EXACT, Words, in_slices, windows, words_of
 from tidemark.runtime import stage
 
-FEATURES = ("one", "symbols", "bars", "bangs", "capitals", "digits", "repeats", "seen", "length", "word_length", "ended")
+FEATURES = ("one", "symbols", "bars", "bangs", "capitals", "digits", "repeats", "seen", "length", "word_length")
 WINDOW = 8
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
 CONTENT_SHARE = 0.5
@@ -38,7 +38,7 @@ def _kind(characters: str) -> np.ndarray:
 
 
 _SYMBOL, _BAR, _BANG = _kind("#*$%&|<>"), _kind("|"), _kind("!")
-_UPPER, _DIGIT, _END = _kind("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), _kind("0123456789"), _kind(".?!:;")
+_UPPER, _DIGIT = _kind("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), _kind("0123456789")
 _POINT = (np.arange(256) & 0xC0) != 0x80  # first bytes of code points
 _WORD_POINT = (_POINT & (EXACT != 0)).astype(np.uint8)
 
@@ -105,15 +105,15 @@ def lines_of(words: Words) -> tuple[Lines, np.ndarray]:
             known.add(line)
     size = np.maximum(end - start, 1)
     share = lambda table: _sums(table[words.buffer], start, end) / size
+    tenth = lambda table: np.minimum(10 * share(table), 1)  # noqa: E731  a tenth of the line is all it can be
     same = np.zeros(len(words.hash) + 1, np.int64)
     if len(words.hash) > 1:
         np.cumsum(words.hash[1:] == words.hash[:-1], out=same[2:])
     repeats = (same[first + count] - same[np.minimum(first + 1, len(words.hash))]) / np.maximum(count - 1, 1)
     letters = _sums(_WORD_POINT[words.buffer], start, end)
     features = np.stack([
-        np.ones(len(start)), share(_SYMBOL), share(_BAR), share(_BANG), share(_UPPER), share(_DIGIT), repeats, seen,
-        np.log1p(count) / 5, np.minimum(letters / np.maximum(count, 1), 20) / 10,
-        _END[words.buffer[words.end[first + count - 1] - 1]] if len(start) else np.zeros(0)], axis=1)
+        np.ones(len(start)), tenth(_SYMBOL), tenth(_BAR), tenth(_BANG), share(_UPPER), tenth(_DIGIT), repeats, seen,
+        np.log1p(count) / 5, np.minimum(letters / np.maximum(count, 1), 20) / 10], axis=1)
     return Lines(features, count, np.searchsorted(owner, np.arange(len(words) + 1))), seen
 
 
@@ -193,7 +193,7 @@ def train(documents: list[np.ndarray], labels: list[int], rounds: int = 150, rid
 
 
 def _line_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in in_slices(batches, "text"):
         lines, _ = lines_of(words_of(batch.column("text"), EXACT))
         rows = [lines.features[lines.first[i]:lines.first[i + 1]].ravel() for i in range(batch.num_rows)]
         yield pa.RecordBatch.from_arrays([batch.column("quality"), batch.column("h"),
@@ -244,7 +244,7 @@ def _repeated(hashes: np.ndarray) -> int:
 
 def _judge(field: Field, share: float) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches, "text"):
             words = words_of(batch.column("text"), EXACT)
             lines, seen = lines_of(words)
             label = decode(field, lines)

@@ -10,13 +10,15 @@ segment size and the longest single word, not the text.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SEGMENT = 1 << 15
+SLICE = 4 << 20
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
@@ -93,6 +95,18 @@ def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buffer[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
+def in_slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """Batches cut into runs of rows of at most `most` bytes in a column, or one row."""
+    for batch in batches:
+        total = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False))
+        start = 0
+        while start < batch.num_rows:
+            before = total[start - 1] if start else 0
+            end = max(start + 1, int(np.searchsorted(total, before + most, "right")))
+            yield batch.slice(start, end - start)
+            start = end
+
+
 def _cut(buffer, offset, table, at: int) -> int:
     """A place after `at` where no word is broken, near one segment on."""
     end = at + SEGMENT
