@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.words import ALNUM, Words, windows, words_of
+from tidemark.llm.words import ALNUM, Words, in_slices, windows, words_of
 
 WIDTH = 5
 LOW, HIGH = 4, 5  # containment of at least 4/5
@@ -151,7 +151,7 @@ class Search:
 def _pairs(index, item_type: pa.DataType) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         search = Search(index.value)
-        for batch in batches:
+        for batch in in_slices(batches, "text"):
             found = list(search(batch.column("text")))
             size = [len(search.sets[k]) for _, k, _ in found]
             yield pa.RecordBatch.from_arrays(
@@ -166,7 +166,7 @@ def _pairs(index, item_type: pa.DataType) -> Callable:
 def _clean(index, text_col: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         search = Search(index.value)
-        for batch in batches:
+        for batch in in_slices(batches, text_col):
             texts = batch.column(batch.schema.get_field_index(text_col))
             clean = np.ones(batch.num_rows, bool)
             clean[[row for row, _, _ in search(texts)]] = False

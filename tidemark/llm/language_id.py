@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.llm.words import in_slices
 from tidemark.runtime import stage
 
 # Class 0 is a break between letters, 1 any letter that was not learned.
@@ -227,7 +228,7 @@ class Scorer:
 def _predict(model: Model) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = Scorer(model)
-        for batch in batches:
+        for batch in in_slices(batches, "text"):
             names, scores = score(batch.column("text"))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("held_out"), pa.array(names, pa.string()), pa.array(scores)],
@@ -239,7 +240,7 @@ def _predict(model: Model) -> Callable:
 def _known(model: Model, least: float, text_col: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = Scorer(model)
-        for batch in batches:
+        for batch in in_slices(batches, text_col):
             names, scores = score(batch.column(batch.schema.get_field_index(text_col)))
             yield batch.filter(pa.array((np.array(names) != UNDETERMINED) & (scores >= least)))
 

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.graph import components, small
-from tidemark.llm.words import SPACED, mix, words_of
+from tidemark.llm.words import SPACED, in_slices, mix, words_of
 from tidemark.runtime import stage
 
 ROWS, BANDS, BATCH = 6, 40, 24
@@ -65,7 +65,7 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in in_slices(batches, "text"):
         words = words_of(batch.column("text"), SPACED)
         size, prints, bands, signs = [], [], [], []
         seen: dict[bytes, tuple[np.ndarray, bytes]] = {}

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.words import in_slices
+
 KINDS = ("assign", "access", "hex")
 # A layer that would unpack to more bytes than this is not opened but counted.
 LAYER_BYTES = 32 << 20
@@ -264,7 +266,7 @@ def joined(spans: list[tuple[int, int, str]]) -> str:
 
 
 def _scan_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in in_slices(batches, "text"):
         out: dict[str, list] = {k: [] for k in ("n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_layers",
                                                 "n_unopened")}
         for value in batch.column("text"):
@@ -308,7 +310,7 @@ def redacted(text: str) -> str:
 
 def _redact_rows(text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches, text_col):
             place = batch.schema.get_field_index(text_col)
             texts = [None if v is None else redacted(v) for v in batch.column(place).to_pylist()]
             yield batch.set_column(place, batch.schema.field(place), pa.array(texts, batch.schema.field(place).type))

@@ -98,7 +98,7 @@ def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def in_slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE) -> Iterator[pa.RecordBatch]:
     """Batches cut into runs of rows of at most `most` bytes in a column, or one row."""
     for batch in batches:
-        total = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False))
+        total = np.cumsum(pc.binary_length(batch.column(batch.schema.get_field_index(column))).fill_null(0).to_numpy(zero_copy_only=False))
         start = 0
         while start < batch.num_rows:
             before = total[start - 1] if start else 0
