@@ -108,10 +108,10 @@ def _codes(letters: tuple[int, ...]) -> Callable:
             out = []
             for text in batch.column("text"):
                 codes = spectrum.mark(text.as_py())
-                out.append(np.flatnonzero(spectrum.present))
+                out.append(np.flatnonzero(spectrum.present).astype(np.int32).tobytes())
                 spectrum.clear(codes)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("lang"), batch.column("rank"), pa.array(out, pa.list_(pa.int64()))],
+                [batch.column("lang"), batch.column("rank"), pa.array(out, pa.binary())],
                 names=["lang", "rank", "codes"])
 
     return run
@@ -154,18 +154,18 @@ def fit(docs: DataFrame, rows_per_language: int = 300, landmarks_per_language: i
     letters = (sample.select("text").mapInArrow(_letters, "point long, n long").groupBy("point")
                .agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "point").limit(LETTERS).collect())
     points = tuple(int(r.point) for r in letters)
-    rows = sample.mapInArrow(_codes(points), "lang string, rank int, codes array<bigint>").collect()
+    rows = sample.mapInArrow(_codes(points), "lang string, rank int, codes binary").collect()
     rows.sort(key=lambda r: (r["rank"], r.lang))
     languages = tuple(sorted({r.lang for r in rows}))
     if not rows:
         return Model(points, np.zeros(0, np.int64), np.zeros((0, 0)), np.zeros(0), ())
-    spectra = [np.array(r.codes, np.int64) for r in rows]
+    spectra = [np.frombuffer(r.codes, np.int32) for r in rows]
     marks = [i for i, r in enumerate(rows) if r["rank"] <= landmarks_per_language]
     codes = np.unique(np.concatenate([spectra[i] for i in marks]))
     codes = codes[_learned(codes)]
 
     def unit(i: int) -> np.ndarray:
-        return np.isin(codes, spectra[i]) / np.sqrt(len(spectra[i]))
+        return np.isin(codes, spectra[i], assume_unique=True) / np.sqrt(len(spectra[i]))
 
     landmarks = np.array([unit(i) for i in marks])
     values, vectors = np.linalg.eigh(landmarks @ landmarks.T)
