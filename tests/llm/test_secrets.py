@@ -80,6 +80,35 @@ def test_broken_lines_and_large_layers():
     assert S.scan(packed, limit=1000).unopened == 1 and S.scan(packed).every
 
 
+def wrapped(coded, width):
+    return "\n".join(coded[i:i + width] for i in range(0, len(coded), width))
+
+
+@pytest.mark.parametrize("before,after", [("", ""), ("Key\n", "\nof the end"), ("see ", " end"), ("-----BEGIN DATA-----\n", "")])
+@pytest.mark.parametrize("width", [10, 64, 76])
+def test_every_tail_of_wrapped_base64(width, before, after):
+    for n in range(150, 150 + 3 * width):
+        inner = "." * (n - 14) + "token=Ab3dE6gH"
+        coded = wrapped(b64(inner.encode()), width)
+        place = [i for i, c in enumerate(coded) if c not in "\n="]
+        span = (len(before) + place[(n - 14) // 3 * 4], len(before) + place[-1] + 1, "assign")
+        assert S.scan(before + coded + after).every == [span], (n, before + coded + after)
+
+
+@pytest.mark.parametrize("pack", [gzip.compress, zlib.compress, bz2.compress, lzma.compress])
+def test_short_last_line_of_a_packed_layer(pack):
+    rng = random.Random(3)
+    for n in range(60):
+        coded = wrapped(b64(pack((f"{rng.random()} " * n + PLAIN).encode())), 76)
+        assert S.scan(f"a {coded}").every == [(2, 2 + len(coded), "assign")]
+
+
+def test_short_runs():
+    assert S.scan("dG9rZW49QWIzZEU2Z0g=").every == [(0, 19, "assign")]
+    assert S.scan("x dG9rZW49QWIzZEU2Z0g y").every == [(2, 21, "assign")]
+    assert S.scan(b64(zlib.compress(b"0" * 32))).every
+
+
 def test_ends_on_junk():
     for text in ("%%%41%41%2541", "A" * 5000, "\\u0041" * 1000, "&#0;&#x110000;\\ud800", "%ff%fe", "x" * 200_000):
         assert S.scan(text).layers >= 1

@@ -42,8 +42,12 @@ _HINTS = ("passw", "secret", "token", "api")
 _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|\\U[0-9A-Fa-f]{8}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2}"
                      r"|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
-_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}(?:\r?\n[A-Za-z0-9+/_-]{20,})*={0,2}")
-_LINE = re.compile(r"\r?\n")
+# 15 letters are the fewest that hold a secret: zlib of 32 equal hex digits; 19 hold a plain one.
+_FEWEST = 15
+_BASE64 = re.compile(rf"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-](?:(?:\r?\n)?[A-Za-z0-9+/_-]){{{_FEWEST - 1}}})"
+                     r"[A-Za-z0-9+/_-]+(?:\r?\n[A-Za-z0-9+/_-]+)*(?:(?:\r?\n)?=){0,2}")
+_LONG = 20  # a word of prose is rarely as long
+_LINE = re.compile(r"[^\r\n]+")
 
 
 @dataclass
@@ -175,8 +179,9 @@ def _decoded(run: str) -> bytes | None:
 def _opened(layer: Layer, start: int, end: int, limit: int) -> Layer | None:
     """What a base64 run holds: text, or text inside compressed layers."""
     run = layer.text[start:end]
-    letters = [i for i, c in enumerate(run) if c not in "\r\n"] if "\n" in run else None
-    raw = _decoded(run if letters is None else "".join(run[i] for i in letters))
+    places = np.frombuffer(run.encode(), np.uint8)
+    letters = np.flatnonzero((places != 10) & (places != 13) & (places != 61))
+    raw = _decoded(places[letters].tobytes().decode())
     if not raw:
         return None
     own_low, own_high = layer.ranges()
@@ -195,10 +200,56 @@ def _opened(layer: Layer, start: int, end: int, limit: int) -> Layer | None:
     sizes = np.array([len(c.encode()) for c in text])
     stop = np.cumsum(sizes)
     first = (stop - sizes) // 3 * 4
-    last = np.minimum((stop - 1) // 3 * 4 + 3, (len(letters) if letters else len(run.rstrip("="))) - 1)
-    if letters is not None:
-        first, last = np.array(letters)[first], np.array(letters)[last]
-    return Layer(text, own_low[start + first], own_high[start + last])
+    last = np.minimum((stop - 1) // 3 * 4 + 3, len(letters) - 1)
+    return Layer(text, own_low[start + letters[first]], own_high[start + letters[last]])
+
+
+def _groups(widths: list[int], begun: bool) -> list[tuple[int, int]]:
+    """Lines that wrapping at one width gives: equal ones and a shorter last, the first shorter if its line had begun."""
+    out, at = [], 0
+    while at < len(widths):
+        end = at + 1
+        width = max(widths[:2]) if at == 0 and begun else widths[at]
+        while end < len(widths) and widths[end] == width:
+            end += 1
+        if end < len(widths) and widths[end] < width:
+            end += 1
+        out.append((at, end))
+        at = end
+    return out
+
+
+def _runs(layer: Layer, m: re.Match, limit: int) -> Iterator[Layer | None]:
+    """What the lines of a match hold, joined as far as they belong together.
+
+    Words alone on a line look like base64 as well, so lines are joined by their
+    widths, and a first or last line that does not fit is left out.
+    """
+    lines = [(m.start() + k.start(), m.start() + k.end()) for k in _LINE.finditer(m[0])]
+    if len(lines) > 1 and not layer.text[lines[-1][0]:lines[-1][1]].strip("="):
+        lines.pop()
+    widths = [b - a for a, b in lines]
+
+    def opened(first: int, end: int) -> list[Layer | None]:
+        if first >= end or sum(widths[first:end]) < _FEWEST:
+            return []
+        try:
+            out = _opened(layer, lines[first][0], m.end() if end == len(lines) else lines[end - 1][1], limit)
+        except TooLarge:
+            return [None]
+        return [] if out is None else [out]
+
+    groups = _groups(widths, m.start() > 0 and layer.text[m.start() - 1] not in "\r\n")
+    whole = len(groups) == 1 or min(widths) >= _LONG or all(b - a < 3 and widths[a] != widths[b - 1] or b - a == 1
+                                                            for a, b in groups)
+    out = opened(0, len(lines)) if whole else []
+    if not out:
+        for a, b in groups:
+            inner = (opened(a, b) if len(groups) > 1 else []) or b - a > 1 and (
+                opened(a, b - 1) or opened(a + 1, b) or opened(a + 1, b - 1)
+                or [x for k in range(a, b) for x in opened(k, k + 1)])
+            out += inner or []
+    yield from out or (opened(0, len(lines)) if not whole else [])
 
 
 def _inner(layer: Layer, limit: int) -> Iterator[Layer | None]:
@@ -209,20 +260,7 @@ def _inner(layer: Layer, limit: int) -> Iterator[Layer | None]:
     if ("\\" in text or "&#" in text) and (out := _undo(layer, _ESCAPE, _escape)):
         yield out
     for m in _BASE64.finditer(text):
-        runs = [(m.start(), m.end())]
-        try:
-            out = _opened(layer, *runs[0], limit)
-            if out is None and "\n" in m[0]:
-                at = m.start()
-                for line in _LINE.split(m[0]):
-                    start = text.index(line, at)
-                    at = start + len(line)
-                    if inner := _opened(layer, start, at, limit):
-                        yield inner
-            elif out is not None:
-                yield out
-        except TooLarge:
-            yield None
+        yield from _runs(layer, m, limit)
 
 
 @dataclass
