@@ -86,6 +86,26 @@ def test_scores_follow_the_kernel(model):
     assert names == [fitted.languages[plain.argmax()]] and abs(scores[0] - plain.max().clip(0, 1) * held) < 1e-4
 
 
+def test_languages_in_several_scripts(spark):
+    """Every letter is learned, of small alphabets beside one of thousands."""
+    rng = random.Random(11)
+    alphabets = {"la": range(97, 123), "cy": range(0x430, 0x450), "el": range(0x3B1, 0x3CA), "ar": range(0x628, 0x64B),
+                 "ka": range(0x10D0, 0x10F1), "zh": range(0x4E00, 0x5600), "ko": range(0xAC00, 0xB400)}
+    rows, n = [], 0
+    for lang, letters in alphabets.items():
+        size = (1, 2) if len(letters) > 100 else (2, 7)
+        words = ["".join(chr(rng.choice(letters)) for _ in range(rng.randint(*size))) for _ in range(1500)]
+        for _ in range(120):
+            n += 1
+            rows.append((n, " ".join(words[min(int(rng.expovariate(1 / 200)), 1499)] for _ in range(120)), lang))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(8)
+    fitted = G.fit(docs)
+    assert {ord(c) for _, text, _ in rows[:400] for c in text if c.isalpha()} <= set(fitted.letters)
+    got = G.identify(docs, fitted).join(docs, "doc_id").collect()
+    assert len(got) == len(rows) and all(r.lang_pred == r.lang and r.score > 0.3 for r in got)
+    assert G.in_known_language(docs, fitted).count() == len(rows)
+
+
 # Quality
 
 

@@ -10,7 +10,9 @@ there, one language against the rest.
 
 The kernel is an inner product of presence rows, so landmark matrix, whitening
 and regression weights multiply into one matrix with a row for each sequence that
-the landmarks hold. Scoring is a product of a batch of presence rows with it.
+the landmarks hold. Scoring adds the rows of the sequences that a text has.
+Sequences are packed into 64-bit codes, so every letter of the sample counts,
+however many scripts and letters the languages have.
 """
 
 from __future__ import annotations
@@ -28,10 +30,9 @@ from pyspark.sql.window import Window
 from tidemark.llm.words import in_slices
 from tidemark.runtime import stage
 
-# Class 0 is a break between letters, 1 any letter that was not learned.
-LETTERS = 62
-SIZE = LETTERS + 2
-ROWS = 64  # texts in a matrix product
+# Class 0 is a break between letters, 1 any letter that was not learned. A code is
+# the length of a sequence and up to three classes of so many bits.
+BITS = 20
 UNDETERMINED = "und"
 # Below this a text resembles no learned language.
 LEAST_SCORE = 0.05
@@ -54,26 +55,20 @@ def _is_letter() -> np.ndarray:
 
 
 class Spectrum:
-    """Presence of sequences in one text at a time, in a reused table."""
+    """Sequences present in a text."""
 
     def __init__(self, letters: tuple[int, ...]):
-        self.classes = _is_letter().copy()
+        self.classes = _is_letter().astype(np.int64)
         self.classes[list(letters)] = np.arange(2, 2 + len(letters))
-        self.present = np.zeros(SIZE + SIZE**2 + SIZE**3, bool)
 
     def mark(self, text: str) -> np.ndarray:
-        """Codes of all sequences of the text; `present` is set at them."""
+        """Sorted codes of all sequences of the text, each once."""
         c = self.classes[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)]
-        c = np.concatenate([[0], c, [0]]).astype(np.int32)
+        c = np.concatenate([[0], c, [0]])
         c = c[np.concatenate([[True], (c[1:] != 0) | (c[:-1] != 0)])]
-        two = c[:-1] * SIZE + c[1:]
-        three = two[:-1] * SIZE + c[2:]
-        codes = np.concatenate([c, two + SIZE, three + (SIZE + SIZE**2)])
-        self.present[codes] = True
-        return codes
-
-    def clear(self, codes: np.ndarray) -> None:
-        self.present[codes] = False
+        two = c[:-1] << BITS | c[1:]
+        three = two[:-1] << BITS | c[2:]
+        return np.unique(np.concatenate([c, two | 1 << 3 * BITS, three | 2 << 3 * BITS]))
 
 
 def has_letter(text: str | None) -> bool:
@@ -82,10 +77,8 @@ def has_letter(text: str | None) -> bool:
 
 def _learned(codes: np.ndarray) -> np.ndarray:
     """Whether a sequence has a letter and only learned ones."""
-    kind = np.searchsorted([SIZE, SIZE + SIZE**2], codes, "right")
-    place = codes - np.array([0, SIZE, SIZE + SIZE**2])[kind]
-    classes = np.stack([place % SIZE, place // SIZE % SIZE, place // SIZE**2])
-    used = np.arange(3)[:, None] <= kind
+    classes = np.stack([codes >> k * BITS & (1 << BITS) - 1 for k in range(3)])
+    used = np.arange(3)[:, None] <= codes >> 3 * BITS
     return ~((classes == 1) & used).any(axis=0) & ((classes > 1) & used).any(axis=0)
 
 
@@ -93,7 +86,7 @@ def _letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         counts: dict[int, int] = {}
         for text in batch.column("text"):
-            points, n = np.unique(np.frombuffer(text.as_py().lower().encode("utf-32-le"), np.uint32), return_counts=True)
+            points, n = np.unique(np.frombuffer(text.as_py().lower().encode("utf-32-le", "surrogatepass"), np.uint32), return_counts=True)
             for p, k in zip(points.tolist(), n.tolist(), strict=True):
                 if chr(p).isalpha():
                     counts[p] = counts.get(p, 0) + k
@@ -105,11 +98,7 @@ def _codes(letters: tuple[int, ...]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spectrum = Spectrum(letters)
         for batch in batches:
-            out = []
-            for text in batch.column("text"):
-                codes = spectrum.mark(text.as_py())
-                out.append(np.flatnonzero(spectrum.present).astype(np.int32).tobytes())
-                spectrum.clear(codes)
+            out = [spectrum.mark(text.as_py()).tobytes() for text in batch.column("text")]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("lang"), batch.column("rank"), pa.array(out, pa.binary())],
                 names=["lang", "rank", "codes"])
@@ -147,31 +136,37 @@ def fit(docs: DataFrame, rows_per_language: int = 300, landmarks_per_language: i
         id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> Model:
     """Fit on at most `rows_per_language` rows of each language that are not held out.
 
-    The driver receives the sequence codes of these rows only: at most 64**3 and
-    a few for each, whatever the text lengths.
+    The driver receives the letters and the sequence codes of these rows only, of
+    8 bytes for each distinct sequence of a text.
     """
     sample = stage(training_sample(docs, rows_per_language, id_col, text_col, label_col))
     letters = (sample.select("text").mapInArrow(_letters, "point long, n long").groupBy("point")
-               .agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "point").limit(LETTERS).collect())
+               .agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "point").collect())
     points = tuple(int(r.point) for r in letters)
     rows = sample.mapInArrow(_codes(points), "lang string, rank int, codes binary").collect()
     rows.sort(key=lambda r: (r["rank"], r.lang))
     languages = tuple(sorted({r.lang for r in rows}))
     if not rows:
         return Model(points, np.zeros(0, np.int64), np.zeros((0, 0)), np.zeros(0), ())
-    spectra = [np.frombuffer(r.codes, np.int32) for r in rows]
+    spectra = [np.frombuffer(r.codes, np.int64) for r in rows]
     marks = [i for i, r in enumerate(rows) if r["rank"] <= landmarks_per_language]
     codes = np.unique(np.concatenate([spectra[i] for i in marks]))
     codes = codes[_learned(codes)]
 
-    def unit(i: int) -> np.ndarray:
-        return np.isin(codes, spectra[i], assume_unique=True) / np.sqrt(len(spectra[i]))
-
-    landmarks = np.array([unit(i) for i in marks])
-    values, vectors = np.linalg.eigh(landmarks @ landmarks.T)
+    places = [(np.searchsorted(codes, x), x) for x in spectra]
+    own = [place[np.append(codes, -1)[place] == x] for place, x in places]
+    starts = np.concatenate([[0], np.cumsum([len(x) for x in own])])
+    every, root = np.concatenate(own), np.sqrt([len(x) for x in spectra])
+    kernel = np.zeros((len(rows), len(marks)))  # of every row with every landmark
+    for k, i in enumerate(marks):
+        held = np.zeros(len(codes), bool)
+        held[own[i]] = True
+        total = np.concatenate([[0], np.cumsum(held[every])])
+        kernel[:, k] = (total[starts[1:]] - total[starts[:-1]]) / (root * root[i])
+    values, vectors = np.linalg.eigh(kernel[marks])
     sound = values > 1e-8 * values[-1]
-    project = landmarks.T @ (vectors[:, sound] / np.sqrt(values[sound]))
-    z = np.array([unit(i) @ project for i in range(len(rows))])
+    white = vectors[:, sound] / np.sqrt(values[sound])
+    z = kernel @ white
     label = np.array([languages.index(r.lang) for r in rows])
     y = (label[:, None] == np.arange(len(languages))).astype(float)
     share = 1 / np.bincount(label)[label]  # every language weighs the same
@@ -179,7 +174,10 @@ def fit(docs: DataFrame, rows_per_language: int = 300, landmarks_per_language: i
     centre, level = share @ z, share @ y
     zc = (z - centre) * share[:, None]
     beta = np.linalg.solve(zc.T @ (z - centre) + ridge * np.eye(z.shape[1]) / len(languages), zc.T @ (y - level))
-    return Model(points, codes, project @ beta, level - centre @ beta, languages)
+    weights = np.zeros((len(codes), len(languages)))
+    for i, weight in zip(marks, white @ beta, strict=True):
+        weights[own[i]] += weight / root[i]
+    return Model(points, codes, weights, level - centre @ beta, languages)
 
 
 class Scorer:
@@ -192,36 +190,21 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model, self.spectrum = model, Spectrum(model.letters)
-        self.weights = model.weights.astype(np.float32)
-        self.rows = np.zeros((ROWS, len(model.codes)), np.float32)
+        self.known = np.append(model.codes, -1)  # a code beyond the last is not known
 
     def __call__(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
+        model = self.model
         names, scores = [UNDETERMINED] * len(texts), np.zeros(len(texts))
-        waiting: list[int] = []
-        held: list[float] = []
-
-        def flush() -> None:
-            out = self.rows[:len(waiting)] @ self.weights + self.model.offset
-            scores[waiting] = out.max(axis=1).clip(0, 1) * held
-            for k, best in zip(waiting, out.argmax(axis=1), strict=True):
-                names[k] = self.model.languages[best]
-            waiting.clear()
-            held.clear()
-
         for i in range(len(texts)):
             text = texts[i].as_py()
-            if not self.model.languages or not has_letter(text):
+            if not model.languages or not has_letter(text):
                 continue
             codes = self.spectrum.mark(text)
-            size, own = np.count_nonzero(self.spectrum.present), self.spectrum.present[self.model.codes]
-            np.divide(own, np.sqrt(size), out=self.rows[len(waiting)])
-            self.spectrum.clear(codes)
-            waiting.append(i)
-            held.append(np.count_nonzero(own) / size)
-            if len(waiting) == ROWS:
-                flush()
-        if waiting:
-            flush()
+            place = np.searchsorted(model.codes, codes)
+            place = place[self.known[place] == codes]
+            out = model.weights[place].sum(axis=0) / np.sqrt(len(codes)) + model.offset
+            names[i] = model.languages[out.argmax()]
+            scores[i] = out.max().clip(0, 1) * len(place) / len(codes)
         return names, scores
 
 
