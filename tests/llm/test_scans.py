@@ -105,3 +105,43 @@ def test_public_vocabulary(spark):
             assert (r.n_tokens, r.n_chars) == (count(text[r.doc_id] or ""), len(text[r.doc_id] or ""))
     assert sorted(r.n_tokens for r in got if r.doc_id == -2) == sorted(
         count(t) for t in ("  two  blanks \n\n日本 \x00", "x" * 3000))
+
+
+def whole_reference(vocabulary, byte_fallback):
+    from tokenizers import Tokenizer
+    from tokenizers.models import Unigram
+    from tokenizers.pre_tokenizers import Metaspace
+
+    t = Tokenizer(Unigram(vocabulary, unk_id=0, byte_fallback=byte_fallback))
+    t.pre_tokenizer = Metaspace(replacement=T.MARK, prepend_scheme="always", split=False)
+    return lambda text: len(t.encode(text, add_special_tokens=False).ids)
+
+
+@pytest.mark.parametrize("byte_fallback", [False, True])
+@pytest.mark.parametrize("whole", [False, True])
+@pytest.mark.parametrize("runs", [False, True])
+def test_whole_texts_match_the_tokenizer(byte_fallback, whole, runs):
+    rng = random.Random(10)
+    for _ in range(25):
+        pieces = {"<unk>", "aa", "ab", T.MARK + "a", "aba", T.MARK * 2, T.MARK * 3, T.MARK * 4}
+        pieces |= {T.MARK} if rng.random() < 0.7 else set()
+        for _ in range(12):
+            piece = "".join(rng.choice("abcé" + T.MARK) for _ in range(rng.randint(1, 4)))
+            pieces.add(T.MARK * rng.randint(0, 2) + piece.replace(T.MARK, "") if runs else piece)
+        vocabulary = [(p, float(-rng.randint(1, 4)) if whole else -rng.choice([0.5, 1.25, 2.75]))
+                      for p in sorted(pieces - {""}, key=lambda p: (p != "<unk>", p))]
+        if byte_fallback:
+            vocabulary += [(f"<0x{b:02X}>", -5.0) for b in range(256)]
+        model, count = T.Unigram(vocabulary, byte_fallback, split=False), whole_reference(vocabulary, byte_fallback)
+        for text in texts(rng, "aabbcé    zß\n" + T.MARK, 60):
+            assert model.tokens(text) == count(text), (text, vocabulary)
+
+
+def test_blank_runs_with_the_public_vocabulary(spark):
+    vocabulary, byte_fallback = T.read_vocabulary("/opt/tokenizers/piece_bpe_32k.model")
+    count = whole_reference(vocabulary, byte_fallback)
+    odd = ["def f():\n        return x", "a" + " " * 40 + "b", "  two  blanks \n\n日本 \x00", "   ", "| a   |    b |\n" * 30]
+    docs = spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string")
+    got = {r.doc_id: r.n_tokens for r in T.count_tokens(docs, vocabulary, byte_fallback, split=False).collect()}
+    assert got == {i: count(t) for i, t in enumerate(odd)}
+    assert got[0] < T.Unigram(vocabulary, byte_fallback).tokens(odd[0])

@@ -55,7 +55,7 @@ def op2_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op3_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = token_count.read_vocabulary(f"{TOKENIZERS}/piece_bpe_32k.model")
-    return token_count.count_tokens(_table(spark, sf_dir, "documents"), *vocabulary)
+    return token_count.count_tokens(_table(spark, sf_dir, "documents"), *vocabulary, split=False)
 
 
 @query()

@@ -9,13 +9,17 @@ own covers costs the least score of the vocabulary less 10. With byte pieces an
 unknown character counts its bytes, without them a run of unknown characters
 counts once.
 
-Blanks become the mark of a word start, one is put before the text, and each mark
-starts a segment that is solved for itself, so the counts of segments met before
-are kept and a text costs one look-up for each.
+Blanks become the mark of a word start and one is put before the text. With
+`split` each mark starts a segment that is solved for itself, as tokenizers do that
+split at the mark first. Without, the best path is that of the whole text, so
+pieces with inner marks (runs of blanks) count; the text is then cut only where no
+piece can cross and sums are exact: at the first mark of a run. Counts of segments
+met before are kept, and a text costs one look-up for each.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import cache
 
@@ -29,11 +33,15 @@ PENALTY = 10.0
 KEPT = 300_000  # segments whose counts a process remembers
 LONGEST = 64  # longer segments are counted each time
 
+_RUN = re.compile(f"(?<!{MARK}){MARK}")
+_SEGMENT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+_INNER = re.compile(f"[^{MARK}]{MARK}")
+
 
 class Unigram(dict):
     """Counts by segment; a missing one is computed."""
 
-    def __init__(self, vocabulary: list[tuple[str, float]], byte_fallback: bool):
+    def __init__(self, vocabulary: list[tuple[str, float]], byte_fallback: bool, split: bool = True):
         super().__init__()
         self.find = ahocorasick.Automaton()
         for piece, score in dict(vocabulary).items():
@@ -46,6 +54,10 @@ class Unigram(dict):
         whole = all(score == int(score) for _, score in vocabulary)
         # A line break that no piece holds parts a segment; sums of whole scores are exact.
         self.parted = byte_fallback and whole and "\n" not in pieces
+        self.split = split
+        # A mark after another character starts a segment if no piece holds both and no unknown run does.
+        self.cut = whole and (byte_fallback or MARK in dict(vocabulary)) and not any(
+            _INNER.search(p) for p, _ in vocabulary)
 
     def __missing__(self, segment: str) -> int:
         n = self.pieces(segment)
@@ -98,6 +110,12 @@ class Unigram(dict):
         marked = text.replace(" ", MARK)
         if marked[0] != MARK:
             marked = MARK + marked
+        if not self.split and (MARK * 2 in marked or not self.cut):
+            if not self.cut:
+                return self[marked]
+            if self.parted:
+                return sum(map(self.__getitem__, _RUN.sub("\n" + MARK, marked).split("\n"))) + text.count("\n")
+            return sum(map(self.__getitem__, _SEGMENT.findall(marked)))
         if self.parted:
             return sum(map(self.__getitem__, marked.replace(MARK, "\n" + MARK).split("\n"))) + text.count("\n")
         return sum(map(self.__getitem__, [MARK + part for part in marked.split(MARK)[1:]]))
@@ -114,8 +132,8 @@ def read_vocabulary(path: str) -> tuple[list[tuple[str, float]], bool]:
 
 
 @cache
-def _model(vocabulary: tuple[tuple[str, float], ...], byte_fallback: bool) -> Unigram:
-    return Unigram(list(vocabulary), byte_fallback)
+def _model(vocabulary: tuple[tuple[str, float], ...], byte_fallback: bool, split: bool) -> Unigram:
+    return Unigram(list(vocabulary), byte_fallback, split)
 
 
 def _count(shared) -> callable:
@@ -131,8 +149,8 @@ def _count(shared) -> callable:
 
 
 def count_tokens(docs: DataFrame, vocabulary: list[tuple[str, float]], byte_fallback: bool,
-                 id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Tokens of every whole text.
+                 id_col: str = "doc_id", text_col: str = "text", split: bool = True) -> DataFrame:
+    """Tokens of every whole text, cut at each blank first (`split`) or not.
 
     Returns one row per input row: `doc_id`, `n_chars` (code points), `n_tokens`. A
     null or empty text has 0 of both. Null ids and repeated rows are kept; an empty
@@ -141,7 +159,7 @@ def count_tokens(docs: DataFrame, vocabulary: list[tuple[str, float]], byte_fall
     """
     if not vocabulary:
         raise ValueError("the vocabulary is empty")
-    shared = docs.sparkSession.sparkContext.broadcast((tuple(vocabulary), byte_fallback))
+    shared = docs.sparkSession.sparkContext.broadcast((tuple(vocabulary), byte_fallback, split))
     rows = docs.select(F.col(id_col).alias("doc_id"),
                        F.coalesce(F.length(text_col), F.lit(0)).cast("long").alias("n_chars"),
                        F.col(text_col).alias("text"))
