@@ -314,6 +314,25 @@ def test_templates_go_and_prose_stays(spark):
     assert H.extract_text(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_a_block_of_one_section_of_a_large_host_goes(spark, monkeypatch, broadcast):
+    if not broadcast:
+        monkeypatch.setattr(H, "BROADCAST_HASHES", 0)
+    rows = [(n, f"https://big.example/{n}", f"<body><div><p>Own text {n}.</p></div>"
+             + "<div class='z'>Offer of this section.</div>" * (n < 4) + "<div class='y'>On two.</div>" * (n in (7, 8))
+             + "<div class='x'>On every page.</div></body>") for n in range(200)]
+    rows += [(300, "https://small.example/", "<body><p>Own text 300.</p><div class='z'>Offer of this section.</div></body>"),
+             (301, "https://big.example/0", rows[0][2]), (302, "https://big.example/e", None), (None, None, "")]
+    rows += [(400 + n, f"https://big.example/copy{n}", "<body><div><p>One page of many URLs.</p></div></body>") for n in range(4)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in H.extract_text(pages).collect()}
+    assert {got[400 + n] for n in range(4)} == {"One page of many URLs."}
+    assert len(got) == len(rows) and got[300] == "Own text 300.\nOffer of this section." and got[301] == got[0]
+    assert got[302] == got[None] == ""
+    for n in range(200):
+        assert got[n] == f"Own text {n}." + "\nOn two." * (n in (7, 8))
+
+
 def test_test_pages_against_a_plain_parser(spark):
     """Blocks of the article by the standard library's parser."""
     from html.parser import HTMLParser

@@ -2,7 +2,8 @@
 
 Every element subtree is hashed: its tag, class, id and role, its own text and its
 children's hashes. Spark counts on how many pages (distinct URLs) of a host each
-subtree occurs; subtrees on many of them are the site's template and are deleted.
+subtree occurs; subtrees on three of them that differ, however many the host has,
+are the site's template and are deleted.
 What remains of the page's article, less what tags, roles and class names mark as
 menus, notices, adverts, forms or comments, is its text.
 
@@ -25,9 +26,9 @@ from pyspark.sql import functions as F
 from tidemark.runtime import stage
 
 MIN_PAGES = 3
-MIN_SHARE = 0.2
 # Template hashes of all hosts together, of 8 bytes each, up to which they are broadcast.
 BROADCAST_HASHES = 2_000_000
+SALTS = 32  # parts of a template's pages in the join
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript xmp iframe noembed noframes template svg math".split())
@@ -226,6 +227,12 @@ def host_of(url: Column) -> Column:
     return F.lower(rest)
 
 
+def _keys(host: str, hashes: list[int]) -> np.ndarray:
+    """A 64-bit key of host and subtree for each hash."""
+    seed = np.uint64(xxhash.xxh64_intdigest(host))
+    return np.array(hashes, np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ seed
+
+
 def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows, hashes = [], []
@@ -240,42 +247,76 @@ def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
              batch.column("page").take(pa.array(rows, pa.int64()))], names=["host", "hash", "page"])
 
 
-def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES,
-              min_share: float = MIN_SHARE) -> DataFrame:
-    """(host, template): hashes of subtrees on at least `min_pages` and `min_share` of a host's URLs.
+def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES) -> DataFrame:
+    """(host, hash): subtrees on at least `min_pages` URLs of a host and in as many different pages, a row each.
 
-    With the share, a host has at most 1 / min_share times as many as a page has
-    elements on average, so the list of a host is bounded whatever its pages.
+    The number is absolute, so a block of one section of a large host is found as
+    on a small host. One page under several URLs is not its own template, nor are
+    several states of one URL.
     """
-    rows = pages.select(host_of(F.col(url_col)).alias("host"), F.xxhash64(url_col).alias("page"),
-                        F.col(html_col).alias("html"))
-    size = rows.groupBy("host").agg(F.count_distinct("page").alias("pages"))
-    found = (rows.mapInArrow(_subtrees, "host string, hash long, page long")
-             .groupBy("host", "hash").agg(F.count_distinct("page").alias("on"))
-             .where(F.col("on") >= min_pages))
-    return (found.join(size, "host").where(F.col("on") >= min_share * F.col("pages"))
-            .groupBy("host").agg(F.array_sort(F.collect_list("hash")).alias("template")))
+    rows = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"),
+                        F.struct(F.xxhash64(url_col).alias("url"), F.xxhash64(html_col).alias("html")).alias("page"))
+    return (rows.mapInArrow(_subtrees, "host string, hash long, page struct<url:long,html:long>")
+            .groupBy("host", "hash").agg(F.count_distinct("page.url").alias("urls"),
+                                         F.count_distinct("page.html").alias("states"))
+            .where(F.least("urls", "states") >= min_pages).select("host", "hash"))
 
 
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keys of template rows as bytes, a row a batch."""
     for batch in batches:
-        texts = []
-        known: dict[str, set[int]] = {}
-        for host, page, template in zip(*(batch.column(c) for c in ("host", "html", "template")), strict=True):
-            host, page = host.as_py(), page.as_py()
-            if host not in known:
-                known[host] = set(template.as_py() or ())
-            if not page:
-                texts.append("")
-                continue
-            tree = parse(page)
-            if known[host]:
-                hash_subtrees(tree)
-            texts.append(main_text(tree, known[host]))
-        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(sizes)],
-            names=["page_id", "url", "text", "n_chars"])
+        keys = b"".join(_keys(host, [own]).tobytes() for host, own in zip(
+            batch.column("host").to_pylist(), batch.column("hash").to_pylist(), strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array([keys], pa.binary())], names=["keys"])
+
+
+def _extract(shared=None):
+    """Texts of pages; templates come as broadcast keys or as the `template` column."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = None if shared is None else shared.value
+        for batch in batches:
+            texts = []
+            for i in range(batch.num_rows):
+                page = batch.column("html")[i].as_py()
+                if not page:
+                    texts.append("")
+                    continue
+                tree = parse(page)
+                nodes = hash_subtrees(tree)
+                if keys is None:
+                    template = set(batch.column("template")[i].as_py() or ())
+                elif len(keys):
+                    own = _keys(batch.column("host")[i].as_py(), [n.hash for n in nodes])
+                    place = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+                    template = {nodes[k].hash for k in np.flatnonzero(keys[place] == own)}
+                else:
+                    template = set()
+                texts.append(main_text(tree, template))
+            sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(sizes)],
+                names=["page_id", "url", "text", "n_chars"])
+
+    return run
+
+
+def _with_templates(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """The rows with the template hashes of each page, joined by shuffles.
+
+    The template rows are repeated for each salt, so a subtree on all pages of a
+    host is dealt over tasks. A page's list is bounded by its elements.
+    """
+    doc = F.when(F.length("html") > 0, F.xxhash64("host", "html")).otherwise(F.xxhash64("page_id", "url"))
+    rows = rows.withColumn("doc", doc).withColumn("doc2", F.xxhash64(F.lit(1), "html", "host"))
+    own = (rows.select("host", "html", F.struct("doc", "doc2").alias("page"))
+           .mapInArrow(_subtrees, "host string, hash long, page struct<doc:long,doc2:long>")
+           .withColumn("salt", F.pmod("page.doc", F.lit(SALTS))))
+    salted = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumn(
+        "salt", F.col("salt").cast("long"))
+    lists = (own.join(salted, ["host", "hash", "salt"]).select("page.doc", "page.doc2", "hash")
+             .groupBy("doc", "doc2").agg(F.collect_set("hash").alias("template")))
+    return rows.join(lists, ["doc", "doc2"], "left")
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
@@ -291,8 +332,10 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"),
                         host_of(F.col(url_col)).alias("host"))
     known = stage(templates(pages, url_col, html_col))
-    if (known.agg(F.sum(F.size("template"))).first()[0] or 0) <= BROADCAST_HASHES:
-        known = F.broadcast(known)  # else the join shuffles, and AQE splits hot hosts
     kind = rows.schema["page_id"].dataType.simpleString()
-    return rows.join(known, "host", "left").select("page_id", "url", "html", "host", "template").mapInArrow(
-        _extract, f"page_id {kind}, url string, text string, n_chars long")
+    out = f"page_id {kind}, url string, text string, n_chars long"
+    if known.count() <= BROADCAST_HASHES:
+        keys = [np.frombuffer(r["keys"], np.uint64) for r in known.mapInArrow(_packed, "keys binary").collect()]
+        keys = np.unique(np.concatenate([np.zeros(0, np.uint64), *keys]))
+        return rows.mapInArrow(_extract(pages.sparkSession.sparkContext.broadcast(keys)), out)
+    return _with_templates(rows, known).select("page_id", "url", "html", "host", "template").mapInArrow(_extract(), out)
