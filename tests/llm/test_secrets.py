@@ -103,6 +103,27 @@ def test_short_last_line_of_a_packed_layer(pack):
         assert S.scan(f"a {coded}").every == [(2, 2 + len(coded), "assign")]
 
 
+@pytest.mark.parametrize("pack", [gzip.compress, bz2.compress, lzma.compress, zlib.compress])
+def test_all_members_are_opened(pack):
+    for more in (b"", b"\0\0\0\0"):
+        coded = b64(pack(b"nothing here ") + more + pack(f" {KEY} ".encode()) + pack(PLAIN.encode()))
+        assert {k for _, _, k in S.scan(coded).every} >= {"access", "assign"}
+        assert S.scan(f"a {coded} b").every[0][:2] == (2, 2 + len(coded))
+
+
+@pytest.mark.parametrize("pack", [gzip.compress, bz2.compress, lzma.compress])
+def test_layers_beyond_the_bound_are_read(pack, monkeypatch):
+    monkeypatch.setattr(S, "PIECE", 4000)
+    for at in range(0, 12_000, 397):
+        for secret in (PLAIN, b64(gzip.compress(PLAIN.encode())), quote(PLAIN, safe="")):
+            inner = ("word " * 6000)[:at] + f" {secret} " + "word " * 3000
+            coded = b64(pack(pack(inner.encode())))
+            found = S.scan(f"a {coded} b", limit=5000)
+            assert found.every == [(2, 2 + len(coded), "assign")] and found.unopened >= 1
+    monkeypatch.undo()
+    assert S.redacted(b64(gzip.compress(b"a " * (18 << 20) + PLAIN.encode()))) == "[assign]"
+
+
 def test_short_runs():
     assert S.scan("dG9rZW49QWIzZEU2Z0g=").every == [(0, 19, "assign")]
     assert S.scan("x dG9rZW49QWIzZEU2Z0g y").every == [(2, 21, "assign")]

@@ -14,6 +14,7 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
+import codecs
 import html
 import lzma
 import re
@@ -21,6 +22,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from hashlib import blake2b, sha256
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +32,12 @@ from pyspark.sql import functions as F
 from tidemark.llm.words import in_slices
 
 KINDS = ("assign", "access", "hex")
-# A layer that would unpack to more bytes than this is not opened but counted.
+# A layer that unpacks to more bytes than this is counted and read in overlapping pieces.
 LAYER_BYTES = 32 << 20
+PIECE = 4 << 20  # characters
+XZ_BYTES = 256 << 20  # memory of an xz dictionary
+_CHUNK = 1 << 20
+_BREAKS = " \t,()<>|!?*[]@$^~`"  # no encoded run holds these
 
 _ASSIGN = re.compile(
     r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -138,23 +144,107 @@ class TooLarge(Exception):
     """A compressed layer would exceed the bound."""
 
 
-def _unpack(raw: bytes, limit: int) -> bytes | None:
-    """The bytes inside a gzip, zlib, bz2 or xz stream; None if there is no such stream."""
+def _opener(raw: bytes):
+    """A decompressor for the gzip, zlib, bz2 or xz stream that starts here, or None."""
     if raw[:2] == b"\x1f\x8b" or (len(raw) > 2 and raw[0] == 0x78 and int.from_bytes(raw[:2], "big") % 31 == 0):
-        opener = zlib.decompressobj(47)
-    elif raw[:3] == b"BZh":
-        opener = bz2.BZ2Decompressor()
-    elif raw[:6] == b"\xfd7zXZ\x00":
-        opener = lzma.LZMADecompressor(memlimit=limit)
-    else:
+        return zlib.decompressobj(47)
+    if raw[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if raw[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor(memlimit=XZ_BYTES)
+    return None
+
+
+def _members(source: Iterator[bytes]) -> Iterator[bytes]:
+    """The bytes of all streams that follow each other; ValueError if the first is unsound."""
+    data, first = b"", True
+    while True:
+        while len(data) < 6 and (more := next(source, None)) is not None:
+            data = (data + more) if first else (data + more).lstrip(b"\0")
+        opener = _opener(data)
+        if opener is None:
+            return
+        try:
+            while not opener.eof:
+                if not data and getattr(opener, "needs_input", True):
+                    data = next(source, None)
+                    if data is None:  # cut off
+                        if rest := getattr(opener, "flush", bytes)():
+                            yield rest
+                        return
+                out = opener.decompress(data, _CHUNK)
+                data = getattr(opener, "unconsumed_tail", b"")
+                if out:
+                    yield out
+        except (zlib.error, OSError, EOFError, lzma.LZMAError) as e:
+            if first:
+                raise ValueError from e
+            return
+        data, first = opener.unused_data.lstrip(b"\0"), False
+
+
+def _unpack(raw: bytes, limit: int) -> bytes | None:
+    """The bytes inside gzip, zlib, bz2 or xz streams; None if there is no such stream."""
+    if _opener(raw) is None:
         return None
+    parts, size = [], 0
     try:
-        out = opener.decompress(raw, limit + 1)
-    except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
+        for part in _members(iter([raw])):
+            parts.append(part)
+            size += len(part)
+            if size > limit:
+                raise TooLarge
+    except ValueError:
         return None
-    if len(out) > limit:
-        raise TooLarge
-    return out
+    return b"".join(parts)
+
+
+@dataclass
+class Large:
+    """A compressed layer beyond the bound, and the range it came from."""
+
+    packed: bytes
+    low: int
+    high: int
+
+    def chunks(self) -> Iterator[bytes]:
+        out, last = _members(iter([self.packed])), None
+        while (head := next(out, None)) is not None:
+            if _opener(head) is None or head == last:
+                return chain([head], out)
+            inner, last = _members(chain([head], out)), head
+            try:
+                out = chain([next(inner)], inner)
+            except (ValueError, StopIteration):
+                return chain([head], out)
+        return iter(())
+
+    def pieces(self, limit: int) -> Iterator[Layer]:
+        """Layers that overlap by a quarter and start outside of encoded runs, if these are not beyond the limit."""
+        decoder, text = codecs.getincrementaldecoder("utf-8")("replace"), ""
+
+        def layer() -> Iterator[Layer]:
+            odd = sum(map(text.count, _ODD))
+            if text and odd * 20 <= len(text):
+                yield Layer(text, np.broadcast_to(self.low, len(text)), np.broadcast_to(self.high, len(text)))
+
+        try:
+            for chunk in self.chunks():
+                text += decoder.decode(chunk)
+                while len(text) >= PIECE:
+                    least, most = len(text) // 2, len(text) - PIECE // 4
+                    at = max(text.rfind(c, least, most) for c in _BREAKS)
+                    if at < 0 and len(text) < max(limit, 2 * PIECE):
+                        break
+                    yield from layer()
+                    text = text[at if at > 0 else most:]
+        except ValueError:
+            pass
+        yield from layer()
+
+
+# Characters that text does not hold, but for a few.
+_ODD = [chr(c) for c in range(32) if c not in (9, 10, 12, 13)] + ["\x7f", "\ufffd"]
 
 
 def _readable(raw: bytes) -> str | None:
@@ -176,7 +266,7 @@ def _decoded(run: str) -> bytes | None:
         return None
 
 
-def _opened(layer: Layer, start: int, end: int, limit: int) -> Layer | None:
+def _opened(layer: Layer, start: int, end: int, limit: int) -> Layer | Large | None:
     """What a base64 run holds: text, or text inside compressed layers."""
     run = layer.text[start:end]
     places = np.frombuffer(run.encode(), np.uint8)
@@ -185,14 +275,17 @@ def _opened(layer: Layer, start: int, end: int, limit: int) -> Layer | None:
     if not raw:
         return None
     own_low, own_high = layer.ranges()
-    packed = _unpack(raw, limit)
-    if packed is not None:
+    low, high = own_low[start:end].min(), own_high[start:end].max()
+    packed, inner = raw, None
+    try:
         while (inner := _unpack(packed, limit)) is not None and inner != packed:
             packed = inner
+    except TooLarge:
+        return Large(packed, low, high)
+    if packed is not raw:
         text = _readable(packed)
         if text is None:
             return None
-        low, high = own_low[start:end].min(), own_high[start:end].max()
         return Layer(text, np.full(len(text), low), np.full(len(text), high))
     text = _readable(raw)
     if text is None:
@@ -219,7 +312,7 @@ def _groups(widths: list[int], begun: bool) -> list[tuple[int, int]]:
     return out
 
 
-def _runs(layer: Layer, m: re.Match, limit: int) -> Iterator[Layer | None]:
+def _runs(layer: Layer, m: re.Match, limit: int) -> Iterator[Layer | Large]:
     """What the lines of a match hold, joined as far as they belong together.
 
     Words alone on a line look like base64 as well, so lines are joined by their
@@ -230,13 +323,10 @@ def _runs(layer: Layer, m: re.Match, limit: int) -> Iterator[Layer | None]:
         lines.pop()
     widths = [b - a for a, b in lines]
 
-    def opened(first: int, end: int) -> list[Layer | None]:
+    def opened(first: int, end: int) -> list[Layer | Large]:
         if first >= end or sum(widths[first:end]) < _FEWEST:
             return []
-        try:
-            out = _opened(layer, lines[first][0], m.end() if end == len(lines) else lines[end - 1][1], limit)
-        except TooLarge:
-            return [None]
+        out = _opened(layer, lines[first][0], m.end() if end == len(lines) else lines[end - 1][1], limit)
         return [] if out is None else [out]
 
     groups = _groups(widths, m.start() > 0 and layer.text[m.start() - 1] not in "\r\n")
@@ -252,8 +342,8 @@ def _runs(layer: Layer, m: re.Match, limit: int) -> Iterator[Layer | None]:
     yield from out or (opened(0, len(lines)) if not whole else [])
 
 
-def _inner(layer: Layer, limit: int) -> Iterator[Layer | None]:
-    """Layers one decoding further; None for one that is too large."""
+def _inner(layer: Layer, limit: int) -> Iterator[Layer | Large]:
+    """Layers one decoding further."""
     text = layer.text
     if "%" in text and (out := _undo(layer, _URL, _url)):
         yield out
@@ -280,23 +370,33 @@ def scan(text: str | None, limit: int = LAYER_BYTES) -> Findings:
     work = [Layer(text or "")]
     seen = {blake2b(work[0].text.encode("utf-8", "surrogatepass"), digest_size=16).digest()}
     base = _ordered(find(work[0].text))
-    every, layers, unopened = set(base), 0, 0
-    while work:
-        layer = work.pop()
-        layers += 1
-        if layer.low is not None:
-            every.update((*layer.span(a, b), kind) for a, b, kind in find(layer.text))
-        for inner in _inner(layer, limit):
-            if inner is None:
-                unopened += 1
-                continue
-            key = blake2b(inner.text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
-            # The same content at another place is another layer; at one place it is a cycle.
-            key += int(inner.low[0]).to_bytes(8, "little") if len(inner.text) else b""
-            if key not in seen:
-                seen.add(key)
-                work.append(inner)
-    return Findings(base, _ordered(every), layers, unopened)
+    every, layers, large = set(base), 0, 0
+
+    def walk(work: list[Layer]) -> None:
+        nonlocal layers, large
+        while work:
+            layer = work.pop()
+            layers += 1
+            if layer.low is not None:
+                every.update((*layer.span(a, b), kind) for a, b, kind in find(layer.text))
+            for inner in _inner(layer, limit):
+                if isinstance(inner, Large):
+                    key = blake2b(inner.packed, digest_size=16).digest() + int(inner.low).to_bytes(8, "little")
+                    if key not in seen:
+                        seen.add(key)
+                        large += 1
+                        for piece in inner.pieces(limit):
+                            walk([piece])
+                    continue
+                key = blake2b(inner.text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+                # The same content at another place is another layer; at one place it is a cycle.
+                key += int(inner.low[0]).to_bytes(8, "little") if len(inner.text) else b""
+                if key not in seen:
+                    seen.add(key)
+                    work.append(inner)
+
+    walk(work)
+    return Findings(base, _ordered(every), layers, large)
 
 
 def joined(spans: list[tuple[int, int, str]]) -> str:
@@ -325,7 +425,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Returns one row per input row: `doc_id`; `n_assign`, `n_access`, `n_hex`, found
     in the text itself; `base_sha256`, the SHA-256 of these as kind:start:end;
     `spans`, all of them and those of inner layers, in the same form, each range
-    once; `n_layers` looked at; `n_unopened`, compressed layers beyond the bound. A
+    once; `n_layers` looked at; `n_unopened`, compressed layers beyond the bound, which are not
+    opened as a whole but read in pieces. A
     null or empty text has no spans. Null ids and repeated rows are kept. Places are code points, ends
     exclusive. Other columns are not read.
     """
