@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 
+import corpus_pipeline
 from tidemark.llm import near_dedup as N
 
 
@@ -94,3 +95,14 @@ def test_blocks_join_what_centres_miss(spark, monkeypatch):
     """With blocks of a few members the result is the same."""
     monkeypatch.setattr(N, "BLOCK", 3)
     test_matches_all_pairs(spark)
+
+
+def test_width_of_shingles(spark):
+    words = [f"w{k}" for k in range(1000)]
+    spread = [f"x{k}" if k % 25 == 0 else w for k, w in enumerate(words)]  # 4% of the words
+    near = ["y" if k == 500 else w for k, w in enumerate(words)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(spread)), (3, " ".join(near)), (4, "a b c"), (5, "A  b c"),
+                                  (6, "a b d")], "doc_id long, text string")
+    assert {r.doc_id for r in N.one_of_each(docs).collect()} == {1, 4, 6}
+    assert {r.doc_id for r in N.one_of_each(docs, width=5).collect()} == {1, 2, 4, 6}
+    assert {r.doc_id for r in corpus_pipeline.remove_near_duplicates(spark, docs, "").collect()} == {1, 2, 4, 6}

@@ -21,7 +21,7 @@ Two sets at the threshold of 0.8 share no band with probability
 from __future__ import annotations
 
 from collections import OrderedDict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from hashlib import blake2b
 from math import comb
@@ -40,6 +40,7 @@ HASHES = ROWS * BANDS
 MISS = 1e-5
 BLOCK = 512  # members of a block
 BLOCK_BYTES = 4 << 20  # and their texts
+WIDTH = 2  # words of a shingle
 LOW, HIGH = 4, 5  # at least 100 * shared >= 80 * union
 
 _random = np.random.default_rng(77)
@@ -48,11 +49,15 @@ _B = _random.integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32)
 _ROLL = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shingle_hashes(words: np.ndarray) -> np.ndarray:
-    """Sorted distinct hashes of word pairs; one word alone is its own shingle."""
+def shingle_hashes(words: np.ndarray, width: int = WIDTH) -> np.ndarray:
+    """Sorted distinct hashes of sequences of `width` words; fewer words are one shingle."""
     if len(words) < 2:
         return mix(words + np.uint64(1))
-    return np.unique(mix(words[:-1] * _ROLL + words[1:]))
+    width = min(width, len(words))
+    total = words[:len(words) - width + 1]
+    for k in range(1, width):
+        total = total * _ROLL + words[k:len(words) - width + 1 + k]
+    return np.unique(mix(total))
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
@@ -64,36 +69,39 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in in_slices(batches, "text"):
-        words = words_of(batch.column("text"), SPACED)
-        size, prints, bands, signs = [], [], [], []
-        seen: dict[bytes, tuple[np.ndarray, bytes]] = {}
-        for i in range(len(words)):
-            own = words.hash[words.of(i)]
-            if not len(own):
-                size.append(0)
-                prints.append(None)
-                bands.append(None)
-                signs.append(None)
-                continue
-            shingles = shingle_hashes(own)
-            key = blake2b(shingles.tobytes(), digest_size=16).digest()
-            if key not in seen:
-                low = signature(shingles)
-                band = mix(low.reshape(BANDS, ROWS).astype(np.uint64) + np.uint64(1))
-                total = np.arange(BANDS, dtype=np.uint64)
-                for row in range(ROWS):
-                    total = mix(total * _ROLL + band[:, row])
-                seen[key] = total.view(np.int64), mix(low.astype(np.uint64)).astype(np.uint8).tobytes()
-            size.append(len(shingles))
-            prints.append(key)
-            bands.append(seen[key][0])
-            signs.append(seen[key][1])
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("id"), batch.column("h"), pa.array(size, pa.int64()), pa.array(prints, pa.binary()),
-             pa.array(bands, pa.list_(pa.int64())), pa.array(signs, pa.binary())],
-            names=["id", "h", "n", "cls", "bands", "sig"])
+def _features(width: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in in_slices(batches, "text"):
+            words = words_of(batch.column("text"), SPACED)
+            size, prints, bands, signs = [], [], [], []
+            seen: dict[bytes, tuple[np.ndarray, bytes]] = {}
+            for i in range(len(words)):
+                own = words.hash[words.of(i)]
+                if not len(own):
+                    size.append(0)
+                    prints.append(None)
+                    bands.append(None)
+                    signs.append(None)
+                    continue
+                shingles = shingle_hashes(own, width)
+                key = blake2b(shingles.tobytes(), digest_size=16).digest()
+                if key not in seen:
+                    low = signature(shingles)
+                    band = mix(low.reshape(BANDS, ROWS).astype(np.uint64) + np.uint64(1))
+                    total = np.arange(BANDS, dtype=np.uint64)
+                    for row in range(ROWS):
+                        total = mix(total * _ROLL + band[:, row])
+                    seen[key] = total.view(np.int64), mix(low.astype(np.uint64)).astype(np.uint8).tobytes()
+                size.append(len(shingles))
+                prints.append(key)
+                bands.append(seen[key][0])
+                signs.append(seen[key][1])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), batch.column("h"), pa.array(size, pa.int64()), pa.array(prints, pa.binary()),
+                 pa.array(bands, pa.list_(pa.int64())), pa.array(signs, pa.binary())],
+                names=["id", "h", "n", "cls", "bands", "sig"])
+
+    return run
 
 
 def least_matches(low: float, miss: float) -> np.ndarray:
@@ -202,39 +210,43 @@ def _involved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 names=["key", "out", "cls"])
 
 
-def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _block_links(width: int) -> Callable:
     """Verified pairs of two blocks; none between components that a pair before has joined."""
-    for batch in batches:
-        found_a, found_b = [], []
-        for _, key, _, _, same, left, right in _block_rows(batch):
-            parent: dict[int, int] = {}
-            sets: dict[tuple[bool, int], set] = {}
-
-            def root(c: int, parent: dict[int, int] = parent) -> int:
-                while parent.get(c, c) != c:
-                    c = parent[c]
-                return c
-
-            def shingles(side: _Side, i: int, sets: dict = sets, left: _Side = left) -> set:
-                k = side is left, i
-                if k not in sets:
-                    sets[k] = shingle_set(side.text[i].as_py())
-                return sets[k]
-
-            for a, b in _candidates(left, right, key, same):
-                for i, j in zip(a.tolist(), b.tolist(), strict=True):
-                    ends = root(int(left.comp[i])), root(int(right.comp[j]))
-                    if ends[0] != ends[1] and similar(shingles(left, i), shingles(right, j)):
-                        parent[ends[0]] = ends[1]
-                        found_a.append(left.cls[i].as_py())
-                        found_b.append(right.cls[j].as_py())
-        yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.binary()), pa.array(found_b, pa.binary())], names=["a", "b"])
-
-
-def shingle_set(text: bytes) -> set[tuple[bytes, ...]]:
-    """Distinct word pairs of a text with words; of one word, that word."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found_a, found_b = [], []
+            for _, key, _, _, same, left, right in _block_rows(batch):
+                parent: dict[int, int] = {}
+                sets: dict[tuple[bool, int], set] = {}
+
+                def root(c: int, parent: dict[int, int] = parent) -> int:
+                    while parent.get(c, c) != c:
+                        c = parent[c]
+                    return c
+
+                def shingles(side: _Side, i: int, sets: dict = sets, left: _Side = left) -> set:
+                    k = side is left, i
+                    if k not in sets:
+                        sets[k] = shingle_set(side.text[i].as_py(), width)
+                    return sets[k]
+
+                for a, b in _candidates(left, right, key, same):
+                    for i, j in zip(a.tolist(), b.tolist(), strict=True):
+                        ends = root(int(left.comp[i])), root(int(right.comp[j]))
+                        if ends[0] != ends[1] and similar(shingles(left, i), shingles(right, j)):
+                            parent[ends[0]] = ends[1]
+                            found_a.append(left.cls[i].as_py())
+                            found_b.append(right.cls[j].as_py())
+            yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.binary()), pa.array(found_b, pa.binary())], names=["a", "b"])
+
+    return run
+
+
+def shingle_set(text: bytes, width: int = WIDTH) -> set[tuple[bytes, ...]]:
+    """Distinct sequences of `width` words of a text with words; of fewer words, these."""
     words = text.lower().split()  # of bytes: ASCII letters and ASCII white space
-    return set(zip(words, words[1:], strict=False)) if len(words) > 1 else {tuple(words)}
+    width = min(width, len(words))
+    return set(zip(*(words[k:] for k in range(width)), strict=False))
 
 
 def similar(left: set, right: set) -> bool:
@@ -245,25 +257,28 @@ def similar(left: set, right: set) -> bool:
     return HIGH * shared >= LOW * (len(left) + len(right) - shared)
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(width: int) -> Callable:
     """Pairs whose full sets of word pairs reach the threshold."""
-    kept: OrderedDict[bytes, set] = OrderedDict()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: OrderedDict[bytes, set] = OrderedDict()
 
-    def shingles(key: bytes, text: bytes) -> set:
-        if key not in kept:
-            kept[key] = shingle_set(text)
-            while len(kept) > 1 and sum(map(len, kept.values())) > 200_000:
-                kept.popitem(last=False)
-        kept.move_to_end(key)
-        return kept[key]
+        def shingles(key: bytes, text: bytes) -> set:
+            if key not in kept:
+                kept[key] = shingle_set(text, width)
+                while len(kept) > 1 and sum(map(len, kept.values())) > 200_000:
+                    kept.popitem(last=False)
+            kept.move_to_end(key)
+            return kept[key]
 
-    for batch in batches:
-        stay = []
-        columns = (batch.column(c) for c in ("a", "b", "text_a", "text_b"))
-        for i, (a, b, text_a, text_b) in enumerate(zip(*columns, strict=True)):
-            if similar(shingles(a.as_py(), text_a.as_py()), shingles(b.as_py(), text_b.as_py())):
-                stay.append(i)
-        yield batch.select(["a", "b"]).take(pa.array(stay, pa.int64()))
+        for batch in batches:
+            stay = []
+            columns = (batch.column(c) for c in ("a", "b", "text_a", "text_b"))
+            for i, (a, b, text_a, text_b) in enumerate(zip(*columns, strict=True)):
+                if similar(shingles(a.as_py(), text_a.as_py()), shingles(b.as_py(), text_b.as_py())):
+                    stay.append(i)
+            yield batch.select(["a", "b"]).take(pa.array(stay, pa.int64()))
+
+    return run
 
 
 _PAIR = "a binary, b binary"
@@ -277,13 +292,13 @@ def _sided(pairs: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
     return pairs
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Group documents whose sets of distinct word pairs are linked at 0.8 or more.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
+    """Group documents whose sets of distinct sequences of `width` words are linked at 0.8 or more.
 
     Returns one row per input row: `doc_id`, `n_shingles`, `component_id` (the
     least id reachable by links), `kept` (the row has that id), and `text_hash`.
     Words are runs of anything but ASCII white space, A-Z lower-cased; a text of
-    one word has that word as its only shingle. A null or wordless text has no
+    fewer words has these as its only shingle. A null or wordless text has no
     shingles and is linked with nothing: it is its own component. Rows with a
     null id take part; such a row has `kept` false, or null where no id can be
     reached. Repeated rows are kept as rows and share a component. Other columns
@@ -294,7 +309,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
     features = stage(
         rows.select("id", F.xxhash64("t").alias("h"), F.col("t").cast("binary").alias("text"))
-        .mapInArrow(_features, "id long, h long, n long, cls binary, bands array<bigint>, sig binary"))
+        .mapInArrow(_features(width), "id long, h long, n long, cls binary, bands array<bigint>, sig binary"))
     full = features.where("cls is not null")
     members = full.select("cls", F.explode("bands").alias("key")).distinct()
     buckets = members.groupBy("key").agg(F.count("*").alias("size"), F.min(F.xxhash64("cls", "key")).alias("centre"))
@@ -310,10 +325,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     centres = shared.where("is_centre").groupBy("key").agg(F.min("cls").alias("b"))
     star = _pairs(shared.join(centres, "key").where("cls <> b").select(F.col("cls").alias("a"), "b"))
     star = stage(_sided(star, classes, "sig").mapInArrow(_prune, _PAIR))
-    linked = stage(_verified(star, texts))
+    linked = stage(_verified(star, texts, width))
     joined = components(linked).select(F.col("node").alias("cls"), F.col("component").alias("comp"))
 
-    more = stage(_rest(shared, classes, stage(joined), texts))
+    more = stage(_rest(shared, classes, stage(joined), texts, width))
     groups = components(linked.union(more)).select(F.col("node").alias("cls"), "component")
 
     least = full.groupBy("cls").agg(F.min("id").alias("least")).join(groups, "cls", "left")
@@ -328,13 +343,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", "n_shingles", "component_id", kept.alias("kept"), "group", "text_hash")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
     """The rows, with all columns, without all but one row of every group of near-duplicates.
 
     The row of least id stays (null ids last, then by the text's hash); of rows
     that repeat it one stays. Texts without words are in no group and stay.
     """
-    labels = stage(near_duplicates(docs, id_col, text_col).where("group is not null"))
+    labels = stage(near_duplicates(docs, id_col, text_col, width).where("group is not null"))
     key = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "text_hash")
     best = labels.groupBy("group").agg(F.min(key).alias("best"))
     marked = labels.select("group", key.alias("own")).join(best, "group")
@@ -371,11 +386,11 @@ def _texts_of(rows: DataFrame, classes: DataFrame) -> DataFrame:
     return stage(text.join(wanted, "h").select("cls", "text"))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    return _sided(pairs, texts, "text").mapInArrow(_sets, _PAIR)
+def _verified(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    return _sided(pairs, texts, "text").mapInArrow(_sets(width), _PAIR)
 
 
-def _rest(shared: DataFrame, classes: DataFrame, joined: DataFrame, texts: DataFrame) -> DataFrame:
+def _rest(shared: DataFrame, classes: DataFrame, joined: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     """Verified pairs of different components that share a bucket."""
     rows = (shared.select("key", "cls").join(joined, "cls", "left")
             .withColumn("comp", F.xxhash64(F.coalesce("comp", "cls"))))
@@ -391,7 +406,7 @@ def _rest(shared: DataFrame, classes: DataFrame, joined: DataFrame, texts: DataF
                   .mapInArrow(_involved, "key long, out boolean, cls binary").distinct())
     members = (rows.join(named, ["key", "out", "cls"]).join(signs, "cls").join(texts, "cls")
                .withColumn("size", F.greatest(F.octet_length("text"), F.lit(BLOCK_BYTES // BLOCK))))
-    return _of_blocks(members, BLOCK_BYTES, ["cls", "comp", "sig", "bands", "text"]).mapInArrow(_block_links, _PAIR)
+    return _of_blocks(members, BLOCK_BYTES, ["cls", "comp", "sig", "bands", "text"]).mapInArrow(_block_links(width), _PAIR)
 
 
 def _of_blocks(members: DataFrame, most: int, columns: list[str]) -> DataFrame:
