@@ -8,12 +8,12 @@ import corpus_pipeline
 from tidemark.llm import near_dedup as N
 
 
-def groups(rows):
-    """(n, component) by row, by comparing every pair."""
+def groups(rows, width=2):
+    """(n, component) by row, by comparing the sets of `width` words of every pair."""
     sets = []
     for _, text in rows:
         w = (text or "").encode().lower().split()
-        sets.append(set(zip(w, w[1:], strict=False)) if len(w) > 1 else {tuple(w)} if w else set())
+        sets.append({tuple(w[k:k + width]) for k in range(max(1, len(w) - width + 1))} if w else set())
     parent = list(range(len(rows)))
 
     def root(i):

@@ -52,7 +52,7 @@ def test_language_rejects_texts_without_letters_only(stages):
 def test_one_row_of_a_group_stays(stages):
     out, _ = stages
     rows = [(r.doc_id, r.text) for r in out[1].collect()]
-    sizes, root = groups(rows)
+    sizes, root = groups(rows, 5)
     least = {}
     for (i, text), (n, _), g in zip(rows, sizes, root, strict=True):
         if n:
@@ -97,5 +97,5 @@ def test_mixing_keeps_the_drawn_rows(stages):
 
 
 def test_registered():
-    assert [k.split("_")[0] for k in QUERIES] == [f"op{n}" for n in range(1, 11)]
+    assert [k.split("_")[0] for k in QUERIES] == [f"op{n}" for n in range(1, 14)]
     assert set(SQL) <= set(QUERIES)

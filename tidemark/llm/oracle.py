@@ -57,6 +57,41 @@ SELECT page_id, url, CASE WHEN b IS NULL THEN 'missing' WHEN strlen(a) <> strlen
 FROM r WHERE a IS DISTINCT FROM b
 """
 
+LINES = r"""
+WITH l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS place
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)),
+k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+s AS (SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+m AS (SELECT doc_id, line, place, coalesce(doc_id <> keeper, FALSE) AS gone FROM k LEFT JOIN s USING (key))
+SELECT doc_id, count(*) AS n_lines, CAST(sum(CAST(gone AS INTEGER)) AS BIGINT) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT gone), '')) AS kept_sha256
+FROM m GROUP BY doc_id
+"""
+
+# The checksum goes through the bits of each byte, the lowest first.
+SPELLING = r"""
+WITH RECURSIVE r AS MATERIALIZED (SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run,
+    count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS run FROM documents) GROUP BY ALL),
+x AS (SELECT *, hex(encode(doc_id || ':' || run)) AS x FROM r),
+b AS (SELECT run, n, list_transform(range(0, 4 * length(x)), lambda j:
+    (CAST('0x' || substr(x, 2 * (j // 8) + 1, 2) AS BIGINT) >> (j % 8)) & 1) AS bits FROM x),
+h AS (SELECT run, n, xor(list_reduce([4294967295] || bits, lambda c, v: xor(c >> 1, 3988292384 * (xor(c, v) & 1))), 4294967295) AS h FROM b),
+w AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (
+    SELECT n, CASE WHEN h % 97 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM h)
+  WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+c AS MATERIALIZED (SELECT word, n, left(word, i - 1) AS head, substr(word, i + 1) AS tail
+  FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+p AS (SELECT a.word AS word, b.word AS near, b.n AS m FROM c a JOIN c b ON a.head = b.head AND a.tail = b.tail AND a.word <> b.word
+  UNION SELECT c.word, w.word, w.n FROM c JOIN w ON w.word = c.head || c.tail
+  UNION SELECT w.word, c.word, c.n FROM c JOIN w ON w.word = c.head || c.tail),
+f AS MATERIALIZED (SELECT word, count(*) AS n_near, max(m) AS m, arg_min(near, (-m, near)) AS near FROM p GROUP BY word),
+k AS MATERIALIZED (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 2 * n THEN near END AS form,
+    CASE WHEN m >= 2 * n THEN m END AS form_n FROM w LEFT JOIN f USING (word)),
+g(word, here, step) AS (SELECT word, word, 0 FROM k UNION ALL SELECT g.word, k.form, step + 1 FROM g JOIN k ON k.word = g.here WHERE k.form IS NOT NULL)
+SELECT word, form, root, n, n_near, form_n FROM k JOIN (SELECT word, arg_max(here, step) AS root FROM g GROUP BY word) USING (word)
+"""
+
 
 def mixing() -> str:
     """The raking, unrolled: one statement for each step."""

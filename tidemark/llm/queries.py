@@ -14,8 +14,11 @@ from pyspark.sql import functions as F
 from tidemark.llm import decontaminate, language_id, line_quality, mixing, oracle, token_count, warc_audit
 from tidemark.llm.html_text import extract_text
 from tidemark.llm.license_scan import scan_licenses
+from tidemark.llm.line_dedup import dedup_lines
 from tidemark.llm.near_dedup import near_duplicates
 from tidemark.llm.secret_scan import scan_secrets
+from tidemark.llm.spelling import spelling_variants
+from tidemark.llm.token_alignment import Files, align_corpus
 
 # Folder of the public tokenizers' files.
 TOKENIZERS = os.environ.get("TIDEMARK_TOKENIZERS", "/opt/tokenizers")
@@ -97,3 +100,20 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(_table(spark, sf_dir, "pages"))
+
+
+@query()
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = Files.read(f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/piece_bpe_32k.model")
+    return align_corpus(_table(spark, sf_dir, "documents"), files)
+
+
+@query(oracle.LINES)
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = dedup_lines(_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query(oracle.SPELLING)
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(_table(spark, sf_dir, "documents"))
