@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import as_double, round_to, safe_div
 from tidemark.operators.ranks import histogram_quantiles, value_histogram
-from tidemark.runtime import attach
+from tidemark.runtime import attach, stage
 
 
 def _col(c: Column | str) -> Column:
@@ -65,8 +65,11 @@ class Measures:
 
     Each measure is a function without arguments that gives an aggregate
     Column; measures may call each other, as in a semantic model. Measures in a
-    changed context are evaluated over their own slices and attached to the
-    slices of the others; a slice that they have no rows for shows NULL.
+    changed context are attached to the slices of the others; a slice that they
+    have no rows for shows NULL. Contexts do not read the rows again: a row is dealt
+    to every context it belongs to, under that context's keys, and one aggregate
+    with map-side combining covers all. Totals that add up, and shifted periods,
+    are cheaper in `contexts.Model`.
     """
 
     def __init__(self, **measures: Callable[[], Column]):
@@ -75,18 +78,32 @@ class Measures:
     def evaluate(self, df: DataFrame, names: Sequence[str] | None = None,
                  by: Sequence[str] = (), calculated: Mapping[str, Calculated] | None = None) -> DataFrame:
         names = list(names or self.measures)
-        cols = [self.measures[n]().alias(n) for n in names]
-        out = df.groupBy(*by).agg(*cols) if by else df.agg(*cols)
-        for name, c in (calculated or {}).items():
-            rows_ = df if c.where is None else df.where(c.where)
-            keys = [k for k in by if k not in c.all_of]
-            value = self.measures[c.measure]().alias(name)
-            if not keys:
-                out = out.crossJoin(F.broadcast(rows_.agg(value)))
-                continue
-            part = rows_.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(value)
-            same = reduce(lambda a, b: a & b, [out[k].eqNullSafe(part[f"_{k}"]) for k in keys])
-            out = out.join(part, same, "left").drop(*[f"_{k}" for k in keys])
+        if not calculated:
+            cols = [self.measures[n]().alias(n) for n in names]
+            return df.groupBy(*by).agg(*cols) if by else df.agg(*cols)
+        changed = dict(calculated)
+        wanted = list(dict.fromkeys([*names, *(c.measure for c in changed.values())]))
+        kind = {f.name: f.dataType for f in df.schema.fields}
+
+        def place(no: int, c: Calculated | None) -> Column:
+            keys = [(F.lit(None).cast(kind[k]) if c and k in c.all_of else F.col(k)).alias(f"_k{i}") for i, k in enumerate(by)]
+            at = F.struct(F.lit(no).alias("_context"), *keys)
+            return at if c is None or c.where is None else F.when(c.where, at)
+
+        places = F.array(*[place(no, c) for no, c in enumerate([None, *changed.values()])])
+        dealt = df.select("*", F.explode(F.array_compact(places)).alias("_place"))
+        keys = [f"_k{i}" for i in range(len(by))]
+        cells = stage(dealt.groupBy(*[F.col(f"_place.{c}").alias(c) for c in ("_context", *keys)])
+                      .agg(*[self.measures[m]().alias(m) for m in wanted]))
+        out = cells.where("_context = 0").select(*[F.col(k).alias(b) for k, b in zip(keys, by, strict=True)], *names)
+        if not by:  # one row, even of no rows
+            out = cells.sparkSession.range(1).join(out, F.lit(True), "left").drop("id")
+        for no, (name, c) in enumerate(changed.items(), 1):
+            kept = [(k, b) for k, b in zip(keys, by, strict=True) if b not in c.all_of]
+            part = cells.where(F.col("_context") == no).select(*[k for k, _ in kept], F.col(c.measure).alias(f"_v{no}"))
+            same = reduce(lambda x, y: x & y, [out[b].eqNullSafe(part[k]) for k, b in kept], F.lit(True))
+            out = out.join(part if kept else F.broadcast(part), same, "left").drop(*[k for k, _ in kept])
+            out = out.withColumnRenamed(f"_v{no}", name)
         return out
 
 

@@ -6,6 +6,7 @@ from tidemark.queries import (  # noqa: F401
     cleaning,
     incidents,
     joins,
+    measures,
     profit,
     quality,
     scalars,

@@ -36,7 +36,8 @@ class Inputs(Tables):
 
     @property
     def lines(self) -> DataFrame:
-        return kept(self.spark, f"{self.path}/lines", lambda: order_profit_view(self.order_lines_raw, self.products))
+        return kept(self.spark, f"{self.path}/lines", lambda: order_profit_view(self.order_lines_raw, self.products),
+                    self._files("lineitem", "orders", "part", "supplier", "nation"))
 
     @property
     def incidents(self) -> DataFrame:
@@ -45,7 +46,12 @@ class Inputs(Tables):
     @property
     def tx(self) -> DataFrame:
         return kept(self.spark, f"{self.path}/tx",
-                    lambda: clean_transactions(self.transactions_raw, self.country_names))
+                    lambda: clean_transactions(self.transactions_raw, self.country_names),
+                    self._files("lineitem", "orders", "customer", "nation", "part", "supplier"))
+
+    def _files(self, *tables: str) -> list[str]:
+        """The tables that a stored view is made of."""
+        return [f"{self.path}/{t}.parquet" for t in tables]
 
     @property
     def sales(self) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from hashlib import sha256
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,34 +54,70 @@ def stage(df: DataFrame) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, "stage")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
 
 
-_kept: dict[tuple[str, str], tuple[str, StructType]] = {}
+def release(*tables: DataFrame) -> None:
+    """Remove tables that `stage` has written, once nothing reads them any more."""
+    for table in tables:
+        _remove(table.sparkSession, table.staged_path)
 
 
-def kept(spark: SparkSession, key: str, build: Callable[[], DataFrame]) -> DataFrame:
+def _remove(spark: SparkSession, path: str) -> None:
+    context = spark.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def files_print(spark: SparkSession, *paths: str) -> str:
+    """A fingerprint of the files under the paths: names, lengths and modification times.
+
+    Only listings are read, folder by folder; a path that does not exist is empty.
+    """
+    context = spark.sparkContext
+    jvm, conf = context._jvm, context._jsc.hadoopConfiguration()
+    digest, folders = sha256(), [jvm.org.apache.hadoop.fs.Path(p) for p in paths]
+    while folders:
+        folder = folders.pop()
+        fs = folder.getFileSystem(conf)
+        found = [(s, s.toString()) for s in (fs.listStatus(folder) if fs.exists(folder) else [])]
+        for _, said in sorted(found, key=lambda f: f[1]):
+            digest.update(repr(re.findall(r"path=[^;]*|length=\d+|modification_time=\d+", said)).encode())
+        folders += [s.getPath() for s, said in found if "isDirectory=true" in said]
+    return digest.hexdigest()
+
+
+_kept: dict[tuple[str, str], tuple[str, str, StructType]] = {}
+
+
+def kept(spark: SparkSession, key: str, build: Callable[[], DataFrame], sources: Sequence[str] = ()) -> DataFrame:
     """A cleaned table, written once a session in the shared folder and read many times.
 
     The first call under a key builds and writes it; every report then prunes its
-    own scan of the written table. `drop_kept` removes the files.
+    own scan of the written table. When the files under `sources` have changed since,
+    it is built anew and the old version is removed: results that were not computed
+    before that are to be asked for again. `drop_kept` removes the files.
     """
     name = (spark.sparkContext.applicationId, key)
-    if name not in _kept:
+    version = files_print(spark, *sources)
+    if name not in _kept or _kept[name][0] != version:
         df = build()
         path = scratch_path(spark, "kept")
         df.write.parquet(path)
-        _kept[name] = path, df.schema
-    path, schema = _kept[name]
+        old = _kept.get(name)
+        _kept[name] = version, path, df.schema
+        if old:
+            _remove(spark, old[1])
+    _, path, schema = _kept[name]
     return spark.read.schema(schema).parquet(path)
 
 
 def drop_kept(spark: SparkSession) -> None:
     """Remove the tables that `kept` has written in this session."""
-    context = spark.sparkContext
-    for name in [k for k in _kept if k[0] == context.applicationId]:
-        path = context._jvm.org.apache.hadoop.fs.Path(_kept.pop(name)[0])
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    for name in [k for k in _kept if k[0] == spark.sparkContext.applicationId]:
+        _remove(spark, _kept.pop(name)[1])
 
 
 def attach(rows: DataFrame, stats: DataFrame, on: str | list[str], how: str = "left",
