@@ -111,8 +111,8 @@ def test_segments_recover_separate_groups(blobs):
 
 
 def test_more_clusters_lower_the_inertia(blobs):
-    vectors = rf.feature_table(rf.log_scale(blobs))
-    inertia = rf.inertia_by_k(vectors, ks=[2, 3, 4], n_init=3)
+    scaled = rf.log_scale(blobs)
+    inertia = rf.inertia_by_k(scaled, ks=[2, 3, 4], n_init=3)
     assert inertia[2] > inertia[3] > inertia[4]
 
 
@@ -181,3 +181,30 @@ def test_stream_counts_each_key_once(spark, frame):
     query.awaitTermination()
     got = {r.month: r.crashes for r in spark.table("counts").collect()}
     assert got == {"2024-01": 1, "2024-02": 1}
+
+
+def test_runs_together_equal_runs_alone(blobs):
+    from tidemark.plans.lloyd import fit_all
+
+    scaled, cols = rf.log_scale(blobs), [f"z_{c}" for c in rf.FEATURES]
+    together = fit_all(scaled, [2, 3, 4], cols, n_init=2)
+    points = np.array([[r[c] for c in cols] for r in scaled.select(*cols).collect()])
+    for fit in together:
+        far = ((points[:, None] - fit.centres[None]) ** 2).sum(axis=2)
+        assert abs(far.min(axis=1).sum() - fit.inertia) <= 1e-6 * max(fit.inertia, 1)
+        label = far.argmin(axis=1)  # a further step hardly moves the centres
+        moved = np.array([points[label == j].mean(axis=0) if (label == j).any() else c for j, c in enumerate(fit.centres)])
+        assert ((moved - fit.centres) ** 2).sum() <= 1e-4
+    alone = fit_all(scaled.repartition(7), [2], cols, n_init=2)
+    for a, b in zip(alone, together[:2], strict=True):
+        assert np.allclose(a.centres, b.centres) and abs(a.inertia - b.inertia) <= 1e-6 * b.inertia
+
+
+def test_fits_of_few_and_no_points(spark):
+    from tidemark.plans.lloyd import fit_all
+
+    few = spark.createDataFrame([(0.0, 1.0), (0.0, 1.0), (2.0, 5.0)], "x double, y double")
+    (fit,) = fit_all(few, [3], ["x", "y"], n_init=1)
+    assert sorted(map(tuple, fit.centres)) == [(0.0, 1.0), (2.0, 5.0)] and fit.inertia == 0
+    (fit,) = fit_all(few.limit(0), [2], ["x", "y"], n_init=1)
+    assert len(fit.centres) == 0 and fit.inertia == 0

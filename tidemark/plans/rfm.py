@@ -2,14 +2,9 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
-from pyspark import StorageLevel
-from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +13,7 @@ from tidemark.operators.aggregate import mean, one_row, rows, share_of_total
 from tidemark.operators.clean import canonicalize, dedup_rows, require
 from tidemark.operators.ranks import lerp, order_statistics
 from tidemark.operators.window import average_rank
+from tidemark.plans.lloyd import Fit, fit_all
 from tidemark.runtime import attach, materialize
 
 # Segment names from best to worst composite rank.
@@ -34,8 +30,6 @@ COUNTRY_SPELLINGS = {
     "us": "United States",
     "ireland": "Ireland",
 }
-# Vectors per task while fitting.
-ROWS_PER_FIT_TASK = 100_000
 FEATURES = ["recency", "frequency", "monetary"]
 PRICE = "decimal(18,6)"
 
@@ -106,44 +100,21 @@ def log_scale(df: DataFrame, cols: Sequence[str] = FEATURES) -> DataFrame:
     return logs.crossJoin(F.broadcast(stats)).withColumns(scaled).drop(*drop)
 
 
-def feature_table(scaled: DataFrame, cols: Sequence[str] = FEATURES) -> DataFrame:
-    return VectorAssembler(inputCols=[f"z_{c}" for c in cols], outputCol="features").transform(scaled)
+def best_fits(scaled: DataFrame, ks: Sequence[int], n_init: int = 10, seed: int = 42,
+              cols: Sequence[str] = FEATURES) -> dict[int, Fit]:
+    """For each k the fit of lowest inertia out of n_init starts; all runs share their passes."""
+    fits = fit_all(scaled, list(ks), [f"z_{c}" for c in cols], n_init, seed)
+    return {k: min((f for f in fits if f.k == k), key=lambda f: f.inertia) for k in ks}
 
 
-def best_fits(vectors: DataFrame, ks: Sequence[int], n_init: int = 10, seed: int = 42,
-              threads: int = 8) -> dict[int, KMeansModel]:
-    """For each k the model of lowest inertia out of n_init starts.
-
-    The fits share one cached vector table, in no more partitions than its
-    size asks for, and are submitted side by side.
-    """
-    parts = 1 + vectors.count() // ROWS_PER_FIT_TASK
-    table = vectors.select("features").coalesce(parts).persist(StorageLevel.MEMORY_AND_DISK)
-
-    def fit(task: tuple[int, int]) -> tuple[int, KMeansModel]:
-        k, start = task
-        # Stop once the squared shifts of the k centres sum to less than 1e-4 of
-        # the (unit) variance; MLlib compares the shift of every single centre.
-        tol = math.sqrt(1e-4 / k)
-        return k, KMeans(k=k, seed=seed + start, maxIter=300, tol=tol).fit(table)
-
-    try:
-        table.count()
-        with ThreadPoolExecutor(threads) as pool:
-            fits = list(pool.map(fit, [(k, start) for k in ks for start in range(n_init)]))
-    finally:
-        table.unpersist()
-    return {k: min((m for kk, m in fits if kk == k), key=lambda m: m.summary.trainingCost) for k in ks}
-
-
-def inertia_by_k(vectors: DataFrame, ks: Sequence[int] = range(2, 9), n_init: int = 10,
+def inertia_by_k(scaled: DataFrame, ks: Sequence[int] = range(2, 9), n_init: int = 10,
                  seed: int = 42) -> dict[int, float]:
-    return {k: m.summary.trainingCost for k, m in best_fits(vectors, list(ks), n_init, seed).items()}
+    return {k: f.inertia for k, f in best_fits(scaled, list(ks), n_init, seed).items()}
 
 
-def centre_table(model: KMeansModel, spark: SparkSession, cols: Sequence[str] = FEATURES) -> DataFrame:
-    """The k centres of a model, one row each."""
-    rows_ = [(i, *map(float, c)) for i, c in enumerate(model.clusterCenters())]
+def centre_table(fit: Fit, spark: SparkSession, cols: Sequence[str] = FEATURES) -> DataFrame:
+    """The k centres of a fit, one row each."""
+    rows_ = [(i, *map(float, c)) for i, c in enumerate(fit.centres)]
     return spark.createDataFrame(rows_, "cluster int, " + ", ".join(f"z_{c} double" for c in cols))
 
 
@@ -176,9 +147,9 @@ def segment(rfm_table: DataFrame, k: int = 4, n_init: int = 10, seed: int = 42)
 
     The customer table is computed once; scaling, fits and assignment read it.
     """
-    vectors = feature_table(log_scale(materialize(rfm_table)))
-    model = best_fits(vectors, [k], n_init, seed)[k].setPredictionCol("cluster")
-    return model.transform(vectors).drop("features", *[f"z_{c}" for c in FEATURES])
+    scaled = log_scale(materialize(rfm_table))
+    fit = best_fits(scaled, [k], n_init, seed)[k]
+    return assign(scaled, centre_table(fit, scaled.sparkSession)).drop("distance", *[f"z_{c}" for c in FEATURES])
 
 
 def segment_profile(clustered: DataFrame, by: str = "cluster") -> DataFrame:

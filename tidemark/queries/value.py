@@ -78,21 +78,46 @@ FOUR = "CAST(4 AS BIGINT) AS segments"
 @query("sta_2_kmeans_segment", "rfm", sql=f"""
 SELECT {N} AS customers, {FOUR}, CAST(0 AS BIGINT) AS nearer_elsewhere, {R('SUM(monetary)')} AS monetary FROM rfm""")
 def _(t):
-    vectors = rf.feature_table(rf.log_scale(materialize(rf.rfm(t.sales))))
-    model = rf.best_fits(vectors, [4])[4].setPredictionCol("fitted")
-    placed = rf.assign(model.transform(vectors), rf.centre_table(model, t.spark))
+    scaled = rf.log_scale(materialize(rf.rfm(t.sales)))
+    fit = rf.best_fits(scaled, [4])[4]
+    placed = rf.assign(scaled, rf.centre_table(fit, t.spark))
+    # the same distances once more, from the centres as constants
+    each = [sum(((F.col(f"z_{c}") - float(x)) ** 2 for c, x in zip(rf.FEATURES, centre, strict=True)), F.lit(0.0))
+            for centre in fit.centres]
     return placed.agg(
-        F.count("*").alias("customers"), F.countDistinct("fitted").alias("segments"),
-        F.count_if(F.col("fitted") != F.col("cluster")).alias("nearer_elsewhere"),
+        F.count("*").alias("customers"), F.countDistinct("cluster").alias("segments"),
+        F.count_if(F.col("distance") > F.least(*each) + 1e-9).alias("nearer_elsewhere"),
         round_to(F.sum("monetary"), 2).alias("monetary"))
 
 
-@query("sta_3_inertia_by_k", sql="SELECT CAST(k AS INTEGER) AS k, FALSE AS rising FROM range(2, 9) t(k)")
+def _between(scaled, fits) -> dict[int, float]:
+    """Squared distances of the centres to the mean (zero), by the customers placed at them: one pass for all k."""
+    aggs = []
+    for k, fit in fits.items():
+        def far(centre):
+            return sum(((F.col(f"z_{c}") - float(x)) ** 2 for c, x in zip(rf.FEATURES, centre, strict=True)), F.lit(0.0))
+
+        options = [F.struct(far(c).alias("d"), F.lit(float((c ** 2).sum())).alias("s")) for c in fit.centres]
+        aggs.append(F.sum(F.array_min(F.array(*options))["s"]).alias(str(k)))
+    row = scaled.agg(*aggs).first()
+    return {k: row[str(k)] for k in fits}
+
+
+SPREAD = " + ".join(f"CASE WHEN VAR_POP(ln(1 + {D(c)})) > 0 THEN 1 ELSE 0 END" for c in ("recency", "frequency", "monetary"))
+
+
+@query("sta_3_inertia_by_k", "rfm", sql=f"""
+SELECT CAST(k AS INTEGER) AS k, CASE WHEN k = 1 THEN ROUND(({SPREAD}) * {D('COUNT(*)')}, 3) END AS inertia_of_one, FALSE AS rising,
+       TRUE AS adds_up
+FROM rfm CROSS JOIN range(1, 9) t(k) GROUP BY k""")
 def _(t):
-    table = rf.feature_table(rf.log_scale(materialize(rf.rfm(t.sales))))
-    points = sorted((k, float(v)) for k, v in rf.inertia_by_k(table).items())
-    rising = [(k, bool(i and v > points[i - 1][1])) for i, (k, v) in enumerate(points)]
-    return t.spark.createDataFrame(rising, "k int, rising boolean")
+    # one cluster has the whole spread; with more, inertia and the spread of the centres add up to it
+    scaled = rf.log_scale(materialize(rf.rfm(t.sales)))
+    fits = rf.best_fits(scaled, range(1, 9))
+    spread = _between(scaled, fits)
+    rows_ = [(k, round(f.inertia, 3) if k == 1 else None, k > 1 and f.inertia > fits[k - 1].inertia,
+              abs(f.inertia + spread[k] - fits[1].inertia) < 1e-3 * fits[1].inertia) for k, f in fits.items()]
+    return t.spark.createDataFrame(rows_, "k int, inertia_of_one double, rising boolean, adds_up boolean")
 
 
 def _channel_centres(t):
