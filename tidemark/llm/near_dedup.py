@@ -8,10 +8,11 @@
 3. Pairs compare their signature bytes batch by batch and stop as soon as the
    posterior probability of reaching the threshold falls below `miss`. Survivors
    are verified on the full word-pair sets of the texts.
-4. What the centres have joined is one component. Pairs of different components
-   that share a bucket are compared in blocks: the members outside the bucket's
-   largest component against all others. Survivors are verified as before.
-   Together with step 2 every pair that shares a bucket is either in one
+4. What the centres have joined is one component. Buckets with members of several
+   components are gathered by their largest component, the host, so that a member
+   of many alike buckets is there once. Of each host the members outside of it are
+   compared, in blocks, with all others of its buckets. Survivors are verified as
+   before. Together with step 2 every pair that shares a bucket is either in one
    component already or compared, so no candidate is left out.
 
 Two sets at the threshold of 0.8 share no band with probability
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.graph import components, small
 from tidemark.llm.words import SPACED, in_slices, mix, words_of
-from tidemark.runtime import stage
+from tidemark.runtime import release, stage
 
 ROWS, BANDS, BATCH = 6, 40, 24
 HASHES = ROWS * BANDS
@@ -151,27 +152,22 @@ def _prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class _Side:
-    """Members of one block of a bucket."""
+    """Members of one block of a host."""
 
     cls: pa.Array
     comp: np.ndarray
     sig: np.ndarray
-    bands: np.ndarray
     text: pa.Array | None
 
     @staticmethod
     def of(members: pa.StructArray) -> _Side:
-        bands = members.field("bands").flatten().to_numpy(zero_copy_only=False).reshape(-1, BANDS)
         text = members.field("text") if members.type.get_field_index("text") >= 0 else None
         return _Side(members.field("cls"), members.field("comp").to_numpy(zero_copy_only=False),
-                     _signs(members.field("sig")), bands, text)
+                     _signs(members.field("sig")), text)
 
 
-def _candidates(left: _Side, right: _Side, key: int, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of different components of two blocks that pass the bound.
-
-    A pair that shares an earlier band as well is left to that bucket.
-    """
+def _candidates(left: _Side, right: _Side, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of different components of two blocks that pass the bound."""
     step = max(1, (1 << 16) // max(1, len(right.comp)))
     for at in range(0, len(left.comp), step):
         apart = left.comp[at:at + step, None] != right.comp[None, :]
@@ -180,11 +176,8 @@ def _candidates(left: _Side, right: _Side, key: int, same: bool) -> Iterator[tup
         a, b = np.nonzero(apart)
         a = a + at
         stay = survivors(left.sig, right.sig, a, b)
-        a, b = a[stay], b[stay]
-        shared = left.bands[a] == right.bands[b]
-        first = left.bands[a, shared.argmax(axis=1)] == key
-        if first.any():
-            yield a[first], b[first]
+        if len(stay):
+            yield a[stay], b[stay]
 
 
 def _block_rows(batch: pa.RecordBatch) -> Iterator[tuple[int, int, bool, int, bool, _Side, _Side]]:
@@ -194,11 +187,11 @@ def _block_rows(batch: pa.RecordBatch) -> Iterator[tuple[int, int, bool, int, bo
 
 
 def _involved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Members of buckets that have a pair to verify."""
+    """Members of hosts that have a pair to verify."""
     for batch in batches:
         keys, outs, found = [], [], []
         for _, key, out, _, same, left, right in _block_rows(batch):
-            for a, b in _candidates(left, right, key, same):
+            for a, b in _candidates(left, right, same):
                 for side, places, is_out in ((left, a, True), (right, b, out)):
                     chosen = side.cls.take(pa.array(np.unique(places)))
                     found.append(chosen)
@@ -215,7 +208,7 @@ def _block_links(width: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found_a, found_b = [], []
-            for _, key, _, _, same, left, right in _block_rows(batch):
+            for _, _, _, _, same, left, right in _block_rows(batch):
                 parent: dict[int, int] = {}
                 sets: dict[tuple[bool, int], set] = {}
 
@@ -230,7 +223,7 @@ def _block_links(width: int) -> Callable:
                         sets[k] = shingle_set(side.text[i].as_py(), width)
                     return sets[k]
 
-                for a, b in _candidates(left, right, key, same):
+                for a, b in _candidates(left, right, same):
                     for i, j in zip(a.tolist(), b.tolist(), strict=True):
                         ends = root(int(left.comp[i])), root(int(right.comp[j]))
                         if ends[0] != ends[1] and similar(shingles(left, i), shingles(right, j)):
@@ -319,7 +312,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = shared.select("cls").distinct()
     classes = stage(
         full.join(named, "cls", "left_semi").groupBy("cls")
-        .agg(F.min("h").alias("h"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
+        .agg(F.min("h").alias("h"), F.first("sig").alias("sig")))
     texts = _texts_of(rows, classes)
 
     centres = shared.where("is_centre").groupBy("key").agg(F.min("cls").alias("b"))
@@ -328,7 +321,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = stage(_verified(star, texts, width))
     joined = components(linked).select(F.col("node").alias("cls"), F.col("component").alias("comp"))
 
-    more = stage(_rest(shared, classes, stage(joined), texts, width))
+    release(star)
+    more = _rest(shared, classes, stage(joined), texts, width)
+    release(shared, classes, texts)
     groups = components(linked.union(more)).select(F.col("node").alias("cls"), "component")
 
     least = full.groupBy("cls").agg(F.min("id").alias("least")).join(groups, "cls", "left")
@@ -394,31 +389,41 @@ def _rest(shared: DataFrame, classes: DataFrame, joined: DataFrame, texts: DataF
     """Verified pairs of different components that share a bucket."""
     rows = (shared.select("key", "cls").join(joined, "cls", "left")
             .withColumn("comp", F.xxhash64(F.coalesce("comp", "cls"))))
-    mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-    rows = rows.join(mixed.select("key"), "key")
-    # The largest component of a bucket; ties go to the greater value.
     size = rows.groupBy("key", "comp").agg(F.count("*").alias("n"))
-    most = size.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("m"))
-    rows = stage(rows.join(most, "key").select("key", "cls", "comp", (F.col("comp") != F.col("m.comp")).alias("out")))
-    signs = classes.select("cls", "bands", "sig")
-    members = rows.join(signs, "cls").withColumn("size", F.lit(1))
-    named = stage(_of_blocks(members, BLOCK, ["cls", "comp", "sig", "bands"])
-                  .mapInArrow(_involved, "key long, out boolean, cls binary").distinct())
+    # The largest component of a bucket of several is its host; ties go to the greater value.
+    hosts = (size.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("m"), F.count("*").alias("k")).where("k > 1")
+             .select(F.col("key").alias("bucket"), F.col("m.comp").alias("host")))
+    rows = stage(rows.join(hosts, F.col("key") == F.col("bucket"))
+                 .select(F.col("host").alias("key"), "cls", "comp", (F.col("comp") != F.col("host")).alias("out")).distinct())
+    signs = classes.select("cls", "sig")
+    blocks = _blocks(rows.join(signs, "cls").withColumn("size", F.lit(1)), BLOCK, ["cls", "comp", "sig"])
+    named = stage(_pairs_of(blocks).mapInArrow(_involved, "key long, out boolean, cls binary").distinct())
+    release(blocks)
     members = (rows.join(named, ["key", "out", "cls"]).join(signs, "cls").join(texts, "cls")
                .withColumn("size", F.greatest(F.octet_length("text"), F.lit(BLOCK_BYTES // BLOCK))))
-    return _of_blocks(members, BLOCK_BYTES, ["cls", "comp", "sig", "bands", "text"]).mapInArrow(_block_links(width), _PAIR)
+    blocks = _blocks(members, BLOCK_BYTES, ["cls", "comp", "sig", "text"])
+    found = stage(_pairs_of(blocks).mapInArrow(_block_links(width), _PAIR))
+    release(rows, named, blocks)
+    return found
 
 
-def _of_blocks(members: DataFrame, most: int, columns: list[str]) -> DataFrame:
-    """Pairs of blocks of a bucket: each block outside the largest component with all others.
+def _blocks(members: DataFrame, most: int, columns: list[str]) -> DataFrame:
+    """Members of a host, dealt by hash to as many blocks as their sizes ask for.
 
-    Members are dealt by hash to as many blocks as their sizes ask for.
+    Only hosts of several blocks need their sizes, and these are few.
     """
-    total = members.groupBy("key", "out").agg(F.sum("size").alias("total"))
-    block = F.pmod(F.xxhash64("cls"), F.ceil(F.col("total") / most)).alias("block")
-    blocks = (members.join(total, ["key", "out"]).select("key", "out", block, F.struct(*columns).alias("member"))
-              .groupBy("key", "out", "block").agg(F.collect_list("member").alias("side")))
-    blocks = stage(blocks)
+    members = stage(members)
+    large = members.groupBy("key", "out").agg(F.ceil(F.sum("size") / most).alias("blocks")).where("blocks > 1")
+    block = F.pmod(F.xxhash64("cls"), F.coalesce("blocks", F.lit(1))).alias("block")
+    blocks = stage(members.join(small(stage(large)), ["key", "out"], "left")
+                   .select("key", "out", block, F.struct(*columns).alias("member"))
+                   .groupBy("key", "out", "block").agg(F.collect_list("member").alias("side")))
+    release(members)
+    return blocks
+
+
+def _pairs_of(blocks: DataFrame) -> DataFrame:
+    """Pairs of blocks of a host: each block outside of it with all others."""
     left = blocks.where("out").select("key", F.col("block").alias("i"), F.col("side").alias("x"))
     right = blocks.select("key", "out", F.col("block").alias("j"), F.col("side").alias("y"))
     return left.join(right, "key").where("not out or i <= j")
