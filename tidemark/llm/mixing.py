@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidemark.llm.graph import small
@@ -26,6 +26,7 @@ MARGINS = ("source", "lang", "topic")
 WORD = r"[^\x20\x09-\x0D]+"
 MISSING = "(null)"
 SWEEPS = 8
+SWEEPS_A_WRITE = 4
 FRACTION = 0.3
 FILLS = 4  # rounds that fix cells at probability 1
 
@@ -53,46 +54,50 @@ def tokens(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def targets(cells: DataFrame, margin: str) -> DataFrame:
-    """(margin, share): wanted share of tokens of each value that has any; shares sum to 1."""
-    sums = cells.groupBy(margin).agg(F.sum("n").alias("n")).where("n > 0")
-    if margin == "topic":
-        parts = F.create_map(*[F.lit(x) for pair in TOPIC_SHARES.items() for x in pair])
-        sums = sums.withColumn("part", parts[F.col("topic")])
-    else:
-        sums = sums.withColumn("part", F.pow(F.col("n"), F.lit(POWERS[margin])))
-    sums = stage(sums)
-    total = sums.agg(F.sum("part")).first()[0] or 1.0
-    return sums.select(margin, (F.col("part") / total).alias("share"))
+def _over(margin: str) -> WindowSpec:
+    return Window.partitionBy(margin)
 
 
-def _weight(cells: DataFrame, factors: dict[str, DataFrame]) -> Column:
-    return reduce(lambda a, b: a * b, [F.col(f"f_{m}") for m in factors], F.col("n"))
+def with_targets(cells: DataFrame) -> DataFrame:
+    """Cells that have tokens, with `share_<margin>`: the wanted share of tokens of their
+    source, language and topic. The shares of the values that have any tokens sum to 1."""
+    cells = cells.where("n > 0")
+    wanted = F.create_map(*[F.lit(x) for pair in TOPIC_SHARES.items() for x in pair])
+    for m in MARGINS:
+        part = wanted[F.col("topic")] if m == "topic" else F.pow(F.sum("n").over(_over(m)), F.lit(POWERS[m]))
+        cells = cells.withColumns({f"part_{m}": part, f"cells_{m}": F.count("*").over(_over(m))})
+    cells = stage(cells)
+    total = cells.agg(*[F.sum(F.col(f"part_{m}") / F.col(f"cells_{m}")).alias(m) for m in MARGINS]).first()
+    return cells.select(*MARGINS, "n", *[(F.col(f"part_{m}") / (total[m] or 1.0)).alias(f"share_{m}") for m in MARGINS])
 
 
 def rake(cells: DataFrame, sweeps: int = SWEEPS) -> DataFrame:
     """Cells with `weight`, whose margins approach the targets; the last margin meets its own.
 
-    A cell without tokens keeps weight 0. Targets that no weights can meet (a value
-    found in no fitting cell) are approached as far as the sweeps go.
+    A step scales the weights of a margin's value by target over sum; sums are
+    windows over the cells, so a step neither joins nor broadcasts. Cells without
+    tokens are left out. Targets that no weights can meet (a value found in no
+    fitting cell) are approached as far as the sweeps go: `residual` tells.
     """
-    goal = {m: targets(cells, m) for m in MARGINS}
-    factors = {m: goal[m].select(m, F.lit(1.0).alias(f"f_{m}")) for m in MARGINS}
+    out = with_targets(cells).withColumn("weight", F.col("n").cast("double"))
+    for k in range(1, sweeps + 1):
+        for m in MARGINS:
+            out = out.withColumn("weight", F.col("weight") * F.col(f"share_{m}") / F.sum("weight").over(_over(m)))
+        if k % SWEEPS_A_WRITE == 0:
+            out = stage(out)
+    return stage(out)
 
-    def joined(on: dict[str, DataFrame]) -> DataFrame:
-        return reduce(lambda df, m: df.join(on[m], m), on, cells.where("n > 0"))
 
-    for _ in range(sweeps):
-        for m in MARGINS:
-            others = {k: v for k, v in factors.items() if k != m}
-            have = joined(others).groupBy(m).agg(F.sum(_weight(cells, others)).alias("have"))
-            factors[m] = stage(have.join(goal[m], m).select(m, (F.col("share") / F.col("have")).alias(f"f_{m}")))
-    return joined(factors).select(*MARGINS, "n", _weight(cells, factors).alias("weight"))
+def residual(raked: DataFrame) -> DataFrame:
+    """(margin, value, wanted, reached): shares of tokens of every value after raking."""
+    parts = [raked.groupBy(F.lit(m).alias("margin"), F.col(m).alias("value")).agg(
+        F.first(f"share_{m}").alias("wanted"), F.sum("weight").alias("reached")) for m in MARGINS]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def calibrate(cells: DataFrame, fraction: float = FRACTION, sweeps: int = SWEEPS) -> DataFrame:
     """(source, lang, topic, probability) of every cell that has tokens."""
-    raked = stage(rake(cells, sweeps))
+    raked = rake(cells, sweeps)
     rate = F.col("weight") / F.col("n")
     budget = fraction * (raked.agg(F.sum("n")).first()[0] or 0)
     scale = None
