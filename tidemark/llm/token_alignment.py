@@ -21,7 +21,6 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cache
 from hashlib import sha256
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +34,7 @@ from tidemark.runtime import stage
 MARK = "▁"
 SHIFT = 32  # a link is A's id, shifted, and B's id
 SLICE = 1 << 20
-STEP = 100_000  # parts of a text at once
+STEP = 1 << 19  # characters of a text parted at once
 CHUNK = 1 << 17  # characters of parts encoded together
 KEPT, KEPT_CHARS = 250_000, 25_000_000  # parts that a process remembers
 
@@ -43,6 +42,7 @@ _BYTE = re.compile(r"<0x([0-9A-F]{2})>\Z")
 _INNER = re.compile(f"[^{MARK}]{MARK}")
 # A part: up to the next blank that follows a character that is no white space. A single
 # blank at the end goes with the part before: alone it would be an empty text for B.
+_CUT = re.compile(r"(?<=\S) (?=.)", re.DOTALL)
 _PART = re.compile(r".[^ ]*(?:(?<=\s) [^ ]*)*(?: \Z)?", re.DOTALL)
 
 
@@ -144,27 +144,31 @@ def _loaded(a: bytes, b: bytes) -> Parts:
 Part = tuple[int, int, bytes, str] | None  # tokens of A, of B, links, groups as text; None: not spelled so
 
 
-class Parts(dict):
+class Parts:
     """Aligned parts by their text."""
 
     def __init__(self, aligner: Aligner):
-        super().__init__()
         self.aligner, self.chars = aligner, 0
+        self.known: dict[str, Part] = {}
 
-    def of(self, text: str) -> Iterator[str]:
-        """The parts of a blank and the text, in order."""
-        whole = " " + text
-        return (m[0] for m in _PART.finditer(whole)) if self.aligner.parted else iter((whole,))
+    def of(self, text: str) -> Iterator[list[str]]:
+        """The parts of a blank and the text, in order, some at a time."""
+        whole, at = " " + text, 0
+        if not self.aligner.parted:
+            yield [whole]
+            return
+        while m := _CUT.search(whole, at + STEP):
+            yield _PART.findall(whole[at:m.start()])
+            at = m.start()
+        yield _PART.findall(whole[at:])
 
     def add(self, parts: list[str]) -> None:
         """Align parts not met before, as many at once as a chunk takes."""
-        if len(self) > KEPT or self.chars > KEPT_CHARS:
-            self.clear()
+        if len(self.known) > KEPT or self.chars > KEPT_CHARS:
+            self.known.clear()
             self.chars = 0
         new, size = [], 0
-        for part in dict.fromkeys(parts):
-            if part in self:
-                continue
+        for part in set(parts).difference(self.known):
             self.chars += len(part)
             if part[-1].isspace():  # what follows could be joined with it
                 self._align([part])
@@ -182,7 +186,7 @@ class Parts(dict):
         found = self.aligner.align("".join(parts))
         if found is None:
             if len(parts) == 1:
-                self[parts[0]] = None
+                self.known[parts[0]] = None
             else:  # look for the part that is spelled otherwise
                 self._align(parts[:len(parts) // 2])
                 self._align(parts[len(parts) // 2:])
@@ -196,7 +200,7 @@ class Parts(dict):
         upto_a, upto_b = last_a[group - 1] + 1, last_b[group - 1] + 1
         g = a = b = 0
         for part, g2, a2, b2 in zip(parts, group.tolist(), upto_a.tolist(), upto_b.tolist(), strict=True):
-            self[part] = a2 - a, b2 - b, links[8 * g:8 * g2], "".join(decimals[a + b:a2 + b2])[:-1]
+            self.known[part] = a2 - a, b2 - b, links[8 * g:8 * g2], "".join(decimals[a + b:a2 + b2])[:-1]
             g, a, b = g2, a2, b2
 
 
@@ -210,10 +214,9 @@ class Aligned:
     def add(self, text: str | None) -> None:
         n_a = n_b = 0
         digest, links = sha256(), []
-        parts = self.parts.of(text) if text else iter(())
-        while some := list(islice(parts, STEP)):
+        for some in self.parts.of(text) if text else ():
             self.parts.add(some)
-            found = list(map(self.parts.__getitem__, some))
+            found = list(map(self.parts.known.__getitem__, some))
             if None in found:
                 n_a = n_b = 0
                 links.clear()
