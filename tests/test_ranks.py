@@ -69,7 +69,7 @@ def test_nan_is_missing(frame):
 def test_buckets_are_even(spark):
     """No bucket holds much more than its share of the distinct values."""
     hist = ranks.value_histogram(spark.range(20_000).selectExpr("cast(id * id as double) as v"), "v")
-    placed = ranks._bucketed(hist, "v", [], 100)
+    placed = ranks.bucketed(hist, "v", [], 100)
     sizes = [r["count"] for r in placed.groupBy("_bucket").count().collect()]
     assert len(sizes) > 50 and max(sizes) < 20_000 / 100 * 12
 

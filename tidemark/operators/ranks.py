@@ -42,7 +42,7 @@ def value_histogram(df: DataFrame, value: str, by: Sequence[str] = (),
     return materialize(df.where(present).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"), *extras))
 
 
-def _bucketed(hist: DataFrame, value: str, by: list[str], buckets: int | None) -> DataFrame:
+def bucketed(hist: DataFrame, value: str, by: list[str], buckets: int | None) -> DataFrame:
     """The histogram with a bucket number that rises with the value.
 
     Some histogram rows, chosen by hash, give the split points, which serve all
@@ -82,7 +82,7 @@ def rank_histogram(hist: DataFrame, value: str, by: Sequence[str] = (), buckets:
     """
     by = list(by)
     up_to = Window.unboundedPreceding
-    placed = _bucketed(hist, value, by, buckets)
+    placed = bucketed(hist, value, by, buckets)
     below = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(up_to, -1)
     offsets = (
         placed.groupBy(*by, "_bucket")

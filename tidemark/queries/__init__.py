@@ -4,6 +4,7 @@ from tidemark.queries import (  # noqa: F401
     aggregates,
     churn,
     cleaning,
+    extended,
     incidents,
     joins,
     measures,
