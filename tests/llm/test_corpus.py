@@ -86,6 +86,39 @@ def test_scores_follow_the_kernel(model):
     assert names == [fitted.languages[plain.argmax()]] and abs(scores[0] - plain.max().clip(0, 1) * held) < 1e-4
 
 
+def test_sequences_of_a_text_are_each_marked_once(model):
+    _, fitted = model
+    spectrum = G.Spectrum(fitted.letters)
+    for text in ["", "a", "ab", " ab ", "a b", "aaa", "abcab cab", "1 2", "the 日本 end"]:
+        c = [0, *spectrum.classes[[ord(x) for x in text]].tolist(), 0]
+        c = [x for i, x in enumerate(c) if i == 0 or x or c[i - 1]]
+        want = {n - 1 << 3 * G.BITS | sum(x << G.BITS * (n - 1 - k) for k, x in enumerate(c[i:i + n]))
+                for n in (1, 2, 3) for i in range(len(c) - n + 1)}
+        assert spectrum.mark(text).tolist() == sorted(want)
+
+
+def test_scores_do_not_depend_on_the_block(model, monkeypatch):
+    """Blocks of one text, and a very long text among short ones."""
+    docs, fitted = model
+    texts = pa.array([r.text for r in docs.limit(300).collect()] + [None, "", "x " * 300_000, "the and " * 400_000])
+    names, scores = G.Scorer(fitted)(texts)
+    monkeypatch.setattr(G, "BLOCK_CELLS", 1)
+    alone = G.Scorer(fitted)(texts)
+    assert names == alone[0] and np.allclose(scores, alone[1]) and names[-1] == "en"
+
+
+def test_a_label_of_few_usable_rows_is_learned(spark):
+    """10 of 50,000 rows of a label have letters and ids; thousands of another have both."""
+    rows = spark.range(50_000).selectExpr(
+        "id as doc_id", "if(id % 5000 = 0, 'zyx wvu zyxw uvw vuzy', if(id % 3 = 0, null, '12 34')) as text", "'rare' as lang")
+    common = spark.range(3000).selectExpr("id + 100000 as doc_id", "concat('abc bca cab ', id) as text", "'common' as lang")
+    docs = rows.union(common)
+    usable = rows.where("text like 'z%' and crc32(cast(doc_id as string)) % 4 != 2").count()
+    sample = G.training_sample(docs, 300, "doc_id", "text", "lang").groupBy("lang").count()
+    assert {tuple(r) for r in sample.collect()} == {("rare", usable), ("common", 300)} and usable > 0
+    assert set(G.fit(docs).languages) == {"rare", "common"}
+
+
 def test_languages_in_several_scripts(spark):
     """Every letter is learned, of small alphabets beside one of thousands."""
     rng = random.Random(11)

@@ -10,7 +10,7 @@ there, one language against the rest.
 
 The kernel is an inner product of presence rows, so landmark matrix, whitening
 and regression weights multiply into one matrix with a row for each sequence that
-the landmarks hold. Scoring adds the rows of the sequences that a text has.
+the landmarks hold. Scoring multiplies it with the presence matrix of a block of texts.
 Sequences are packed into 64-bit codes, so every letter of the sample counts,
 however many scripts and letters the languages have.
 """
@@ -34,6 +34,8 @@ from tidemark.runtime import stage
 # the length of a sequence and up to three classes of so many bits.
 BITS = 20
 UNDETERMINED = "und"
+# Cells of a presence matrix: 32 MB of doubles.
+BLOCK_CELLS = 4_000_000
 # Below this a text resembles no learned language.
 LEAST_SCORE = 0.05
 
@@ -67,8 +69,11 @@ class Spectrum:
         c = np.concatenate([[0], c, [0]])
         c = c[np.concatenate([[True], (c[1:] != 0) | (c[:-1] != 0)])]
         two = c[:-1] << BITS | c[1:]
-        three = two[:-1] << BITS | c[2:]
-        return np.unique(np.concatenate([c, two | 1 << 3 * BITS, three | 2 << 3 * BITS]))
+        # shorter sequences are the heads of longer ones, but for those at the end
+        three = np.unique(two[:-1] << BITS | c[2:])
+        pairs = np.unique(np.append(three >> BITS, two[-1:]))
+        ones = np.unique(np.append(pairs >> BITS, c[-1:]))
+        return np.concatenate([ones, pairs | 1 << 3 * BITS, three | 2 << 3 * BITS])
 
 
 def has_letter(text: str | None) -> bool:
@@ -114,14 +119,15 @@ def held_out(id_col: str) -> Column:
 def training_sample(docs: DataFrame, rows_per_language: int, id_col: str, text_col: str, label_col: str) -> DataFrame:
     """At most so many labelled, not held-out rows with letters of each label, chosen by hash.
 
-    A hash threshold taken from the counts leaves about twice as many rows as
-    wanted of each label; only these are ranked.
+    A hash threshold, taken from the counts of exactly these rows, leaves about four times
+    as many as wanted of each label; only these are ranked. A label whose usable rows are
+    few, however many others it has, gives them all.
     """
     pool = docs.select(F.col(label_col).alias("lang"), F.col(text_col).alias("text"), held_out(id_col).alias("out"),
                        F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)).alias("h"),
                        F.col(id_col).isNotNull().alias("known"))
     pool = pool.where(F.col("lang").isNotNull() & F.col("known") & ~F.col("out") & F.col("text").rlike(r"\p{L}"))
-    counts = dict(docs.where(F.col(label_col).isNotNull()).groupBy(label_col).count().collect())
+    counts = dict(pool.groupBy("lang").count().collect())
     if not counts:
         return pool.limit(0).select("lang", "text", F.lit(0).alias("rank"))
     top = float(1 << 63)
@@ -181,7 +187,7 @@ def fit(docs: DataFrame, rows_per_language: int = 300, landmarks_per_language: i
 
 
 class Scorer:
-    """Predictions for a batch of texts.
+    """Predictions for a batch of texts, one matrix product for a block of them.
 
     The score is the regression's value, cut to 0 to 1, times the share of the
     text's sequences that the landmarks hold: a text in no learned language scores
@@ -191,20 +197,27 @@ class Scorer:
     def __init__(self, model: Model):
         self.model, self.spectrum = model, Spectrum(model.letters)
         self.known = np.append(model.codes, -1)  # a code beyond the last is not known
+        self.rows = max(1, BLOCK_CELLS // max(1, len(model.codes)))
 
     def __call__(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
         model = self.model
         names, scores = [UNDETERMINED] * len(texts), np.zeros(len(texts))
-        for i in range(len(texts)):
-            text = texts[i].as_py()
-            if not model.languages or not has_letter(text):
-                continue
-            codes = self.spectrum.mark(text)
-            place = np.searchsorted(model.codes, codes)
-            place = place[self.known[place] == codes]
-            out = model.weights[place].sum(axis=0) / np.sqrt(len(codes)) + model.offset
-            names[i] = model.languages[out.argmax()]
-            scores[i] = out.max().clip(0, 1) * len(place) / len(codes)
+        if not model.languages:
+            return names, scores
+        lettered = [i for i in range(len(texts)) if has_letter(texts[i].as_py())]
+        for start in range(0, len(lettered), self.rows):
+            block = lettered[start:start + self.rows]
+            present = np.zeros((len(block), len(model.codes)))
+            size = np.zeros(len(block))
+            for row, i in enumerate(block):
+                codes = self.spectrum.mark(texts[i].as_py())
+                place = np.searchsorted(model.codes, codes)
+                present[row, place[self.known[place] == codes]] = 1
+                size[row] = len(codes)
+            out = present @ model.weights / np.sqrt(size)[:, None] + model.offset
+            scores[block] = out.max(axis=1).clip(0, 1) * present.sum(axis=1) / size
+            for i, best in zip(block, out.argmax(axis=1).tolist(), strict=True):
+                names[i] = model.languages[best]
         return names, scores
 
 
