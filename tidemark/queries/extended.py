@@ -9,9 +9,12 @@ from tidemark.functions import round_to
 from tidemark.operators.compare import compare_loads, multiset_difference
 from tidemark.operators.intervals import asof_join, interval_join
 from tidemark.operators.positions import tiles, value_places
+from tidemark.operators.sessions import sessions
 from tidemark.plans import rfm as rf
 from tidemark.queries.base import query
 from tidemark.queries.oracle import I, N, R
+from tidemark.runtime import scratch_path
+from tidemark.streaming.sessions import session_stream, write_available
 
 # List prices come from the lines with return flag N: the highest unit price of a part and day.
 PRICES = f"""p AS (SELECT l_partkey AS part, l_shipdate AS day, MAX({R('l_extendedprice / l_quantity', 4)}) AS price
@@ -142,3 +145,34 @@ def _(t):
     out = value_places(people, "balance", ["c_mktsegment"])
     return out.select("c_custkey", "rank", "dense_rank", round_to(F.col("percent_rank"), 9).alias("percent_rank"),
                       round_to(F.col("cume_dist"), 9).alias("cume_dist"))
+
+
+SESSIONS = f"""g AS (SELECT user_id, ts, CAST(value AS DECIMAL(18,2)) AS value,
+  CASE WHEN ts <= LAG(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 12 HOUR THEN 0 ELSE 1 END AS opens FROM events),
+n AS (SELECT *, SUM(opens) OVER (PARTITION BY user_id ORDER BY ts) AS no FROM g),
+s AS (SELECT user_id, MIN(ts) AS session_start, MAX(ts) + INTERVAL 12 HOUR AS session_end, {N} AS events,
+        CAST(SUM(value) AS DOUBLE) AS value FROM n GROUP BY user_id, no)"""
+
+
+def _activity(events):
+    return events.select("user_id", "ts", F.col("value").cast("decimal(18,2)").alias("value"))
+
+
+@query("ext_5_sessions", sql=f"WITH {SESSIONS} SELECT * FROM s")
+def _(t):
+    return sessions(_activity(t.events), "ts", ["user_id"], "12 hours", ["value"])
+
+
+@query("ext_5_closed_sessions_stream", sql=f"""
+WITH {SESSIONS} SELECT * FROM s WHERE session_end <= (SELECT MAX(ts) FROM events) - INTERVAL 1 DAY""")
+def _(t):
+    # the stream reads the table's files as arrivals; sessions open at its end are not given out.
+    # A plain path must be a folder, a pattern may match a single file as well.
+    arriving = t.spark.readStream.schema(t.events.schema).parquet(f"{t.path}/events.parque[t]")
+    timed = _activity(arriving).withColumn("ts", F.col("ts").cast("timestamp"))
+    target = scratch_path(t.spark, "sessions")
+    write_available(session_stream(timed, "ts", ["user_id"], "12 hours", "1 day", ["value"]),
+                    target, scratch_path(t.spark, "sessions-progress"))
+    kind = dict(t.events.dtypes)["ts"]
+    closed = t.spark.read.parquet(target)
+    return closed.withColumns({c: F.col(c).cast(kind) for c in ("session_start", "session_end")})
