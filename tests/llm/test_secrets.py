@@ -145,3 +145,40 @@ def test_rows(spark):
     out = S.redact_secrets(docs)
     assert out.columns == docs.columns and [r.text for r in out.where("doc_id = 1").collect()] == ['[assign]" end'] * 2
     assert S.scan_secrets(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("name", ["utf-8", "utf-16", "utf-16-le", "utf-16-be", "utf-32", "latin-1"])
+@pytest.mark.parametrize("before,after", [("", ""), ("né à ", " fin é"), ("x", " tail")])
+@pytest.mark.parametrize("packed", [False, True])
+def test_layers_in_other_encodings_are_read(name, before, after, packed):
+    """A secret is found in any of them, at the letters that hold its bytes."""
+    secret = "password=Ab3dE6gH9kL2"
+    raw = (before + secret + after).encode(name)
+    coded = b64(gzip.compress(raw) if packed else raw)
+    text = f"see {coded} end"
+    found = [(a, b) for a, b, kind in S.scan(text).every if kind == "assign"]
+    assert len(found) == 1
+    a, b = found[0]
+    if packed:
+        assert (a, b) == (4, 4 + len(coded))
+        return
+    low = len(before.encode(name))  # the mark included, where the encoding writes one
+    high = len((before + secret).encode(name))
+    assert (a, b) == (4 + low // 3 * 4, 4 + min((high - 1) // 3 * 4 + 4, len(coded.rstrip("="))))
+
+
+def test_bytes_at_random_are_no_text():
+    rng = random.Random(8)
+    for n in (60, 300, 5000):
+        assert S._readable(bytes(rng.randrange(256) for _ in range(n))) is None
+    assert S._readable(b"") is None and S._readable("é".encode("latin-1"))[0] == "é"
+
+
+def test_large_layers_are_read_by_the_same_rule(monkeypatch):
+    """Latin-1 and UTF-16 beyond the bound, as below it."""
+    line = "été password=Ab3dE6gH9kL2 là\n"
+    for name in ("latin-1", "utf-16-le"):
+        coded = b64(gzip.compress((line * 3000).encode(name)))
+        small = S.scan(coded)
+        large = S.scan(coded, limit=10_000)
+        assert {s[2] for s in small.every} == {s[2] for s in large.every} == {"assign"}

@@ -221,16 +221,18 @@ class Large:
 
     def pieces(self, limit: int) -> Iterator[Layer]:
         """Layers that overlap by a quarter and start outside of encoded runs, if these are not beyond the limit."""
-        decoder, text = codecs.getincrementaldecoder("utf-8")("replace"), ""
+        decoder, text = None, ""
 
         def layer() -> Iterator[Layer]:
-            odd = sum(map(text.count, _ODD))
-            if text and odd * 20 <= len(text):
+            if text and len(_IS_ODD.findall(text)) * 20 <= len(text):
                 yield Layer(text, np.broadcast_to(self.low, len(text)), np.broadcast_to(self.high, len(text)))
 
         try:
             for chunk in self.chunks():
-                text += decoder.decode(chunk)
+                if decoder is None:
+                    name, errors = _lenient(_encoding(chunk))
+                    decoder = codecs.getincrementaldecoder(name)(errors)
+                text += decoder.decode(chunk).translate(_LATIN)
                 while len(text) >= PIECE:
                     least, most = len(text) // 2, len(text) - PIECE // 4
                     at = max(text.rfind(c, least, most) for c in _BREAKS)
@@ -243,17 +245,50 @@ class Large:
         yield from layer()
 
 
-# Characters that text does not hold, but for a few.
-_ODD = [chr(c) for c in range(32) if c not in (9, 10, 12, 13)] + ["\x7f", "\ufffd"]
+# Control characters: text holds few of them.
+_ODD = [chr(c) for c in range(32) if c not in (9, 10, 12, 13)] + [chr(c) for c in range(0x7F, 0xA0)] + ["\ufffd"]
+_IS_ODD = re.compile("[" + re.escape("".join(_ODD)) + "]")
+# Bytes outside of UTF-8 are read as Latin-1.
+_LATIN = {0xDC00 + b: chr(b) for b in range(0x80, 0x100)}
 
 
-def _readable(raw: bytes) -> str | None:
-    try:
-        text = raw.decode()
-    except UnicodeDecodeError:
+def _encoding(head: bytes) -> str:
+    """UTF-32 or UTF-16 by their mark, or UTF-16 if every other byte is mostly zero; else UTF-8."""
+    for mark, name in ((codecs.BOM_UTF32_LE, "utf-32-le"), (codecs.BOM_UTF32_BE, "utf-32-be"),
+                       (codecs.BOM_UTF16_LE, "utf-16-le"), (codecs.BOM_UTF16_BE, "utf-16-be")):
+        if head.startswith(mark):
+            return name
+    even, odd = head[0:4096:2], head[1:4096:2]
+    if len(odd) >= 4:
+        if odd.count(0) * 10 >= len(odd) * 8 and even.count(0) * 10 < len(even):
+            return "utf-16-le"
+        if even.count(0) * 10 >= len(even) * 8 and odd.count(0) * 10 < len(odd):
+            return "utf-16-be"
+    return "utf-8"
+
+
+def _lenient(name: str) -> tuple[str, str]:
+    return name, "surrogateescape" if name == "utf-8" else "replace"
+
+
+def _readable(raw: bytes) -> tuple[str, np.ndarray, bool] | None:
+    """The text of some bytes, the bytes of each character and whether all bytes fit its encoding.
+
+    None if it is empty or more than 5% odd.
+    """
+    name, errors = _lenient(_encoding(raw))
+    text = raw.decode(name, errors)
+    if not text:
         return None
-    odd = sum(c < " " and c not in "\t\n\r\f" or c == "\x7f" for c in text)
-    return text if text and odd * 20 <= len(text) else None
+    if name == "utf-8":
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        escaped = (points >= 0xDC80) & (points <= 0xDCFF)
+        sizes = np.where(escaped, 1, 1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF))
+        text, sound = text.translate(_LATIN), not escaped.any()
+    else:
+        sound = True
+        sizes = np.array([len(c.encode(name)) for c in text])
+    return None if len(_IS_ODD.findall(text)) * 20 > len(text) else (text, sizes, sound)
 
 
 def _decoded(run: str) -> bytes | None:
@@ -266,8 +301,8 @@ def _decoded(run: str) -> bytes | None:
         return None
 
 
-def _opened(layer: Layer, start: int, end: int, limit: int) -> Layer | Large | None:
-    """What a base64 run holds: text, or text inside compressed layers."""
+def _opened(layer: Layer, start: int, end: int, limit: int) -> tuple[Layer | Large, bool] | None:
+    """What a base64 run holds, text or text inside compressed layers, and whether it is sound."""
     run = layer.text[start:end]
     places = np.frombuffer(run.encode(), np.uint8)
     letters = np.flatnonzero((places != 10) & (places != 13) & (places != 61))
@@ -281,20 +316,21 @@ def _opened(layer: Layer, start: int, end: int, limit: int) -> Layer | Large | N
         while (inner := _unpack(packed, limit)) is not None and inner != packed:
             packed = inner
     except TooLarge:
-        return Large(packed, low, high)
+        return Large(packed, low, high), True
     if packed is not raw:
-        text = _readable(packed)
-        if text is None:
+        read = _readable(packed)
+        if read is None:
             return None
-        return Layer(text, np.full(len(text), low), np.full(len(text), high))
-    text = _readable(raw)
-    if text is None:
+        text = read[0]
+        return Layer(text, np.full(len(text), low), np.full(len(text), high)), read[2]
+    read = _readable(raw)
+    if read is None:
         return None
-    sizes = np.array([len(c.encode()) for c in text])
+    text, sizes, sound = read
     stop = np.cumsum(sizes)
     first = (stop - sizes) // 3 * 4
     last = np.minimum((stop - 1) // 3 * 4 + 3, len(letters) - 1)
-    return Layer(text, own_low[start + letters[first]], own_high[start + letters[last]])
+    return Layer(text, own_low[start + letters[first]], own_high[start + letters[last]]), sound
 
 
 def _groups(widths: list[int], begun: bool) -> list[tuple[int, int]]:
@@ -316,18 +352,26 @@ def _runs(layer: Layer, m: re.Match, limit: int) -> Iterator[Layer | Large]:
     """What the lines of a match hold, joined as far as they belong together.
 
     Words alone on a line look like base64 as well, so lines are joined by their
-    widths, and a first or last line that does not fit is left out.
+    widths, and a first or last line that does not fit is left out. A reading with
+    bytes outside of its encoding counts where no sound one holds any of its lines.
     """
     lines = [(m.start() + k.start(), m.start() + k.end()) for k in _LINE.finditer(m[0])]
     if len(lines) > 1 and not layer.text[lines[-1][0]:lines[-1][1]].strip("="):
         lines.pop()
     widths = [b - a for a, b in lines]
+    held, loose = np.zeros(len(lines), bool), []
 
     def opened(first: int, end: int) -> list[Layer | Large]:
         if first >= end or sum(widths[first:end]) < _FEWEST:
             return []
         out = _opened(layer, lines[first][0], m.end() if end == len(lines) else lines[end - 1][1], limit)
-        return [] if out is None else [out]
+        if out is None:
+            return []
+        if not out[1]:
+            loose.append((first, end, out[0]))
+            return []
+        held[first:end] = True
+        return [out[0]]
 
     groups = _groups(widths, m.start() > 0 and layer.text[m.start() - 1] not in "\r\n")
     whole = len(groups) == 1 or min(widths) >= _LONG or all(b - a < 3 and widths[a] != widths[b - 1] or b - a == 1
@@ -340,6 +384,10 @@ def _runs(layer: Layer, m: re.Match, limit: int) -> Iterator[Layer | Large]:
                 or [x for k in range(a, b) for x in opened(k, k + 1)])
             out += inner or []
     yield from out or (opened(0, len(lines)) if not whole else [])
+    for first, end, layer_ in loose:
+        if not held[first:end].any():
+            held[first:end] = True
+            yield layer_
 
 
 def _inner(layer: Layer, limit: int) -> Iterator[Layer | Large]:
