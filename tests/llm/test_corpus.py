@@ -307,7 +307,9 @@ SITE = ('<html><head><title>T</title><script>var a="</p>";</script></head><body>
 
 
 def page_text(html, template=()):
-    return H.main_text(H.parse(html), set(template))
+    tree = H.parse(html)
+    H.hash_subtrees(tree)
+    return H.main_text(tree, set(template))
 
 
 @pytest.mark.parametrize("html,text", [
@@ -319,11 +321,45 @@ def page_text(html, template=()):
     ("<article><p>1 < 2 and 3 > 2</p></article>", "1 < 2 and 3 > 2"), ("<article><p hidden>no</p><p>&nbsp;a&nbsp;</p></article>", "a"),
     ("<p><b>x.<br><p>y</p>", "x.\ny"), ("<article><ul><li>a<li>b</ul><table><tr><td>c<td>d</table></article>", "a\nb\nc\nd"),
     ("<article><div class='adventure'>yes</div><div class='ad'>no</div></article>", "yes"),
+    ("<p>One <a title=it's href=x>link</a> two.</p>", "One link two."),
+    ("<article><p class='share-price'>a</p><div class='related-work'>b</div><p id=search>c</p>"
+     "<div class='related-posts'>no</div><div class='more related'>by <a>links only, no</a></div></article>", "a\nb\nc"),
+    ("<body><form id=x><h1>T</h1><p>All of the page</p><input><button>no</button></form></body>", "T\nAll of the page"),
+    ("<article><p>A story</p><article class=comment>no</article></article><article class='comment'>no</article>", "A story"),
+    ("<main><p>A long story</p></main><article class='teaser'>no</article>", "A long story"),
+    ("<main><p>A long story</p></main><article>short</article>", "A long story"),
+    ("<article>a<svg/>b<math/>c<math><mi>x</mi></math><svg><title>no</title><path/></svg>d<p>e</article>", "abcxd\ne"),
+    ("<article><a href='x'><div>t</a>u</div>v</article>w", "tu\nv"), ("<article><!-- > -->a<!-->b<!--x--!>c</article>", "abc"),
+    ("a <div hidden>no</div><div class='x hidden'>y</div>", "a\ny"), ("<article><p title='cut>off", "off"),
 ])
 def test_main_text(html, text):
     assert page_text(html) == text
 
 
+@pytest.mark.parametrize("piece", ['<a "', "<a>", "<b></i>", "<div><b>", "<a x='", "<!-- -->", "<form>", "<p>", "<svg><p>", "<"])
+def test_time_is_linear_in_a_page(piece):
+    from time import process_time
+    took = []
+    for size in (50_000, 400_000):
+        before = process_time()
+        page_text(piece * (size // len(piece)))
+        took.append(process_time() - before)
+    assert took[1] < 30 * took[0] + 0.5
+
+
+def test_templates_without_tags_or_names_to_go_by(spark):
+    """Menus, notices and rotating adverts of bare elements go; copied articles and passages stay."""
+    menu, offers = "<div><p>Home</p><p>About</p></div>", ["<p>Buy one.</p>", "<p>Buy two.</p>"]
+    passage = "<p>A passage that several articles quote.</p>"
+    bodies = {n: f"<p>Own text {n}.</p>" + passage * (n % 5 == 0) + f"<p>Own end {n}.</p>" for n in range(40)}
+    bodies |= {n: "<p>A copied article.</p><p>Its end.</p>" for n in (3, 13, 23, 33)}
+    rows = [(n, f"https://bare.example/{n}", f"<body>{menu}<div>{bodies[n]}</div><div>{offers[n % 2]}</div></body>") for n in bodies]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in H.extract_text(pages).collect()}
+    assert got == {n: page_text(bodies[n]) for n in bodies}
+    assert all(page_text(r[2]) != got[r[0]] for r in rows)
+
+
 def test_templates_go_and_prose_stays(spark):
     shared = "<p>This passage stands in every article of the site.</p>"
     rows = []

@@ -1,14 +1,17 @@
 """Main text of web pages, with site templates removed.
 
 Every element subtree is hashed: its tag, class, id and role, its own text and its
-children's hashes. Spark counts on how many pages (distinct URLs) of a host each
-subtree occurs; subtrees on three of them that differ, however many the host has,
-are the site's template and are deleted.
-What remains of the page's article, less what tags, roles and class names mark as
-menus, notices, adverts, forms or comments, is its text.
-
-Prose inside an article (paragraphs, headings, lists and the like) is kept even if
-it recurs: a quoted passage or a copied article is content.
+children's hashes. It stands in a slot of its host: the path of tags and names
+that leads to it, with its number among like siblings. Spark counts in how many
+different surroundings and under how many URLs each subtree recurs in its slot, and
+how much of the slot recurring subtrees fill. Subtrees recurring three times, however
+many pages the host has, in a slot mostly filled by such, are the site's template
+and are deleted; a quoted passage or a copied article recurs in a slot that holds
+other text on most pages, and stays. Within a declared article prose goes only if it
+has a class or id or consists of links, since near copies of a whole article recur in place too.
+
+What remains of the page's article, less what tags and roles mark as menus, notices,
+adverts, forms or comments, is its text. Class names count beside other evidence.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.words import in_slices
 from tidemark.runtime import stage
 
 MIN_PAGES = 3
@@ -31,16 +35,18 @@ BROADCAST_HASHES = 2_000_000
 SALTS = 32  # parts of a template's pages in the join
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript xmp iframe noembed noframes template svg math".split())
+RAW = frozenset("script style textarea title noscript xmp iframe noembed noframes template".split())
+FOREIGN = frozenset(["svg", "math"])
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure "
     "footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre "
     "search section summary table tbody td tfoot th thead tr ul".split())
-PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li ol ul dl dt dd table thead tbody tfoot tr td th caption "
+# Names of these say little: they hold text in any article.
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dl dt dd table thead tbody tfoot tr td th caption "
                   "figure figcaption b i em strong code a span cite q sub sup small mark abbr time kbd var".split())
 DROPPED = RAW | frozenset(
     "head nav header footer aside form button select input label menu dialog object canvas audio video "
-    "map search fieldset datalist".split())
+    "map search fieldset datalist svg annotation annotation-xml".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar "
                   "toolbar".split())
 MARKS = frozenset(
@@ -48,7 +54,10 @@ MARKS = frozenset(
     "promotion cookie cookies consent gdpr notice notices notification alert popup modal overlay paywall nav navbar "
     "navigation menu menus breadcrumb breadcrumbs sidebar aside footer header masthead topbar toolbar pagination pager "
     "share sharing social related recommended recommendations newsletter subscribe subscription signup login search "
-    "comment comments discussion disqus replies respond widget widgets skip".split())
+    "comment comments discussion disqus replies respond widget widgets skip teaser".split())
+# Words that change nothing beside a mark: cookie-notice-box, related-posts.
+NEUTRAL = frozenset("area bar block box button buttons container content form icons inner item items left link links list "
+                    "outer panel posts right row section slot stories top unit wrap wrapper".split())
 # Inside an article these hold its title.
 TITLES = frozenset(["header", "masthead"])
 # An open element of the key is closed by a start tag of the values.
@@ -59,75 +68,145 @@ CLOSED_BY = {
     "option": frozenset(["option", "optgroup"]), "thead": frozenset(["tbody", "tfoot"]),
     "tbody": frozenset(["tbody", "tfoot"]), "head": frozenset(["body"]),
 }
+CLOSES = {tag: [k for k, by in CLOSED_BY.items() if tag in by] for tag in frozenset().union(*CLOSED_BY.values())}
 # An implied end does not reach beyond these.
 SCOPE = frozenset("html body article main section div table td th ul ol dl aside nav header footer form blockquote".split())
-
-_TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"""|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|</?[a-zA-Z][^<]*\Z|</?\Z""", re.S)
-_MARKED = re.compile(r"""\b(class|id|role|aria-hidden|hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
-_ATTRIBUTE = re.compile(r"(?:^|\s)(?:class|id|role|aria-hidden|hidden)=")
+_KINDS = {tag: [kind for kind, tags in (("#block", BLOCKS), ("#scope", SCOPE), ("#foreign", FOREIGN)) if tag in tags]
+          for tag in BLOCKS | SCOPE | FOREIGN}
+
+_START = re.compile(r"[a-zA-Z][^\s/>]*")
+# Quotes inside a name or an unquoted value are part of it; a quote that is never closed as well.
+_ATTRIBUTE = re.compile(r"""[\s/]*([^\s/>][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
+_REST = re.compile(r"[\s/]*")
+_COMMENT_END = re.compile(r"--!?>")
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I) for tag in RAW}
 _SPACE = re.compile(r"\s+")
 _NAME = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+_DIGITS = re.compile(r"[0-9]+")
 
 
 class Node:
-    """An element: `parts` holds texts and child elements in order."""
+    """An element: `parts` holds texts and child elements in order.
+
+    `size` and `links` are the characters of its texts and those in links.
+    """
+
+    __slots__ = ("tag", "marks", "parts", "hash", "slot", "size", "links")
+
+    def __init__(self, tag: str, marks: tuple[tuple[str, str], ...]):
+        self.tag, self.marks, self.parts = tag, marks, []
+        self.hash = self.slot = self.size = self.links = 0
+
 
-    __slots__ = ("tag", "mark", "parts", "hash")
+class _Open:
+    """The open elements, with the places of each tag, of blocks, of scopes and of foreign roots."""
 
-    def __init__(self, tag: str, mark: str):
-        self.tag, self.mark, self.parts, self.hash = tag, mark, [], 0
+    def __init__(self, root: Node):
+        self.stack, self.places = [root], {}
 
+    def push(self, node: Node) -> None:
+        for key in (node.tag, *_KINDS.get(node.tag, ())):
+            self.places.setdefault(key, []).append(len(self.stack))
+        self.stack.append(node)
 
-def _mark(attributes: str) -> str:
-    """The attributes that matter, as `name=value` joined by blanks."""
-    if not attributes or "=" not in attributes and "hidden" not in attributes:
-        return ""
-    return " ".join(f"{n.lower()}={(v or '').strip(chr(34) + chr(39))}" for n, v in _MARKED.findall(attributes))
+    def last(self, key: str) -> int:
+        found = self.places.get(key)
+        return found[-1] if found else 0
+
+    def cut(self, place: int) -> None:
+        while len(self.stack) > place:
+            tag = self.stack.pop().tag
+            for key in (tag, *_KINDS.get(tag, ())):
+                self.places[key].pop()
+
+
+def _attributes(page: str, at: int) -> tuple[tuple[tuple[str, str], ...], bool, int]:
+    """The attributes that matter, whether the tag closes itself, and the place after it (-1: the page ends)."""
+    marks = {}
+    while True:
+        if page[at:at + 1] == ">":
+            return tuple(marks.items()), False, at + 1
+        rest = _REST.match(page, at).end()
+        if page[rest:rest + 1] == ">":
+            return tuple(marks.items()), page[rest - 1] == "/", rest + 1
+        m = _ATTRIBUTE.match(page, at)
+        if m is None:
+            return (), False, -1
+        name = m[1].lower()
+        if name in ("class", "id", "role", "aria-hidden", "hidden"):
+            marks.setdefault(name, unescape(m[2] or m[3] or m[4] or ""))
+        at = m.end()
 
 
 def parse(page: str) -> Node:
-    """Element tree of a page; unclosed and stray tags are tolerated, a cut tag at the end is dropped."""
-    root = Node("#page", "")
-    stack = [root]
+    """Element tree of a page, in time linear in its length.
+
+    Unclosed and stray tags are tolerated, a cut tag at the end is dropped. The end
+    tag of an inline element closes no block.
+    """
+    root = Node("#page", ())
+    open_ = _Open(root)
+    stack = open_.stack
     at, size = 0, len(page)
     while at < size:
-        m = _TAG.search(page, at)
-        if m is None:
+        start = page.find("<", at)
+        if start < 0:
             stack[-1].parts.append(page[at:])
             break
-        if m.start() > at:
-            stack[-1].parts.append(page[at:m.start()])
-        at = m.end()
-        if m[2] is None:
-            if m[0].startswith("<![CDATA["):
-                stack[-1].parts.append(m[0][9:].removesuffix("]]>").replace("&", "&amp;"))
+        follows = page[start + 1:start + 2]
+        begins = _START.match(page, start + 1 + (follows == "/"))
+        if begins is None and follows not in ("!", "?", "/", ""):
+            stack[-1].parts.append(page[at:start + 1])
+            at = start + 1
             continue
-        tag = m[2].lower()
-        if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
+        if start > at:
+            stack[-1].parts.append(page[at:start])
+        if begins is None:
+            if page.startswith("<!--", start):
+                short = 5 if page.startswith("<!-->", start) else 6 if page.startswith("<!--->", start) else 0
+                end = None if short else _COMMENT_END.search(page, start + 4)
+                at = start + short if short else end.end() if end else size
+            elif page.startswith("<![CDATA[", start):
+                end = page.find("]]>", start)
+                stack[-1].parts.append(page[start + 9:end if end >= 0 else size].replace("&", "&amp;"))
+                at = end + 3 if end >= 0 else size
+            else:
+                end = page.find(">", start)
+                at = end + 1 if end >= 0 else size
             continue
-        k = len(stack) - 1
-        while k > 0 and (stack[k].tag not in SCOPE or stack[k].tag in CLOSED_BY):
-            if tag in CLOSED_BY.get(stack[k].tag, ()):
-                del stack[k:]
-                break
-            if stack[k].tag in SCOPE:
+        tag = begins[0].lower()
+        at = begins.end()
+        marks, closed, at = ((), False, at + 1) if page[at:at + 1] == ">" else _attributes(page, at)
+        if at < 0:
+            break
+        if follows == "/":
+            place = open_.last(tag)
+            if place and (tag in BLOCKS or tag in FOREIGN or place > open_.last("#block")):
+                open_.cut(place)
+            continue
+        if tag == "form" and open_.last("form"):
+            continue
+        foreign = open_.last("#foreign")
+        if foreign and tag in BLOCKS and stack[-1].tag not in ("foreignobject", "annotation-xml"):
+            if foreign > open_.last("#block"):
+                open_.cut(foreign)
+                foreign = open_.last("#foreign")
+        closes = CLOSES.get(tag, ())
+        while closes:
+            scope = open_.last("#scope")
+            place = max(map(open_.last, closes))
+            if not place or place < scope:
                 break
-            k -= 1
-        node = Node(tag, _mark(m[3]))
+            open_.cut(place)
+        node = Node(tag, marks)
         stack[-1].parts.append(node)
-        if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
+        if tag in RAW and not foreign:
+            end = _RAW_END[tag].search(page, at)
             node.parts.append(page[at:end.start() if end else size])
             at = end.end() if end else size
-        elif tag not in VOID and not m[3].endswith("/"):
-            stack.append(node)
+        elif tag not in VOID and not (closed and (foreign or tag in FOREIGN)):
+            open_.push(node)
     return root
 
 
@@ -140,57 +219,134 @@ def _walk(root: Node) -> Iterator[Node]:
         work.extend(p for p in reversed(node.parts) if isinstance(p, Node))
 
 
+def _signed(h: xxhash.xxh64) -> int:
+    return h.intdigest() - (1 << 63)
+
+
 def hash_subtrees(root: Node) -> list[Node]:
-    """Set the hash of every element; returns the elements, parents first."""
+    """Set hash, slot, size and links of every element; returns the elements, parents first."""
     nodes = list(_walk(root))
+    for node in nodes:
+        like: dict[str, int] = {}
+        for part in node.parts:
+            if isinstance(part, Node):
+                name = f"{part.tag} {_DIGITS.sub('', repr(part.marks))}" if part.marks else part.tag
+                number = like.get(name, 0)
+                like[name] = number + 1
+                part.slot = _signed(xxhash.xxh64(f"{node.slot} {name} {number}"))
     for node in reversed(nodes):
-        h = xxhash.xxh64(f"{node.tag} {node.mark}")
+        h = xxhash.xxh64(f"{node.tag} {node.marks}")
+        raw = node.tag in RAW
         for part in node.parts:
-            h.update(part.hash.to_bytes(8, "little", signed=True) if isinstance(part, Node)
-                     else " ".join(part.split()))
+            if isinstance(part, Node):
+                h.update(part.hash.to_bytes(8, "little", signed=True))
+                node.size += part.size
+                node.links += part.links
+            else:
+                text = " ".join(part.split())
+                h.update(text)
+                node.size += 0 if raw else len(text)
             h.update(b"\0")
-        node.hash = h.intdigest() - (1 << 63)
+        if node.tag == "a":
+            node.links = node.size
+        node.hash = _signed(h)
     return nodes
 
 
-def _dropped(node: Node, inside: bool) -> bool:
-    """Whether tag, role or names say that the element is not content."""
-    if node.tag in DROPPED and not (inside and node.tag == "header"):
+def _removed(node: Node, page: Node) -> bool:
+    """Whether tag or role say that the element is not content, wherever it stands.
+
+    A form around half of the page's text, with paragraphs or headings in it, is a wrapper of the page.
+    """
+    if node.tag == "form":
+        return 2 * node.size < page.size or not any(
+            n.tag in ("article", "main", "p", "h1", "h2", "h3") for n in _walk(node))
+    if node.tag in DROPPED and node.tag != "header":
+        return True
+    return any(name == "role" and value.strip().lower() in ROLES or name == "hidden"
+               or name == "aria-hidden" and value.strip().lower() == "true" for name, value in node.marks)
+
+
+def _named(node: Node, inside: bool) -> bool:
+    """Whether class or id mark the element as foreign to the article.
+
+    Inside an article, and of prose, a name must say nothing else, or links must fill half of the element.
+    """
+    prose = node.tag in PROSE
+    for name, value in node.marks:
+        if name not in ("class", "id"):
+            continue
+        for word in value.split():
+            names = _NAME.findall(_CAMEL.sub(" ", word).lower())
+            pairs = [a + b for a, b in zip(names, names[1:], strict=False)]  # side-bar, sideBar
+            marked = {n for n in names + pairs if n in MARKS and not (inside and n in TITLES)}
+            if not marked:
+                continue
+            if not inside and not prose:
+                return True
+            known = [n in marked or n in NEUTRAL for n in names]
+            known = [k or any(p in marked for p in pairs[max(i - 1, 0):i + 1]) for i, k in enumerate(known)]
+            if all(known) and not (inside and prose) or node.size and 2 * node.links >= node.size:
+                return True
+    return False
+
+
+def _plain(node: Node) -> bool:
+    """Whether an element is prose without a name, and not a list of links: near copies of an article share it."""
+    return (node.tag in PROSE or node.tag in ("ol", "ul")) and 2 * node.links < max(node.size, 1) and not any(
+        name in ("class", "id") for name, _ in node.marks)
+
+
+def _dropped(node: Node, inside: bool, page: Node) -> bool:
+    if _removed(node, page) or node.tag == "header" and not inside:
         return True
-    if not node.mark:
-        return False
-    for pair in node.mark.split(" "):
-        name, _, value = pair.partition("=")
-        if name == "role" and value.lower() in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-    if node.tag in ("html", "body", "article", "main"):
-        return False
-    names = _NAME.findall(_CAMEL.sub(" ", _ATTRIBUTE.sub(" ", node.mark)).lower())
-    names += [a + b for a, b in zip(names, names[1:], strict=False)]  # side-bar, sideBar
-    return any(n in MARKS and not (inside and n in TITLES) for n in names)
+    return node.tag not in ("html", "body", "main") and _named(node, inside)
 
 
 def _text(parts: list[str]) -> str:
     return _SPACE.sub(" ", unescape("".join(parts))).strip()
 
 
-def _roots(page: Node, template: set[int]) -> tuple[list[Node], bool]:
-    """The outermost articles, else mains, else the page; and whether it is an article or main."""
-    for tag in ("article", "main"):
-        found, work = [], [page]
-        while work:
-            node = work.pop()
-            if node.tag == tag and (node is page or not _dropped(node, False)):
+def _outermost(top: Node, tag: str, page: Node, template: set[int], named: bool) -> list[Node]:
+    """The outermost elements of a tag that are neither dropped nor template; `named`: articles of any name."""
+    found, work = [], [top]
+    while work:
+        node = work.pop()
+        if node is not top:
+            if node.slot in template or (_removed(node, page) if named and node.tag == tag
+                                         else _dropped(node, False, page)):
+                continue
+            if node.tag == tag:
                 found.append(node)
-            elif node is page or not _dropped(node, False) and node.hash not in template:
-                work.extend(p for p in reversed(node.parts) if isinstance(p, Node))
-        if found:
-            return found, True
+                continue
+        work.extend(p for p in reversed(node.parts) if isinstance(p, Node))
+    return found
+
+
+def _roots(page: Node, template: set[int]) -> tuple[list[Node], bool]:
+    """What holds the article, and whether it is declared so.
+
+    These are the outermost articles or mains, whichever hold more text; in a main
+    its articles if they hold half of its text. Else it is the page.
+    """
+    for named in (False, True):
+        articles = _outermost(page, "article", page, template, named)
+        mains = _outermost(page, "main", page, template, named)
+        if not mains:
+            if articles:
+                return articles, True
+            continue
+        within = [a for m in mains for a in _outermost(m, "article", page, template, named)]
+        if 2 * sum(a.size for a in within) >= sum(m.size for m in mains) and within:
+            mains = within
+        if sum(a.size for a in articles) > sum(m.size for m in mains):
+            return articles, True
+        return mains, True
     return [page], False
 
 
 def main_text(page: Node, template: set[int]) -> str:
-    """Blocks of the main text in page order, joined by line breaks."""
+    """Blocks of the main text of a tree with hashes, in page order, joined by line breaks."""
     blocks: list[str] = []
     roots, inside = _roots(page, template)
     for root in roots:
@@ -212,8 +368,8 @@ def main_text(page: Node, template: set[int]) -> str:
                 run.append(part)
             elif part.tag == "br":
                 run.append(" ")
-            elif part is root or not _dropped(part, inside) and not (
-                    part.hash in template and not (inside and part.tag in PROSE)):
+            elif part is root or not _dropped(part, inside, page) and not (
+                    part.slot in template and not (inside and _plain(part))):
                 if part.tag in BLOCKS or part is root:
                     flush()
                     work.append(None)
@@ -227,46 +383,78 @@ def host_of(url: Column) -> Column:
     return F.lower(rest)
 
 
-def _keys(host: str, hashes: list[int]) -> np.ndarray:
-    """A 64-bit key of host and subtree for each hash."""
+def _keys(host: str, nodes: list[Node]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit keys of slot and of subtree for each element, of one host."""
     seed = np.uint64(xxhash.xxh64_intdigest(host))
-    return np.array(hashes, np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ seed
+    slots = np.array([n.slot for n in nodes], np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ seed
+    trees = np.array([n.hash for n in nodes], np.int64).view(np.uint64)
+    return slots, (slots ^ slots >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9) ^ trees
+
+
+def _candidates(page: Node) -> list[tuple[Node, Node]]:
+    """Elements with text that tags and roles leave, each with its parent; inline ones only if named."""
+    found, work = [], [page]
+    while work:
+        node = work.pop()
+        for part in node.parts:
+            if isinstance(part, Node) and part.size and not _removed(part, page):
+                if part.tag in BLOCKS and part.tag not in ("html", "body") or part.marks:
+                    found.append((part, node))
+                work.append(part)
+    return found
 
 
 def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows, hashes = [], []
-        for i, value in enumerate(batch.column("html")):
-            page = value.as_py()
-            if page:
-                own = {n.hash for n in hash_subtrees(parse(page))[1:] if n.parts and n.tag not in RAW}
-                rows += [i] * len(own)
-                hashes += own
+    for batch in in_slices(batches, "html"):
+        rows, slots, trees, around = [], [], [], []
+        for i in range(batch.num_rows):
+            page = batch.column("html")[i].as_py()
+            if not page:
+                continue
+            root = parse(page)
+            hash_subtrees(root)
+            found = _candidates(root)
+            if found:
+                slot, tree = _keys(batch.column("host")[i].as_py(), [n for n, _ in found])
+                rows += [i] * len(found)
+                slots.append(slot.view(np.int64))
+                trees.append(tree.view(np.int64))
+                around += [p.hash for _, p in found]
+        none = [np.zeros(0, np.int64)]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("host").take(pa.array(rows, pa.int64())), pa.array(hashes, pa.int64()),
-             batch.column("page").take(pa.array(rows, pa.int64()))], names=["host", "hash", "page"])
+            [pa.array(np.concatenate(none + slots)), pa.array(np.concatenate(none + trees)),
+             pa.array(around, pa.int64()), batch.column("page").take(pa.array(rows, pa.int64()))],
+            names=["slot", "tree", "around", "page"])
 
 
 def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES) -> DataFrame:
-    """(host, hash): subtrees on at least `min_pages` URLs of a host and in as many different pages, a row each.
-
-    The number is absolute, so a block of one section of a large host is found as
-    on a small host. One page under several URLs is not its own template, nor are
-    several states of one URL.
+    """(tree): keys of host, slot and subtree of the template, a row each.
+
+    A subtree recurs if at least `min_pages` different parents hold it in its slot,
+    under as many URLs of the host. The number is absolute, so a block of one
+    section of a large host is found as on a small host. One page under several
+    URLs is not its own template, nor are several states of one URL, and of a copied
+    passage only the whole of it recurs, not its parts. A recurring subtree is
+    template if recurring ones make up half of its slot, repeated parents once.
+    Pages without html have no subtrees; no pages give no rows.
     """
     rows = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"),
-                        F.struct(F.xxhash64(url_col).alias("url"), F.xxhash64(html_col).alias("html")).alias("page"))
-    return (rows.mapInArrow(_subtrees, "host string, hash long, page struct<url:long,html:long>")
-            .groupBy("host", "hash").agg(F.count_distinct("page.url").alias("urls"),
-                                         F.count_distinct("page.html").alias("states"))
-            .where(F.least("urls", "states") >= min_pages).select("host", "hash"))
+                        F.xxhash64(url_col).alias("page"))
+    held = (rows.mapInArrow(_subtrees, "slot long, tree long, around long, page long")
+            .groupBy("slot", "tree", "around").agg(F.min("page").alias("page"))
+            .groupBy("slot", "tree").agg(F.count(F.lit(1)).alias("parents"), F.count_distinct("page").alias("urls"))
+            .withColumn("recurs", F.least("parents", "urls") >= min_pages))
+    slots = (held.groupBy("slot")
+             .agg(F.sum("parents").alias("parents"),
+                  F.sum(F.when(F.col("recurs"), F.col("parents")).otherwise(0)).alias("recurring"))
+             .where((F.col("recurring") > 0) & (2 * F.col("recurring") >= F.col("parents"))).select("slot"))
+    return held.where("recurs").select("slot", "tree").join(slots, "slot").select("tree")
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Keys of template rows as bytes, a row a batch."""
     for batch in batches:
-        keys = b"".join(_keys(host, [own]).tobytes() for host, own in zip(
-            batch.column("host").to_pylist(), batch.column("hash").to_pylist(), strict=True))
+        keys = batch.column("tree").to_numpy().tobytes()
         yield pa.RecordBatch.from_arrays([pa.array([keys], pa.binary())], names=["keys"])
 
 
@@ -275,7 +463,7 @@ def _extract(shared=None):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = None if shared is None else shared.value
-        for batch in batches:
+        for batch in in_slices(batches, "html"):
             texts = []
             for i in range(batch.num_rows):
                 page = batch.column("html")[i].as_py()
@@ -284,12 +472,13 @@ def _extract(shared=None):
                     continue
                 tree = parse(page)
                 nodes = hash_subtrees(tree)
+                _, own = _keys(batch.column("host")[i].as_py(), nodes)
                 if keys is None:
-                    template = set(batch.column("template")[i].as_py() or ())
+                    mine = set(batch.column("template")[i].as_py() or ())
+                    template = {n.slot for n, k in zip(nodes, own.view(np.int64).tolist(), strict=True) if k in mine}
                 elif len(keys):
-                    own = _keys(batch.column("host")[i].as_py(), [n.hash for n in nodes])
                     place = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
-                    template = {nodes[k].hash for k in np.flatnonzero(keys[place] == own)}
+                    template = {nodes[k].slot for k in np.flatnonzero(keys[place] == own)}
                 else:
                     template = set()
                 texts.append(main_text(tree, template))
@@ -310,12 +499,12 @@ def _with_templates(rows: DataFrame, known: DataFrame) -> DataFrame:
     doc = F.when(F.length("html") > 0, F.xxhash64("host", "html")).otherwise(F.xxhash64("page_id", "url"))
     rows = rows.withColumn("doc", doc).withColumn("doc2", F.xxhash64(F.lit(1), "html", "host"))
     own = (rows.select("host", "html", F.struct("doc", "doc2").alias("page"))
-           .mapInArrow(_subtrees, "host string, hash long, page struct<doc:long,doc2:long>")
+           .mapInArrow(_subtrees, "slot long, tree long, around long, page struct<doc:long,doc2:long>")
            .withColumn("salt", F.pmod("page.doc", F.lit(SALTS))))
     salted = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumn(
         "salt", F.col("salt").cast("long"))
-    lists = (own.join(salted, ["host", "hash", "salt"]).select("page.doc", "page.doc2", "hash")
-             .groupBy("doc", "doc2").agg(F.collect_set("hash").alias("template")))
+    lists = (own.join(salted, ["tree", "salt"]).select("page.doc", "page.doc2", "tree")
+             .groupBy("doc", "doc2").agg(F.collect_set("tree").alias("template")))
     return rows.join(lists, ["doc", "doc2"], "left")
 
 
