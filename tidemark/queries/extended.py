@@ -6,14 +6,17 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import round_to
+from tidemark.operators.hierarchy import roll_up
+from tidemark.operators.semistructured import drift, sum_maps, typed_fields
 from tidemark.operators.compare import compare_loads, multiset_difference
 from tidemark.operators.intervals import asof_join, interval_join
 from tidemark.operators.positions import tiles, value_places
 from tidemark.operators.sessions import sessions
 from tidemark.plans import rfm as rf
-from tidemark.queries.base import query
+from tidemark.queries.base import present, query
 from tidemark.queries.oracle import I, N, R
 from tidemark.runtime import scratch_path
+from tidemark.streaming.upserts import current, upsert_available
 from tidemark.streaming.sessions import session_stream, write_available
 
 # List prices come from the lines with return flag N: the highest unit price of a part and day.
@@ -176,3 +179,86 @@ def _(t):
     kind = dict(t.events.dtypes)["ts"]
     closed = t.spark.read.parquet(target)
     return closed.withColumns({c: F.col(c).cast(kind) for c in ("session_start", "session_end")})
+
+
+# Payloads as different writers would send them: the plain counter, a counter as text, further fields.
+_PAYLOADS = """
+p AS (SELECT event_type, CASE event_type
+        WHEN 'purchase' THEN '{"k": ' || json_extract_string(props, '$.k') || ', "tags": ["a", "b"], "paid": true}'
+        WHEN 'error' THEN '{"k": "' || json_extract_string(props, '$.k') || '", "detail": {"code": 1}}'
+        WHEN 'signup' THEN '{"k": null}' ELSE props END AS payload FROM events)"""
+
+
+def _payloads(events):
+    k = F.get_json_object("props", "$.k")
+    sent = (F.when(F.col("event_type") == "purchase", F.concat(F.lit('{"k": '), k, F.lit(', "tags": ["a", "b"], "paid": true}')))
+            .when(F.col("event_type") == "error", F.concat(F.lit('{"k": "'), k, F.lit('", "detail": {"code": 1}}')))
+            .when(F.col("event_type") == "signup", F.lit('{"k": null}')).otherwise(F.col("props")))
+    return events.select("event_type", sent.alias("payload"))
+
+
+@query("ext_6_typed_json", sql="""
+SELECT event_type, COUNT(*) AS n_events, SUM(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS sum_k,
+       COUNT(*) FILTER (WHERE NOT json_valid(props)) AS n_unsound
+FROM events GROUP BY event_type""")
+def _(t):
+    typed = typed_fields(t.events, "props", {"k": "long"})
+    return typed.groupBy("event_type").agg(
+        F.count(F.lit(1)).alias("n_events"), F.sum("k").alias("sum_k"),
+        F.count_if(~F.col("props_sound")).alias("n_unsound"))
+
+
+@query("ext_6_json_drift", sql=f"""
+WITH {_PAYLOADS},
+f AS (SELECT payload, unnest(json_keys(payload)) AS field FROM p),
+g AS (SELECT field, CASE json_type(payload, '$.' || field)
+        WHEN 'VARCHAR' THEN 'text' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'list' WHEN 'OBJECT' THEN 'object'
+        WHEN 'NULL' THEN 'null' ELSE 'number' END AS kind FROM f),
+h AS (SELECT field, kind, COUNT(*) AS rows FROM g GROUP BY field, kind),
+d(field, wanted) AS (VALUES ('k', 'number'), ('tags', 'text'), ('currency', 'text'))
+SELECT field, kind, COALESCE(rows, 0) AS rows,
+       CASE WHEN kind IS NULL THEN 'missing' WHEN wanted IS NULL THEN 'new'
+            WHEN kind IN ('null', wanted) THEN 'expected' ELSE 'other kind' END AS state
+FROM h FULL JOIN d USING (field)""")
+def _(t):
+    return drift(_payloads(t.events), "payload", {"k": "number", "tags": "text", "currency": "text"})
+
+
+@query("ext_6_map_totals", sql="""
+SELECT user_id, event_type AS key, CAST(SUM(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total, COUNT(*) AS rows
+FROM events WHERE event_type IS NOT NULL GROUP BY user_id, event_type""")
+def _(t):
+    maps = t.events.where("event_type IS NOT NULL").select(
+        "user_id", F.create_map("event_type", F.col("value").cast("decimal(18,2)")).alias("amounts"))
+    return present(sum_maps(maps, "amounts", ["user_id"]))
+
+
+# Customers in a tree: each reports to the customer of a third of its key.
+@query("ext_7_hierarchy_roll_up", sql="""
+WITH RECURSIVE n AS (SELECT c_custkey AS node, c_custkey // 3 AS parent FROM customer),
+a(node, ancestor, distance) AS (
+  SELECT node, node, 0 FROM n
+  UNION ALL
+  SELECT a.node, m.node, distance + 1 FROM a JOIN n u ON u.node = a.ancestor JOIN n m ON m.node = u.parent
+  WHERE m.node <> u.node),
+o AS (SELECT o_custkey AS node, SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS own FROM orders GROUP BY o_custkey)
+SELECT ancestor AS node, CAST(COALESCE(SUM(own) FILTER (WHERE distance = 0), 0) AS DOUBLE) AS own,
+       CAST(COALESCE(SUM(own), 0) AS DOUBLE) AS total, COUNT(*) FILTER (WHERE distance > 0) AS below
+FROM a LEFT JOIN o USING (node) GROUP BY ancestor""")
+def _(t):
+    key = F.col("c_custkey")
+    above = F.when(key > 0, F.floor(key / 3).cast("long"))
+    nodes = t.customer.select(key.alias("node"), above.alias("parent"))
+    amounts = t.orders.select(F.col("o_custkey").alias("node"), F.col("o_totalprice").cast("decimal(18,2)").alias("amount"))
+    return present(roll_up(nodes, "node", "parent", amounts, "amount"))
+
+
+@query("ext_5_upserted_stream", sql="""
+SELECT user_id, ts, event_id, event_type FROM events
+QUALIFY ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1""")
+def _(t):
+    arriving = t.spark.readStream.schema(t.events.schema).parquet(f"{t.path}/events.parque[t]")
+    target = scratch_path(t.spark, "upserts")
+    upsert_available(arriving.select("user_id", "ts", "event_id", "event_type"), target,
+                     scratch_path(t.spark, "upserts-progress"), ["user_id"], ["ts", "event_id"])
+    return current(t.spark, target, ["user_id"], ["ts", "event_id"])
