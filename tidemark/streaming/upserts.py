@@ -21,6 +21,8 @@ def upsert_available(stream: DataFrame, target: str, checkpoint: str, key: list[
 
     A batch that is repeated after a failure writes its own folder again, so no
     change counts twice. Within a batch only the newest row of a key is written.
+    A new checkpoint numbers batches from 0 again and overwrites folders, so it is
+    safe only where all files are still there to be loaded again.
     """
 
     def write(batch: DataFrame, number: int) -> None:
