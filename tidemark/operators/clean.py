@@ -10,12 +10,16 @@ from pyspark.sql import functions as F
 from tidemark.functions import canonical_text, clamp, strip_space, trim_clean
 from tidemark.operators.aggregate import mean
 from tidemark.operators.ranks import exact_quantiles
-from tidemark.runtime import attach
+from tidemark.runtime import attach, spread_rows
 
 
 def dedup_rows(df: DataFrame) -> DataFrame:
-    """Drop rows identical in every column; NULL equals NULL."""
-    return df.distinct()
+    """Drop rows identical in every column; NULL equals NULL.
+
+    Most rows are single, so they are shuffled as they are, into partitions of
+    bounded size, and not gathered before.
+    """
+    return spread_rows(df).distinct()
 
 
 def dedup_key(df: DataFrame, key: str | Sequence[str], order_by: Sequence[str | Column]) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import as_double, clamp, month_key, pct, round_to, safe_div
 from tidemark.operators.aggregate import count_where, mean, rows, sum_where
 from tidemark.operators.clean import dedup_rows, drop_orphans, impute_group
+from tidemark.runtime import stage
 
 
 def order_profit_view(orders: DataFrame, products: DataFrame, stat: str = "mean") -> DataFrame:
@@ -20,10 +21,10 @@ def order_profit_view(orders: DataFrame, products: DataFrame, stat: str = "mean"
     Returned lines keep their costs and earn nothing. The category is the one on
     the order line, not the catalogue's.
 
-    Only the category means are computed here. Reports that share the view read
-    it through `runtime.kept`.
+    The distinct lines are written once; the category means, computed here, and
+    the view read them. Reports that share the view read it through `runtime.kept`.
     """
-    lines = impute_group(dedup_rows(orders), "shipping_cost", "category", stat)
+    lines = impute_group(stage(dedup_rows(orders)), "shipping_cost", "category", stat)
     costed = drop_orphans(lines, products.select("product_id", "unit_cost"), "product_id")
     return (
         costed.withColumn("discount_amount", clamp("discount_amount", lo=0))

@@ -15,7 +15,7 @@ from tidemark.operators.positions import tiles
 from tidemark.operators.ranks import lerp, order_statistics
 from tidemark.operators.window import average_rank
 from tidemark.plans.lloyd import Fit, fit_all
-from tidemark.runtime import attach, materialize
+from tidemark.runtime import attach, materialize, spread, stage
 
 # Segment names from best to worst composite rank.
 SEGMENT_NAMES = ["Champions", "Loyal Regulars", "At Risk", "Hibernating / Lost"]
@@ -41,10 +41,10 @@ def clean_transactions(raw: DataFrame, countries, q: float = 0.995) -> DataFrame
     Prices are capped at the category's q-quantile, then missing prices take
     the median of the capped prices. Capping keeps the order of the prices, so
     that median follows from the two middle prices and the cap: one histogram
-    serves both steps, and is all that is computed here. Reports that share the
-    view read it through `runtime.kept`.
+    serves both steps. The distinct rows are written once; the histogram and the
+    view read them. Reports that share the view read it through `runtime.kept`.
     """
-    rows_once = dedup_rows(raw)
+    rows_once = stage(dedup_rows(raw))
     df = canonicalize(rows_once, "country", countries, strip=True)
     stats = order_statistics(rows_once, "unit_price", ["category"], {"cap": q, "mid": 0.5})
     cap = lerp(F.col("cap_lo"), F.col("cap_hi"), F.col("cap_frac"))
@@ -68,7 +68,7 @@ def customer_sales(sales: DataFrame) -> DataFrame:
 
 
 def order_values(sales: DataFrame) -> DataFrame:
-    return sales.groupBy("invoice_no").agg(F.sum("line_total").alias("order_value"))
+    return spread(sales, "invoice_no").groupBy("invoice_no").agg(F.sum("line_total").alias("order_value"))
 
 
 def rfm(sales: DataFrame, first_by: Sequence[str] = ("invoice_date", "invoice_no", "line_no", "product_id")) -> DataFrame:
@@ -77,7 +77,7 @@ def rfm(sales: DataFrame, first_by: Sequence[str] = ("invoice_date", "invoice_no
     Invoices are summed first: a customer with very many lines is spread over
     its invoices, and distinct invoices become a plain count.
     """
-    known = customer_sales(sales)
+    known = spread(customer_sales(sales), "customer_id", "invoice_no")
     first = F.min(F.struct(*first_by, "channel"))
     invoices = known.groupBy("customer_id", "invoice_no").agg(
         F.max("invoice_date").alias("_last"), F.sum("line_total").alias("_value"), first.alias("_first"))

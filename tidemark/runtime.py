@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
 import re
 import tempfile
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from hashlib import sha256
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +16,10 @@ from pyspark.sql.types import StructType
 
 # A grouped statistic is broadcast only up to this many rows.
 BROADCAST_ROWS = 200_000
+# Stored bytes behind a shuffle partition: in memory, rows take ten to thirty times that.
+PARTITION_BYTES = 4 << 20
+# Written tables hold wide decimals, whose leading bytes repeat.
+CODEC = "zstd"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -53,7 +59,7 @@ def stage(df: DataFrame) -> DataFrame:
     second run of everything before it.
     """
     path = scratch_path(df.sparkSession, "stage")
-    df.write.parquet(path)
+    df.write.option("compression", CODEC).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.staged_path = path
     return out
@@ -71,6 +77,58 @@ def _remove(spark: SparkSession, path: str) -> None:
     place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def stored_bytes(spark: SparkSession, paths: Sequence[str]) -> int:
+    """Lengths of the files, or of all under the folders; a path that does not exist has none."""
+    context = spark.sparkContext
+    jvm, conf, total = context._jvm, context._jsc.hadoopConfiguration(), 0
+    for path in set(paths):
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        fs = place.getFileSystem(conf)
+        total += fs.getContentSummary(place).getLength() if fs.exists(place) else 0
+    return total
+
+
+def partitions_for(spark: SparkSession, paths: Sequence[str]) -> int:
+    """Shuffle partitions for rows made of the stored files: they grow with the
+    files, whatever the session's setting, and there is one a core at least."""
+    return max(spark.sparkContext.defaultParallelism, math.ceil(stored_bytes(spark, paths) / PARTITION_BYTES))
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows shuffled by the keys into partitions of bounded size, `partitions_for` its files.
+
+    For groups that have few rows each: grouping by the keys then needs no further
+    shuffle, and no task of the scan gathers (or sorts) the groups of its whole
+    split first, which combines nothing and spills. Rows that come from no files
+    are left to Spark.
+    """
+    files = df.inputFiles()
+    if not files:
+        return df
+    return df.repartition(partitions_for(df.sparkSession, files), *[F.col(f"`{k}`") for k in keys])
+
+
+def spread_rows(df: DataFrame) -> DataFrame:
+    """`spread` for grouping by all columns; floating numbers are left out of the keys,
+    since grouping takes 0.0 and -0.0 for equal."""
+    return spread(df, *([c for c, kind in df.dtypes if kind not in ("double", "float")] or df.columns))
+
+
+@contextmanager
+def shuffled_wide(spark: SparkSession, partitions: int) -> Iterator[None]:
+    """Jobs run inside shuffle into that many partitions at least, and AQE does not join
+    them to its advisory size, which is of compressed bytes; it still splits hot ones."""
+    number, joined = "spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled"
+    before = {name: spark.conf.get(name) for name in (number, joined)}
+    spark.conf.set(number, str(max(int(before[number]), partitions)))
+    spark.conf.set(joined, "false")
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
 def files_print(spark: SparkSession, *paths: str) -> str:
     """A fingerprint of the files under the paths: names, lengths and modification times.
 
@@ -98,14 +156,16 @@ def kept(spark: SparkSession, key: str, build: Callable[[], DataFrame], sources:
     The first call under a key builds and writes it; every report then prunes its
     own scan of the written table. When the files under `sources` have changed since,
     it is built anew and the old version is removed: results that were not computed
-    before that are to be asked for again. `drop_kept` removes the files.
+    before that are to be asked for again. `drop_kept` removes the files. All of the
+    build shuffles into as many partitions as the sources ask for.
     """
     name = (spark.sparkContext.applicationId, key)
     version = files_print(spark, *sources)
     if name not in _kept or _kept[name][0] != version:
-        df = build()
         path = scratch_path(spark, "kept")
-        df.write.parquet(path)
+        with shuffled_wide(spark, partitions_for(spark, sources)):
+            df = build()
+            df.write.option("compression", CODEC).parquet(path)
         old = _kept.get(name)
         _kept[name] = version, path, df.schema
         if old:
