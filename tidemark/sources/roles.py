@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import month_key, month_start, pct, round_to, safe_div
 from tidemark.operators.aggregate import one_row
+from tidemark.runtime import spread
 
 SNAPSHOT = "2001-08-01"
 ACTIVE_SINCE = "2001-02-02"
@@ -127,7 +128,7 @@ class Tables:
     @cached_property
     def marketing(self) -> DataFrame:
         """One row per month and platform; lines are summed per order first."""
-        per_order = self.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
+        per_order = spread(self.lineitem, "l_orderkey").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
             F.count(F.lit(1)).alias("lines"),
             F.sum(product4("l_extendedprice", "l_tax")).alias("spend"),
             F.sum((money("l_extendedprice") * F.col("l_discount").cast("decimal(4,2)") * 3)
@@ -230,11 +231,14 @@ class Tables:
     def transactions_raw(self) -> DataFrame:
         key = F.col("l_orderkey")
         price = F.col("p_retailprice")
+        # customers are joined to the orders, which are fewer than the lines
+        placed = (
+            self.orders.join(self.customer, F.col("o_custkey") == F.col("c_custkey"))
+            .join(self.nation, F.col("c_nationkey") == F.col("n_nationkey"))
+        )
         rows = (
-            self.lineitem.join(self.orders, key == F.col("o_orderkey"))
+            self.lineitem.join(placed, key == F.col("o_orderkey"))
             .join(self.part, F.col("l_partkey") == F.col("p_partkey"))
-            .join(self.customer, F.col("o_custkey") == F.col("c_custkey"))
-            .join(self.nation, F.col("c_nationkey") == F.col("n_nationkey"))
             .select(
                 F.col("o_orderkey").alias("invoice_no"),
                 F.col("l_linenumber").alias("line_no"),
