@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import as_double
 from tidemark.operators.ranks import value_ranks
+from tidemark.runtime import spread
 
 # Below this size of one sample, without ties, the exact distribution is used.
 EXACT_MAX = 8
@@ -20,7 +21,7 @@ EXACT_MAX = 8
 def first_in_invoice(sales: DataFrame) -> DataFrame:
     """Order value and first channel per invoice."""
     first = F.min(F.struct("line_no", "product_id", "channel"))
-    return sales.groupBy("invoice_no").agg(
+    return spread(sales, "invoice_no").groupBy("invoice_no").agg(
         F.sum("line_total").alias("order_value"), first.alias("_first")
     ).select("invoice_no", "order_value", F.col("_first.channel").alias("channel"))
 
