@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import pct, round_to
 from tidemark.operators.aggregate import count_distinct_key, rows, value_counts
+from tidemark.runtime import spread_rows
 
 
 def row_and_key_counts(df: DataFrame, key: str) -> DataFrame:
@@ -150,7 +151,7 @@ def variant_frequency(df: DataFrame, col: str, lowered: Sequence[str]) -> DataFr
 
 def exact_duplicate_count(df: DataFrame) -> DataFrame:
     """Rows beyond the first of each set of identical rows."""
-    return df.groupBy(*df.columns).agg(rows().alias("_n")).agg(
+    return spread_rows(df).groupBy(*df.columns).agg(rows().alias("_n")).agg(
         F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicate_rows"))
 
 
