@@ -21,6 +21,8 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cache
 from hashlib import sha256
+from itertools import chain
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +39,7 @@ SLICE = 1 << 20
 STEP = 1 << 19  # characters of a text parted at once
 CHUNK = 1 << 17  # characters of parts encoded together
 KEPT, KEPT_CHARS = 250_000, 25_000_000  # parts that a process remembers
+_PIECE = attrgetter("id", "end")
 
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>\Z")
 _INNER = re.compile(f"[^{MARK}]{MARK}")
@@ -97,14 +100,15 @@ class Aligner:
         """Ids of A and of B, and places of the tokens of either that end together; None if one spells it otherwise."""
         a = self.a.encode(whole, add_special_tokens=False)
         b = self.b.encode(whole[1:], return_type="proto", num_threads=1).pieces
-        ids_a, ids_b, spelled = a.ids, [p.id for p in b], whole.encode()
+        pieces = list(chain.from_iterable(map(_PIECE, b)))
+        ids_a, ids_b, spelled = a.ids, pieces[::2], whole.encode()
         if (b"".join(map(self.bytes_a.__getitem__, ids_a)) != spelled
                 or b"".join(map(self.bytes_b.__getitem__, ids_b)) != spelled):
             return None
         ids_a, ids_b = np.array(ids_a, np.int64), np.array(ids_b, np.int64)
-        ends_a = np.array(a.offsets, np.int64).reshape(-1, 2)[:, 1]
+        ends_a = np.fromiter(chain.from_iterable(a.offsets), np.int64, 2 * len(ids_a))[1::2]
         # B's spans count the bytes of the text without the blank put before it.
-        ends_b = np.fromiter((p.end for p in b), np.int64, len(ids_b)) + 1
+        ends_b = np.array(pieces[1::2], np.int64) + 1
         if len(spelled) > len(whole) or self.is_byte[ids_b].any():
             starts = np.flatnonzero(np.frombuffer(spelled, np.uint8) & 0xC0 != 0x80)
             ends_a = refine(np.append(starts, len(spelled))[ends_a], self.size_a[ids_a])
@@ -145,11 +149,16 @@ Part = tuple[int, int, bytes, str] | None  # tokens of A, of B, links, groups as
 
 
 class Parts:
-    """Aligned parts by their text."""
+    """Aligned parts by their text.
+
+    They are remembered in two halves: when the newer one is full it takes the place of
+    the older, and parts met again move over, so that frequent parts are never lost.
+    """
 
     def __init__(self, aligner: Aligner):
         self.aligner, self.chars = aligner, 0
         self.known: dict[str, Part] = {}
+        self.older: dict[str, Part] = {}
 
     def of(self, text: str) -> Iterator[list[str]]:
         """The parts of a blank and the text, in order, some at a time."""
@@ -164,12 +173,14 @@ class Parts:
 
     def add(self, parts: list[str]) -> None:
         """Align parts not met before, as many at once as a chunk takes."""
-        if len(self.known) > KEPT or self.chars > KEPT_CHARS:
-            self.known.clear()
-            self.chars = 0
+        if 2 * len(self.known) > KEPT or 2 * self.chars > KEPT_CHARS:
+            self.older, self.known, self.chars = self.known, {}, 0
         new, size = [], 0
         for part in set(parts).difference(self.known):
             self.chars += len(part)
+            if part in self.older:
+                self.known[part] = self.older[part]
+                continue
             if part[-1].isspace():  # what follows could be joined with it
                 self._align([part])
                 continue
