@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark import runtime
+from tidemark.operators import quality
 from tidemark.operators.clean import dedup_rows
-from tidemark.operators.quality import exact_duplicate_count
 from tidemark.plans.profit import order_profit_view
 from tidemark.plans.rfm import clean_transactions, order_values, rfm
 from tidemark.plans.stats import first_in_invoice
@@ -53,8 +53,17 @@ def test_wide_rows_are_not_gathered_before_the_shuffle(spark, frame, collected):
                      "k long, x double, `a b` string"))
     assert first_step_is_a_shuffle(dedup_rows(df))
     assert [r[0] for r in collected(dedup_rows(df).select("k"))] == [1, 2, None]
-    assert first_step_is_a_shuffle(exact_duplicate_count(df))
-    assert exact_duplicate_count(df).first()[0] == 3
+
+
+def test_duplicates_are_counted_in_many_partitions(spark, frame, monkeypatch):
+    df = stage(frame([(1, None), (1, None), (2, 0.0), (2, -0.0), (None, None), (None, None)], "k long, x double"))
+    seen, name = [], "spark.sql.shuffle.partitions"
+    monkeypatch.setattr(quality, "materialize", lambda found: seen.append((spark.conf.get(name), first_step_is_a_shuffle(found))) or found)
+    monkeypatch.setattr(runtime, "PARTITION_BYTES", 10)
+    before = spark.conf.get(name)
+    assert quality.exact_duplicate_count(df).first()[0] == 3
+    assert seen == [(str(partitions_for(spark, df.inputFiles())), True)] and int(seen[0][0]) > int(before)
+    assert spark.conf.get(name) == before
 
 
 def test_invoices_are_not_gathered_before_the_shuffle(frame, collected):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import pct, round_to
 from tidemark.operators.aggregate import count_distinct_key, rows, value_counts
-from tidemark.runtime import spread_rows
+from tidemark.runtime import materialize, partitions_for, shuffled_wide, spread_rows
 
 
 def row_and_key_counts(df: DataFrame, key: str) -> DataFrame:
@@ -150,8 +150,11 @@ def variant_frequency(df: DataFrame, col: str, lowered: Sequence[str]) -> DataFr
 
 
 def exact_duplicate_count(df: DataFrame) -> DataFrame:
-    """Rows beyond the first of each set of identical rows."""
-    return spread_rows(df).groupBy(*df.columns).agg(rows().alias("_n")).agg(
-        F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicate_rows"))
-
+    """Rows beyond the first of each set of identical rows, counted when called.
 
+    The shuffles of what the rows come from are sized by its files as well.
+    """
+    spark = df.sparkSession
+    with shuffled_wide(spark, partitions_for(spark, df.inputFiles())):
+        return materialize(spread_rows(df).groupBy(*df.columns).agg(rows().alias("_n")).agg(
+            F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicate_rows")))
