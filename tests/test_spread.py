@@ -111,3 +111,24 @@ def test_cleaned_views_read_the_raw_rows_once(spark, tmp_path):
     clean = clean_transactions(spark.read.parquet(str(tmp_path / "tx")), {"uk": "United Kingdom"})
     assert clean.inputFiles() and not [f for f in clean.inputFiles() if str(tmp_path) in f]
     assert sorted(r.unit_price for r in clean.collect()) == [Decimal(1), Decimal(2), Decimal(2), Decimal("2.99")]
+
+
+def shuffles(df):
+    """Keys and origin of every shuffle in the plan."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [line.split("Exchange hashpartitioning(")[1] for line in plan.splitlines() if "Exchange hashpartitioning(" in line]
+
+
+def test_rows_of_an_order_stay_where_the_join_put_them(spark, frame, collected):
+    lines = stage(frame([(1, "a"), (1, "a"), (1, None), (1, None), (2, "a")], "l long, x string"))
+    orders = stage(frame([(1, 5), (2, 5), (2, 5)], "o long, day int"))
+    files, name = [*lines.inputFiles(), *orders.inputFiles()], "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    try:
+        with runtime.shuffled_wide(spark, partitions_for(spark, files)):
+            joined = lines.join(orders, F.col("l") == F.col("o")).select(F.col("l").alias("order_id"), "x", "day")
+            assert len(shuffles(dedup_rows(joined, ["order_id"]))) == 2 and len(shuffles(dedup_rows(joined))) == 3
+            assert collected(dedup_rows(joined, ["order_id"])) == collected(dedup_rows(joined)) == [(1, "a", 5), (1, None, 5), (2, "a", 5)]
+    finally:
+        spark.conf.set(name, before)

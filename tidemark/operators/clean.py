@@ -10,16 +10,18 @@ from pyspark.sql import functions as F
 from tidemark.functions import canonical_text, clamp, strip_space, trim_clean
 from tidemark.operators.aggregate import mean
 from tidemark.operators.ranks import exact_quantiles
-from tidemark.runtime import attach, spread_rows
+from tidemark.runtime import attach, spread, spread_rows
 
 
-def dedup_rows(df: DataFrame) -> DataFrame:
+def dedup_rows(df: DataFrame, within: Sequence[str] = ()) -> DataFrame:
     """Drop rows identical in every column; NULL equals NULL.
 
     Most rows are single, so they are shuffled as they are, into partitions of
-    bounded size, and not gathered before.
+    bounded size, and not gathered before. `within` names columns with few rows a
+    value, to shuffle by them alone: rows that a join on them has just shuffled
+    into as many partitions stay where they are.
     """
-    return spread_rows(df).distinct()
+    return (spread(df, *within) if within else spread_rows(df)).distinct()
 
 
 def dedup_key(df: DataFrame, key: str | Sequence[str], order_by: Sequence[str | Column]) -> DataFrame:

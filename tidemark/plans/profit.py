@@ -13,7 +13,8 @@ from tidemark.operators.clean import dedup_rows, drop_orphans, impute_group
 from tidemark.runtime import stage
 
 
-def order_profit_view(orders: DataFrame, products: DataFrame, stat: str = "mean") -> DataFrame:
+def order_profit_view(orders: DataFrame, products: DataFrame, stat: str = "mean",
+                      within: Sequence[str] = ()) -> DataFrame:
     """Clean order lines with cost and net revenue.
 
     Exact duplicates go first, then missing shipping is filled from the mean of
@@ -23,8 +24,9 @@ def order_profit_view(orders: DataFrame, products: DataFrame, stat: str = "mean"
 
     The distinct lines are written once; the category means, computed here, and
     the view read them. Reports that share the view read it through `runtime.kept`.
+    `within` is that of `dedup_rows`.
     """
-    lines = impute_group(stage(dedup_rows(orders)), "shipping_cost", "category", stat)
+    lines = impute_group(stage(dedup_rows(orders, within)), "shipping_cost", "category", stat)
     costed = drop_orphans(lines, products.select("product_id", "unit_cost"), "product_id")
     return (
         costed.withColumn("discount_amount", clamp("discount_amount", lo=0))

@@ -35,7 +35,7 @@ FEATURES = ["recency", "frequency", "monetary"]
 PRICE = "decimal(18,6)"
 
 
-def clean_transactions(raw: DataFrame, countries, q: float = 0.995) -> DataFrame:
+def clean_transactions(raw: DataFrame, countries, q: float = 0.995, within: Sequence[str] = ()) -> DataFrame:
     """Exact duplicates, country spellings, price caps, missing prices.
 
     Prices are capped at the category's q-quantile, then missing prices take
@@ -43,8 +43,9 @@ def clean_transactions(raw: DataFrame, countries, q: float = 0.995) -> DataFrame
     that median follows from the two middle prices and the cap: one histogram
     serves both steps. The distinct rows are written once; the histogram and the
     view read them. Reports that share the view read it through `runtime.kept`.
+    `within` is that of `dedup_rows`.
     """
-    rows_once = stage(dedup_rows(raw))
+    rows_once = stage(dedup_rows(raw, within))
     df = canonicalize(rows_once, "country", countries, strip=True)
     stats = order_statistics(rows_once, "unit_price", ["category"], {"cap": q, "mid": 0.5})
     cap = lerp(F.col("cap_lo"), F.col("cap_hi"), F.col("cap_frac"))

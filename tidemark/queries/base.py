@@ -36,8 +36,9 @@ class Inputs(Tables):
 
     @property
     def lines(self) -> DataFrame:
-        return kept(self.spark, f"{self.path}/lines", lambda: order_profit_view(self.order_lines_raw, self.products),
-                    self._files("lineitem", "orders", "part", "supplier", "nation"))
+        return kept(self.spark, f"{self.path}/lines",
+                    lambda: order_profit_view(self.order_lines_raw, self.products, within=["order_id"]),
+                    self._files("lineitem", "orders", "part"))
 
     @property
     def incidents(self) -> DataFrame:
@@ -46,8 +47,8 @@ class Inputs(Tables):
     @property
     def tx(self) -> DataFrame:
         return kept(self.spark, f"{self.path}/tx",
-                    lambda: clean_transactions(self.transactions_raw, self.country_names),
-                    self._files("lineitem", "orders", "customer", "nation", "part", "supplier"))
+                    lambda: clean_transactions(self.transactions_raw, self.country_names, within=["invoice_no"]),
+                    self._files("lineitem", "orders", "customer", "nation", "part"))
 
     def _files(self, *tables: str) -> list[str]:
         """The tables that a stored view is made of."""

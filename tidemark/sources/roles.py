@@ -89,9 +89,10 @@ class Tables:
     @cached_property
     def order_lines_raw(self) -> DataFrame:
         returned = F.col("l_returnflag") == "R"
+        # orders are joined last: the lines of an order lie together then
         lines = (
-            self.lineitem.join(self.orders, F.col("l_orderkey") == F.col("o_orderkey"))
-            .join(self.part, F.col("l_partkey") == F.col("p_partkey"))
+            self.lineitem.join(self.part, F.col("l_partkey") == F.col("p_partkey"))
+            .join(self.orders, F.col("l_orderkey") == F.col("o_orderkey"))
             .select(
                 F.col("l_orderkey").alias("order_id"),
                 F.col("l_linenumber").alias("line_no"),
@@ -236,9 +237,10 @@ class Tables:
             self.orders.join(self.customer, F.col("o_custkey") == F.col("c_custkey"))
             .join(self.nation, F.col("c_nationkey") == F.col("n_nationkey"))
         )
+        # and last, so that the lines of an invoice lie together then
         rows = (
-            self.lineitem.join(placed, key == F.col("o_orderkey"))
-            .join(self.part, F.col("l_partkey") == F.col("p_partkey"))
+            self.lineitem.join(self.part, F.col("l_partkey") == F.col("p_partkey"))
+            .join(placed, key == F.col("o_orderkey"))
             .select(
                 F.col("o_orderkey").alias("invoice_no"),
                 F.col("l_linenumber").alias("line_no"),
