@@ -132,3 +132,12 @@ def test_rows_of_an_order_stay_where_the_join_put_them(spark, frame, collected):
             assert collected(dedup_rows(joined, ["order_id"])) == collected(dedup_rows(joined)) == [(1, "a", 5), (1, None, 5), (2, "a", 5)]
     finally:
         spark.conf.set(name, before)
+
+
+def test_parts_of_a_customer_meet_in_many_partitions(spark, frame, collected, small_partitions):
+    sales = stage(frame([sale(c, (c or 0) * 1000 + i, value=f"{i}.00") for c in (1, 2, None) for i in range(200)] + [sale(3, None), sale(3, None, 2)], SALES))
+    wanted = f"{partitions_for(spark, sales.inputFiles())}), REPARTITION_BY_NUM"
+    found = shuffles(rfm(sales))
+    assert len(found) >= 2 and all(wanted in keys for keys in found)
+    assert collected(rfm(sales).select("customer_id", "frequency", "monetary")) == [
+        (1, 200, Decimal("19900.00")), (2, 200, Decimal("19900.00")), (3, 1, Decimal("2.00"))]

@@ -33,6 +33,8 @@ COUNTRY_SPELLINGS = {
 }
 FEATURES = ["recency", "frequency", "monetary"]
 PRICE = "decimal(18,6)"
+# A customer's invoices are dealt to so many tasks at most.
+INVOICE_PARTS = 64
 
 
 def clean_transactions(raw: DataFrame, countries, q: float = 0.995, within: Sequence[str] = ()) -> DataFrame:
@@ -76,14 +78,19 @@ def rfm(sales: DataFrame, first_by: Sequence[str] = ("invoice_date", "invoice_no
     """Recency, frequency, monetary value and first channel per customer.
 
     Invoices are summed first: a customer with very many lines is spread over
-    its invoices, and distinct invoices become a plain count.
+    `INVOICE_PARTS` tasks by its invoices, and distinct invoices become a plain
+    count. The parts of a customer then meet in as many tasks as the files ask for.
     """
-    known = spread(customer_sales(sales), "customer_id", "invoice_no")
+    part = F.pmod(F.xxhash64("invoice_no"), F.lit(INVOICE_PARTS)).alias("_part")
+    known = spread(customer_sales(sales).select("*", part), "customer_id", "_part")
     first = F.min(F.struct(*first_by, "channel"))
-    invoices = known.groupBy("customer_id", "invoice_no").agg(
+    invoices = known.groupBy("customer_id", "_part", "invoice_no").agg(
         F.max("invoice_date").alias("_last"), F.sum("line_total").alias("_value"), first.alias("_first"))
-    people = invoices.groupBy("customer_id").agg(
-        F.max("_last").alias("_last"), rows().alias("frequency"), F.sum("_value").alias("monetary"),
+    parts = invoices.groupBy("customer_id", "_part").agg(
+        F.max("_last").alias("_last"), rows().alias("_invoices"), F.sum("_value").alias("_value"),
+        F.min("_first").alias("_first"))
+    people = spread(parts, "customer_id").groupBy("customer_id").agg(
+        F.max("_last").alias("_last"), F.sum("_invoices").alias("frequency"), F.sum("_value").alias("monetary"),
         F.min("_first").alias("_first"))
     snapshot = one_row(people, F.date_add(F.max("_last"), 1).alias("_snapshot"))
     return people.crossJoin(F.broadcast(snapshot)).select(
