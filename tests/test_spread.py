@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidemark import runtime
 from tidemark.operators import quality
 from tidemark.operators.clean import dedup_rows
+from tidemark.plans.cohort import cohort_assign
 from tidemark.plans.profit import order_profit_view
 from tidemark.plans.rfm import clean_transactions, order_values, rfm
 from tidemark.plans.stats import first_in_invoice
@@ -141,3 +142,12 @@ def test_parts_of_a_customer_meet_in_many_partitions(spark, frame, collected, sm
     assert len(found) >= 2 and all(wanted in keys for keys in found)
     assert collected(rfm(sales).select("customer_id", "frequency", "monetary")) == [
         (1, 200, Decimal("19900.00")), (2, 200, Decimal("19900.00")), (3, 1, Decimal("2.00"))]
+
+
+def test_customer_months_meet_in_many_partitions(spark, frame, collected, small_partitions):
+    days = [datetime.date(2024, 1, 2), datetime.date(2024, 1, 9), datetime.date(2024, 3, 1)]
+    sales = stage(frame([(c, d) for c in (1, 2, None) for d in days[c == 2:]], "customer_id long, invoice_date date"))
+    wanted = f"{partitions_for(spark, sales.inputFiles())}), REPARTITION_BY_NUM"
+    found = shuffles(cohort_assign(sales))
+    assert len(found) == 2 and all(wanted in keys for keys in found) and first_step_is_a_shuffle(cohort_assign(sales))
+    assert collected(cohort_assign(sales).select("customer_id", "cohort_index")) == [(1, 0), (1, 2), (2, 0), (2, 2)]

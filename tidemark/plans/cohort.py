@@ -10,16 +10,19 @@ from pyspark.sql import functions as F
 from tidemark.functions import month_index, month_key, pct, round_to
 from tidemark.operators.aggregate import mean, rows
 from tidemark.operators.reshape import pivot_matrix
+from tidemark.runtime import spread
 
 
 def cohort_assign(sales: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
     """One row per customer (and extra keys) and month: cohort and month index.
 
-    The lines are reduced to distinct customer-months first; the window then
-    sees at most one row per calendar month (and extra key) of a customer.
+    The lines are reduced to distinct customer-months first, a customer with very
+    many lines in as many tasks as it has months; the window then sees at most one
+    row per calendar month (and extra key) of a customer.
     """
-    active = sales.dropna(subset=["customer_id"]).select(
-        "customer_id", *extra, F.trunc("invoice_date", "MM").alias("order_month")).distinct()
+    months = sales.dropna(subset=["customer_id"]).select(
+        "customer_id", *extra, F.trunc("invoice_date", "MM").alias("order_month"))
+    active = spread(spread(months, "customer_id", "order_month").distinct(), "customer_id")
     first = F.min("order_month").over(Window.partitionBy("customer_id"))
     marked = active.withColumn("cohort_month", first)
     return marked.withColumn("cohort_index", month_index("order_month") - month_index("cohort_month"))
