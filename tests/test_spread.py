@@ -11,7 +11,7 @@ from tidemark.operators import quality
 from tidemark.operators.clean import dedup_rows
 from tidemark.plans.cohort import cohort_assign
 from tidemark.plans.profit import order_profit_view
-from tidemark.plans.rfm import clean_transactions, order_values, rfm
+from tidemark.plans.rfm import clean_transactions, order_values, quintiles, rfm
 from tidemark.plans.stats import first_in_invoice
 from tidemark.runtime import drop_kept, kept, partitions_for, spread, stage, stored_bytes
 
@@ -151,3 +151,11 @@ def test_customer_months_meet_in_many_partitions(spark, frame, collected, small_
     found = shuffles(cohort_assign(sales))
     assert len(found) == 2 and all(wanted in keys for keys in found) and first_step_is_a_shuffle(cohort_assign(sales))
     assert collected(cohort_assign(sales).select("customer_id", "cohort_index")) == [(1, 0), (1, 2), (2, 0), (2, 2)]
+
+
+def test_scored_customers_are_computed_once(spark, frame, collected, tmp_path):
+    frame([(i, i, 10 - i, Decimal(i % 3)) for i in range(10)], "customer_id long, recency int, frequency long, monetary decimal(18,2)") \
+        .write.parquet(str(tmp_path / "people"))
+    scores = quintiles(spark.read.parquet(str(tmp_path / "people")))
+    assert not [f for f in scores.inputFiles() if str(tmp_path) in f]
+    assert collected(scores)[0] == (0, 5, 5, 1) and collected(scores)[9] == (9, 1, 1, 2)

@@ -43,6 +43,19 @@ def tile_of(position: Column, total: Column, tiles: int) -> Column:
         larger + F.floor(F.try_divide(position - edge, size))).cast("int") + 1
 
 
+def tile_table(df: DataFrame, value: str, key: str, count: int, name: str, by: Sequence[str] = (),
+               buckets: int | None = None) -> DataFrame:
+    """One row per distinct (by, value, key) that takes part in `tiles`, with its tile."""
+    by = list(by)
+    present = F.col(value).isNotNull() & F.col(key).isNotNull()
+    if dict(df.dtypes)[value] in ("double", "float"):
+        present = present & ~F.isnan(value)
+    placed = df.where(present).select(*by, F.struct(value, key).alias("_place"))
+    ranked = rank_histogram(value_histogram(placed, "_place", by), "_place", by, buckets)
+    return ranked.select(*by, F.col(f"_place.{value}").alias(value), F.col(f"_place.{key}").alias(key),
+                         tile_of(F.col("before"), F.col("total"), count).alias(name))
+
+
 def tiles(df: DataFrame, value: str, key: str, count: int, name: str, by: Sequence[str] = (),
           buckets: int | None = None) -> DataFrame:
     """Each row's tile out of `count`, in ascending order of value and then key.
@@ -51,12 +64,4 @@ def tiles(df: DataFrame, value: str, key: str, count: int, name: str, by: Sequen
     and key share the tile of the first of them. NULL and NaN values, NULL keys and NULL
     groups take no part and keep NULL.
     """
-    by = list(by)
-    present = F.col(value).isNotNull() & F.col(key).isNotNull()
-    if dict(df.dtypes)[value] in ("double", "float"):
-        present = present & ~F.isnan(value)
-    placed = df.where(present).select(*by, F.struct(value, key).alias("_place"))
-    ranked = rank_histogram(value_histogram(placed, "_place", by), "_place", by, buckets)
-    tile = ranked.select(*by, F.col(f"_place.{value}").alias(value), F.col(f"_place.{key}").alias(key),
-                         tile_of(F.col("before"), F.col("total"), count).alias(name))
-    return attach(df, tile, [*by, value, key])
+    return attach(df, tile_table(df, value, key, count, name, by, buckets), [*by, value, key])

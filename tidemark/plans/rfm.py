@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import as_double, clamp, round_to
 from tidemark.operators.aggregate import mean, one_row, rows, share_of_total
 from tidemark.operators.clean import canonicalize, dedup_rows, require
-from tidemark.operators.positions import tiles
+from tidemark.operators.positions import tile_table
 from tidemark.operators.ranks import lerp, order_statistics
 from tidemark.operators.window import average_rank
 from tidemark.plans.lloyd import Fit, fit_all
@@ -102,12 +102,14 @@ def quintiles(people: DataFrame, count: int = 5) -> DataFrame:
     """Scores r, f and m from 1 to `count`: tiles over all customers, the most recent and highest last.
 
     Customers of equal values are dealt by their id; one without an id has no scores.
+    The customers are written once; the three tiles and the result read them.
     """
-    values = people.select("customer_id", (-F.col("recency")).alias("_r"), F.col("frequency").alias("_f"),
-                           F.col("monetary").alias("_m"))
+    values = stage(people).select("customer_id", (-F.col("recency")).alias("_r"), F.col("frequency").alias("_f"),
+                                  F.col("monetary").alias("_m"))
+    out = values
     for score in "rfm":
-        values = tiles(values, f"_{score}", "customer_id", count, score)
-    return values.select("customer_id", *"rfm")
+        out = attach(out, tile_table(values, f"_{score}", "customer_id", count, score), [f"_{score}", "customer_id"])
+    return out.select("customer_id", *"rfm")
 
 
 def log_scale(df: DataFrame, cols: Sequence[str] = FEATURES) -> DataFrame:
